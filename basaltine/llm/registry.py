@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import toxicity
+from . import quality, toxicity
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op8_toxicity": toxicity.query,
 }
 
