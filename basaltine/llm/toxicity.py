@@ -75,7 +75,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(over_slices(count), "bucket int, pos long, n long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out_mod: int | None = 4, rows: int = SAMPLE_ROWS, most_features: int = 20_000, l2: float = 0.02, rounds: int = 250) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out_mod: int | None = 4, rows: int = SAMPLE_ROWS, most_features: int = 20_000, l2: float = 0.02, rounds: int = 150) -> Model:
     """Fit on a bounded sample of labelled rows.
 
     `rows` and `most_features` bound the sample and the buckets that the regression sees.  With no
@@ -110,26 +110,35 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out_mod:
     finally:
         sample.unpersist()
     y = got["y"].to_numpy().astype(float)
-    lists = got["cols"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    size = np.diff(lists.offsets.to_numpy())
-    col = lists.values.to_numpy()[lists.offsets.to_numpy()[0] :]
-    row = np.repeat(np.arange(len(y)), size)
-    beta, bias = _logistic(row, col, scale, y, len(chosen), l2, rounds)
+    beta, bias = _logistic(got["cols"].chunks, scale, y, len(chosen), l2, rounds)
     weight[chosen] = (beta * scale).astype(np.float32)
     weight[np.abs(weight) < 1e-3] = 0
     return Model(weight, bias)
 
 
-def _logistic(row: np.ndarray, col: np.ndarray, scale: np.ndarray, y: np.ndarray, m: int, l2: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the mean log loss plus l2 * |beta|^2 / m."""
+def _logistic(chunks: list[pa.ListArray], scale: np.ndarray, y: np.ndarray, m: int, l2: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the mean log loss plus an L2 term; `chunks` list each document's columns.
+
+    The entries stay as the Arrow buffers they came in, and are widened one piece at a time.
+    """
+    pieces, at = [], 0
+    for chunk in chunks:
+        for lo in range(0, len(chunk), 512):
+            part = chunk.slice(lo, 512)
+            pieces.append((slice(at, at + len(part)), np.diff(part.offsets.to_numpy()), part.flatten().to_numpy()))
+            at += len(part)
     beta, bias = np.zeros(m), float(np.log(y.mean() / (1 - y.mean())))
-    x = scale[col]
     first, second = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, x * beta[col], minlength=len(y)) + bias
-        e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(col, e[row] * x, minlength=m) / len(y) + l2 * beta / max(len(y), 1) * 10, e.mean())
+        own, g = (beta * scale), np.zeros(m + 1)
+        for docs, size, col in pieces:
+            row = np.repeat(np.arange(len(size)), size)
+            z = np.bincount(row, own[col], minlength=len(size)) + bias
+            e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[docs]
+            g[:m] += np.bincount(col, e[row], minlength=m)
+            g[m] += e.sum()
+        g[:m] = g[:m] * scale + 10 * l2 * beta
+        g /= len(y)
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         step = 0.05 * (1 - t / (rounds + 1)) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
         beta, bias = beta - step[:m], bias - step[m]
