@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, toxicity
+from . import near_dedup, quality, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op3_near_dedup": near_dedup.query,
     "op8_toxicity": toxicity.query,
 }
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; one longer document makes a slice of its own.
@@ -55,6 +55,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = end
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 64 MB, so that long rows don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+
+
 def over_slices(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", most: int = SLICE_BYTES):
     """A function for mapInArrow that applies `fn` to bounded slices."""
 
