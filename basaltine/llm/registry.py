@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, pii, quality, toxicity
+from . import decontamination, near_dedup, pieces, pii, quality, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_decontamination": decontamination.query,
     "op3_near_dedup": near_dedup.query,
+    "op7_pieces": pieces.query,
     "op8_toxicity": toxicity.query,
     "op9_pii": pii.query,
 }
