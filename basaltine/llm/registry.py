@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, pieces, pii, quality, toxicity
+from . import decontamination, near_dedup, pieces, pii, quality, secrets, token_counts, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_decontamination": decontamination.query,
     "op3_near_dedup": near_dedup.query,
+    "op6_token_counts": token_counts.query,
     "op7_pieces": pieces.query,
     "op8_toxicity": toxicity.query,
     "op9_pii": pii.query,
+    "op10_secrets": secrets.query,
 }
 
 ORACLES: dict[str, str] = {}
