@@ -9,9 +9,10 @@ documents.  Documents whose signatures agree in a whole band are candidates, and
 is a link if the exact similarity of its elements (Jaccard or probability Jaccard, which
 are the same unless shingles repeat) reaches the threshold.
 
-No pairs are emitted within a bucket: its members are compared to one centre, then what is
-still apart to centres of other components, and only what remains apart after that is compared
-signature by signature, in blocks of bounded size.  So linked groups of any size cost a few
+No pairs are emitted within a bucket: buckets with the same least member form a group, whose
+members are compared to that centre, then what is still apart to centres of other components;
+only what remains apart after that is compared exactly, block against block of bounded size, and a
+pair of blocks reports a spanning forest of its links.  So linked groups of any size cost a few
 comparisons for each member, and no link that banding finds is lost.
 """
 
@@ -32,10 +33,8 @@ THRESHOLD = 0.8
 #: 24 bands of 4 registers find a pair of similarity 0.8 with probability 1 - 3e-6.
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Members of a block when signatures are compared one by one.
-BLOCK = 512
-#: Signatures that agree in less than this share aren't of documents at 0.8 (six standard deviations).
-LEAST_AGREEMENT = 0.55
+#: Members of a block, and bytes of their element sets, when what remains of a group is compared exactly.
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
 
 U64 = np.uint64
 
@@ -202,29 +201,81 @@ def _centre_pairs(rest: DataFrame, salt: int) -> DataFrame:
     return other.select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
 
 
-def _block_pairs(rest: DataFrame, sigs: DataFrame) -> DataFrame:
-    """All pairs of different components of a bucket whose signatures agree enough, block against block."""
-    groups = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = rest.join(sigs.select(F.col("doc_id").alias("doc"), "signature"), "doc").withColumn("g", groups).withColumn("c", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
-    spread = own.select("key", "doc", "component", "signature", "c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o")).select("key", "doc", "component", "signature", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, by products of bounded matrices."""
+    every = np.concatenate([*left, *right])
+    kinds, column = np.unique(every, return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    often = np.bincount(column, minlength=len(kinds)) > 1
+    keep = often[column]
+    row, column = row[keep], (np.cumsum(often) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(often.sum()), 1024):
+        a, b = np.searchsorted(column, (lo, lo + 1024))
+        part = np.zeros((len(left) + len(right), 1024), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
+
+
+def _forest(doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray], weights: list[np.ndarray | None], left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Links between members at `left` and at `right` that join what isn't joined yet, each of another component."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    size = np.array([len(x) for x in sets])
+    shared = _shared_counts([sets[x] for x in left], [sets[x] for x in right])
+    plain = shared / np.maximum(size[left][:, None] + size[right][None, :] - shared, 1)
+    apart = component[left][:, None] != component[right][None, :]
+    weighted = np.array([w is not None for w in weights])
+    either = weighted[left][:, None] | weighted[right][None, :]
+    out = []
 
-    def compare(run: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(run)
-        doc, comp, c = (t[x].to_numpy() for x in ("doc", "component", "c"))
+    def join(x: int, y: int, s: float) -> None:
+        a, b = find(int(component[x])), find(int(component[y]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((max(int(doc[x]), int(doc[y])), min(int(doc[x]), int(doc[y])), s))
+
+    for x, y in zip(*np.nonzero(apart & (plain >= threshold)), strict=True):
+        join(left[x], right[y], float(plain[x, y]))
+    for x, y in zip(*np.nonzero(apart & either & (plain < threshold) & (plain >= 0.5 * threshold)), strict=True):
+        x, y = left[x], right[y]
+        if find(int(component[x])) != find(int(component[y])):
+            ones = [w if w is not None else np.ones(len(s), np.float32) for w, s in ((weights[x], sets[x]), (weights[y], sets[y]))]
+            if (s := similarity(sets[x], ones[0], sets[y], ones[1])) >= threshold:
+                join(x, y, s)
+    return out
+
+
+def _block_links(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, similarity) between components of a group: exact, all blocks of its members against all."""
+    own = rest.select("key", "doc", "component").join(sets, "doc")
+    size = own.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("hashes")) / BLOCK_BYTES)).cast("int").alias("g"))
+    own = own.join(size, "key").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
+    spread = own.select("key", "doc", "component", "hashes", "weights", "c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
+    spread = spread.select("key", "doc", "component", "hashes", "weights", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+
+    def compare(held: list[pa.RecordBatch]) -> list[tuple[int, int, float]]:
+        t = pa.Table.from_batches(held)
+        doc, component, c = (t[x].to_numpy() for x in ("doc", "component", "c"))
+        sets = [np.frombuffer(x, U64) for x in t["hashes"].to_pylist()]
+        weights = [np.frombuffer(x, np.float32) if x else None for x in t["weights"].to_pylist()]
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), np.uint32).reshape(-1, REGISTERS)
-        a, b = [], []
-        for x in range(len(doc) - 1):
-            y = np.arange(x + 1, len(doc))
-            y = y[(comp[y] != comp[x]) & ((i == j) | (c[y] != c[x]))]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= LEAST_AGREEMENT]
-            a += [np.maximum(doc[x], doc[y])]
-            b += [np.minimum(doc[x], doc[y])]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else np.zeros(0, np.int64)), pa.array(np.concatenate(b) if b else np.zeros(0, np.int64))], ["a", "b"])
+        left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
+        return _forest(doc, component, sets, weights, left, right, threshold) if len(left) and len(right) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         name = None
+        found: list[tuple[int, int, float]] = []
         for batch in batches:
             k = np.stack([batch.column(x).to_numpy() for x in ("key", "i", "j")], axis=1)
             edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1), batch.num_rows]
@@ -232,14 +283,21 @@ def _block_pairs(rest: DataFrame, sigs: DataFrame) -> DataFrame:
                 if s == e:
                     continue
                 if held and tuple(k[s]) != name:
-                    yield compare(held)
+                    found += compare(held)
                     held = []
                 name = tuple(k[s])
                 held.append(batch.slice(s, e - s))
-        if held:
-            yield compare(held)
+            if found:
+                yield links(found)
+                found = []
+        if held and (found := compare(held)):
+            yield links(found)
+
+    def links(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+        a, b, s = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
-    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, similarity double")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -266,20 +324,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     banded = reps.mapInArrow(keys, "key long, doc long")
     buckets = banded.groupBy("key").agg(F.min("doc").alias("centre"), F.max("doc").alias("most")).where("centre <> most").select("key", "centre")
-    members = checkpointed(banded.join(buckets, "key").distinct())
+    members = checkpointed(banded.join(buckets, "key").select(F.col("centre").alias("key"), "doc").distinct())
     sets = checkpointed(element_sets(docs, members.select("doc").distinct()))
-    tested = checkpointed(members.where("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct())
-    links = checkpointed(verified(tested, sets, threshold))
-    members = members.select("key", "doc")
+    links = checkpointed(verified(members.where("doc <> key").select(F.col("doc").alias("a"), F.col("key").alias("b")), sets, threshold))
     known = components(links)
-    for salt in (1, 2, 3):  # the last time: all that is left
+    for last in (False, True):  # the last time: all that is left
         rest = checkpointed(_remaining(members, known).where("size > 2"))
         if rest.isEmpty():
             break
-        found = _centre_pairs(rest, salt) if salt < 3 else _block_pairs(rest, reps)
-        fresh = checkpointed(found.join(tested, ["a", "b"], "left_anti"))
-        new = checkpointed(verified(fresh, sets, threshold))
-        tested = tested.unionByName(fresh)
+        new = checkpointed(_block_links(rest, sets, threshold) if last else verified(_centre_pairs(rest, 1), sets, threshold))
         if not new.isEmpty():
             links = links.unionByName(new)
             known = components(links)
