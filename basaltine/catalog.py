@@ -1,20 +1,509 @@
-"""Registered queries of the engine itself: name -> (spark, sf_dir) -> DataFrame, and DuckDB SQL for each."""
+"""Registered queries of the engine itself: name -> (spark, sf_dir) -> DataFrame, and DuckDB SQL for each.
+
+Queries run over whole tables.  Money is summed as decimal, so results don't depend on the order of rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import aggregates as A
+from .functions import casts as C
+from .functions import hashing as H
+from .functions import jsons as J
+from .functions import maths as M
+from .functions import network as N
+from .functions import numeric as X
+from .functions import strings as S
+from .functions import temporal as T
+from .functions import vectors as V
+from .operators import relational as R
+from .operators import statistics as ST
+from .plans import request
+from .sources import versions
+from .streaming import changes
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def group_by_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return line.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def functions(name: str, table: str, keys: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
+    """Register a query of expressions over a whole table, one for each (column, SQL) pair."""
+    by_name = dict(columns)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _columns()
+        return R.read(spark, sf_dir, table).select(*[k.strip() for k in keys.split(",")], *(c().alias(a) for a, (c, _) in by_name.items()))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT {keys}, " + ", ".join(f"{sql} AS {a}" for a, (_, sql) in by_name.items()) + f" FROM {table}"
+
+
+def money(c: str) -> Column:
+    return F.col(c).cast("decimal(15,2)")
+
+
+# ---------------------------------------------------------------- scans, filters, limits
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 500 OR o_orderkey = 7")
+def table_scan_ranges(spark, sf_dir):
+    return R.table_scan(R.read(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderkey", [R.KeyRange(100, 500), R.KeyRange(7, 7)])
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 100")
+def table_scan_desc_limit(spark, sf_dir):
+    return R.limit(R.table_scan(R.read(spark, sf_dir, "orders"), ["o_orderkey"], "o_orderkey", desc=True), 100)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey >= 10 AND o_custkey < 60")
+def index_scan_range(spark, sf_dir):
+    return R.index_scan(R.read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", [R.KeyRange(10, 60)])
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey >= 10 AND o_custkey < 60")
+def index_lookup(spark, sf_dir):
+    orders = R.read(spark, sf_dir, "orders")
+    index = R.index_scan(orders, ["o_custkey"], "o_orderkey", [R.KeyRange(10, 60)], ordered=False)
+    return R.index_lookup(index, orders, "o_orderkey", ["o_orderkey", "o_orderstatus", "o_totalprice"])
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)")
+def index_lookup_unresolved(spark, sf_dir):
+    near = R.read(spark, sf_dir, "customer").where("c_nationkey < 10")
+    return R.unresolved_handles(R.read(spark, sf_dir, "orders").select("o_custkey").distinct(), near, "o_custkey", "c_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45 AND l_discount < 0.03 AND l_linenumber % 2 <> 0")
+def selection(spark, sf_dir):
+    line = R.read(spark, sf_dir, "lineitem")
+    return R.selection(line, ["l_quantity > 45", "l_discount < 0.03", "l_linenumber % 2"]).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS twice, upper(o_orderstatus) AS status FROM orders")
+def projection(spark, sf_dir):
+    return R.projection(R.read(spark, sf_dir, "orders"), ["o_orderkey", "o_totalprice * 2 as twice", "upper(o_orderstatus) as status"])
+
+
+@query("SELECT count(*) AS n FROM (SELECT * FROM lineitem LIMIT 1000)")
+def limit_rows(spark, sf_dir):
+    return R.limit(R.read(spark, sf_dir, "lineitem"), 1000).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def top_n(spark, sf_dir):
+    return R.top_n(R.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", True), ("o_orderkey", False)], 50)
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem ORDER BY l_partkey, l_orderkey DESC, l_linenumber LIMIT 2000")
+def top_n_three_columns(spark, sf_dir):
+    return R.top_n(R.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), [("l_partkey", False), ("l_orderkey", True), ("l_linenumber", False)], 2000)
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
+def partition_top_n(spark, sf_dir):
+    return R.partition_top_n(R.read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [("o_totalprice", True), ("o_orderkey", False)], 3)
+
+
+@query("SELECT o_custkey, least(count(*), 2) AS n FROM orders GROUP BY o_custkey")
+def partition_limit(spark, sf_dir):
+    return R.partition_limit(R.read(spark, sf_dir, "orders").select("o_custkey"), ["o_custkey"], 2).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 200 ORDER BY o_orderkey LIMIT 100")
+def next_page(spark, sf_dir):
+    return R.page(R.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 200, 100)
+
+
+# ---------------------------------------------------------------- aggregation
+
+@query("SELECT count(*) AS n, count(l_quantity) AS n_quantity, sum(l_quantity::DECIMAL(15,2))::DOUBLE AS total, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, avg(l_linenumber) AS mean FROM lineitem")
+def simple_aggregation(spark, sf_dir):
+    line = R.read(spark, sf_dir, "lineitem")
+    return R.simple_aggregation(line, [F.count("*").alias("n"), A.count(F.col("l_quantity")).alias("n_quantity"), F.sum(money("l_quantity")).cast("double").alias("total"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"), F.avg("l_linenumber").alias("mean")])
+
+
+@query("SELECT count(*) AS n, CAST(NULL AS DOUBLE) AS total, 0::BIGINT AS any_bit, -1::BIGINT AS all_bits FROM lineitem WHERE l_quantity < 0")
+def aggregation_of_nothing(spark, sf_dir):
+    none = R.read(spark, sf_dir, "lineitem").where("l_quantity < 0")
+    return R.simple_aggregation(none, [F.count("*").alias("n"), F.sum("l_quantity").alias("total"), A.bit_or(F.col("l_linenumber")).alias("any_bit"), A.bit_and(F.col("l_linenumber")).alias("all_bits")])
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_quantity > 40")
+def filtered_count(spark, sf_dir):
+    return R.selection(R.read(spark, sf_dir, "lineitem"), ["l_quantity > 40"]).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, l_returnflag FROM lineitem GROUP BY l_returnflag")
+def group_by_few(spark, sf_dir):
+    return R.hash_aggregation(R.read(spark, sf_dir, "lineitem"), ["l_returnflag"], [F.count("*").alias("n")])
+
+
+@query("SELECT count(*) AS n, sum(l_extendedprice::DECIMAL(15,2))::DOUBLE AS total, l_partkey FROM lineitem GROUP BY l_partkey")
+def group_by_many(spark, sf_dir):
+    return R.hash_aggregation(R.read(spark, sf_dir, "lineitem"), ["l_partkey"], [F.count("*").alias("n"), F.sum(money("l_extendedprice")).cast("double").alias("total")])
+
+
+@query("SELECT count(*) AS n, sum(l_quantity::DECIMAL(15,2))::DOUBLE AS quantity, l_returnflag, l_linestatus FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def group_by_two_columns(spark, sf_dir):
+    return R.hash_aggregation(R.read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], [F.count("*").alias("n"), F.sum(money("l_quantity")).cast("double").alias("quantity")])
+
+
+@query("SELECT count(*) AS n, l_orderkey % 100 AS k FROM lineitem WHERE l_quantity > 10 GROUP BY l_orderkey % 100")
+def group_by_expression(spark, sf_dir):
+    return R.hash_aggregation(R.selection(R.read(spark, sf_dir, "lineitem"), ["l_quantity > 10"]), [F.expr("l_orderkey % 100").alias("k")], [F.count("*").alias("n")])
+
+
+@query("SELECT count(*) AS n, o_orderdate FROM orders GROUP BY o_orderdate")
+def stream_aggregation(spark, sf_dir):
+    return R.stream_aggregation(R.read(spark, sf_dir, "orders"), ["o_orderdate"], [F.count("*").alias("n")])
+
+
+@query("SELECT l_returnflag, count(l_quantity) AS q_count, sum(l_quantity::DECIMAL(15,2))::DOUBLE AS q_sum FROM lineitem GROUP BY l_returnflag")
+def avg_partial_state(spark, sf_dir):
+    line = R.read(spark, sf_dir, "lineitem").withColumn("q", money("l_quantity"))
+    return line.groupBy("l_returnflag").agg(*A.avg_partial(F.col("q"), "decimal(15,2)", "q")).withColumn("q_sum", F.col("q_sum").cast("double"))
+
+
+@query("SELECT l_linestatus, round(avg(l_linenumber), 9) AS mean, round(var_pop(l_linenumber), 9) AS pop, round(var_samp(l_linenumber), 9) AS samp FROM lineitem GROUP BY l_linestatus")
+def merged_avg_and_variance(spark, sf_dir):
+    line = R.read(spark, sf_dir, "lineitem")
+    parts = line.groupBy("l_linestatus", "l_returnflag").agg(*A.avg_partial(F.col("l_linenumber"), "int", "a"), *A.variance_partial(F.col("l_linenumber"), "v"))
+    return parts.groupBy("l_linestatus").agg(F.round(A.avg_merge("a").cast("double"), 9).alias("mean"), F.round(A.variance_merge("v"), 9).alias("pop"), F.round(A.variance_merge("v", sample=True), 9).alias("samp"))
+
+
+@query("SELECT l_suppkey, bit_and(l_orderkey) AS b_and, bit_or(l_orderkey) AS b_or, bit_xor(l_orderkey) AS b_xor FROM lineitem GROUP BY l_suppkey")
+def bit_aggregates(spark, sf_dir):
+    k = F.col("l_orderkey")
+    return R.read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(A.bit_and(k).alias("b_and"), A.bit_or(k).alias("b_or"), A.bit_xor(k).alias("b_xor"))
+
+
+@query("SELECT o_custkey, min(o_totalprice) AS lo, max(o_totalprice) AS hi, arg_min(o_orderstatus, o_orderkey) AS first_status FROM orders GROUP BY o_custkey")
+def min_max_first(spark, sf_dir):
+    return R.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(A.minimum(F.col("o_totalprice")).alias("lo"), A.maximum(F.col("o_totalprice")).alias("hi"), A.first(F.col("o_orderstatus"), F.col("o_orderkey")).alias("first_status"))
+
+
+@query("SELECT l_returnflag, round(var_pop(l_quantity), 6) AS pop, round(var_samp(l_quantity), 6) AS samp FROM lineitem GROUP BY l_returnflag")
+def variances(spark, sf_dir):
+    return R.read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(A.var_pop(F.col("l_quantity")), 6).alias("pop"), F.round(A.var_samp(F.col("l_quantity")), 6).alias("samp"))
+
+
+# ---------------------------------------------------------------- what a layer above adds: joins, windows, sets, grouping sets
+
+@query("SELECT n_name, count(*) AS n, sum(o_totalprice::DECIMAL(15,2))::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def join_star(spark, sf_dir):
+    orders, customer, nation = (R.read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
+    return joined.groupBy("n_name").agg(F.count("*").alias("n"), F.sum(money("o_totalprice")).cast("double").alias("total"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+def join_anti(spark, sf_dir):
+    big = R.read(spark, sf_dir, "orders").where("o_totalprice > 100000")
+    return R.read(spark, sf_dir, "customer").join(big, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT o_orderkey, rank() OVER w AS place, sum(o_totalprice::DECIMAL(15,2)) OVER w::DOUBLE AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def window_functions(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return R.read(spark, sf_dir, "orders").select("o_orderkey", F.rank().over(w).alias("place"), F.sum(money("o_totalprice")).over(w).cast("double").alias("running"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def grouping_rollup(spark, sf_dir):
+    return R.read(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def set_operations(spark, sf_dir):
+    return R.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(R.read(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
+def distinct_aggregates(spark, sf_dir):
+    return R.read(spark, sf_dir, "lineitem").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
+
+
+# ---------------------------------------------------------------- requests
+
+REQUEST = {
+    "table": "lineitem",
+    "executors": [
+        {"type": "table_scan", "columns": ["l_orderkey", "l_quantity", "l_returnflag"], "key": "l_orderkey", "ranges": [[1, 5000]]},
+        {"type": "selection", "conditions": ["l_quantity > 10"]},
+        {"type": "aggregation", "group_by": ["l_returnflag"], "aggregates": ["count(1) as n"]},
+        {"type": "top_n", "order_by": [["n", True]], "limit": 2},
+    ],
+    "output": ["n", "l_returnflag"],
+}
+
+
+@query("SELECT count(*) AS n, l_returnflag FROM lineitem WHERE l_orderkey >= 1 AND l_orderkey < 5000 AND l_quantity > 10 GROUP BY l_returnflag ORDER BY n DESC LIMIT 2")
+def request_pipeline(spark, sf_dir):
+    return request.run(spark, sf_dir, REQUEST)
+
+
+# ---------------------------------------------------------------- multi-version reads and change streams
+
+def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version log made from `orders`: key is the customer, time the order's key, every seventh a delete."""
+    o = R.read(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("commit_ts"), F.when(F.col("o_orderkey") % 7 == 0, "delete").otherwise("put").alias("op"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("value"))
+
+
+_LOG = "SELECT o_custkey AS key, o_orderkey AS commit_ts, CASE WHEN o_orderkey % 7 = 0 THEN 'delete' ELSE 'put' END AS op, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS value FROM orders"
+
+
+@query(f"SELECT key, value FROM (SELECT * FROM ({_LOG}) WHERE commit_ts <= 8000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) = 1) WHERE op = 'put'")
+def read_as_of(spark, sf_dir):
+    return versions.as_of(order_versions(spark, sf_dir), 8000)
+
+
+@query(f"SELECT * FROM ({_LOG}) WHERE commit_ts > 2000 AND commit_ts <= 4000")
+def read_deltas(spark, sf_dir):
+    return versions.deltas(order_versions(spark, sf_dir), 2000, 4000)
+
+
+@query(f"SELECT * FROM ({_LOG}) WHERE commit_ts > 2000 AND commit_ts <= 9000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) = 1")
+def read_latest_entries(spark, sf_dir):
+    return versions.latest_versions(order_versions(spark, sf_dir), 9000, 2000).select("key", "commit_ts", "op", "value")
+
+
+@query(f"SELECT *, CASE WHEN lag(op) OVER w = 'put' THEN lag(value) OVER w END AS old_value FROM ({_LOG}) WINDOW w AS (PARTITION BY key ORDER BY commit_ts)")
+def read_old_values(spark, sf_dir):
+    return versions.with_old_value(order_versions(spark, sf_dir))
+
+
+@query(f"SELECT key, value FROM (SELECT * FROM ({_LOG}) WHERE key >= 100 AND key < 300 AND commit_ts <= 9000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) = 1) WHERE op = 'put' ORDER BY key LIMIT 50")
+def read_scan_range(spark, sf_dir):
+    return versions.scan(order_versions(spark, sf_dir), 9000, 100, 300, 50)
+
+
+@query(f"SELECT key, commit_ts, op, value FROM (SELECT *, lead(commit_ts) OVER (PARTITION BY key ORDER BY commit_ts) AS nxt FROM ({_LOG})) WHERE nxt <= 5000 OR nxt IS NULL AND op = 'delete' AND commit_ts <= 5000")
+def garbage_versions(spark, sf_dir):
+    return versions.garbage(order_versions(spark, sf_dir), 5000)
+
+
+def transaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change log made from `orders`: each order is a transaction; every 11th stays open, every 13th rolls back."""
+    o = R.read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    base = o.select((F.col("o_custkey") % 8).alias("region_id"), F.col("o_custkey").alias("key"), (k * 10).alias("start_ts"), (k * 10 + 5).alias("commit_ts"), F.col("o_orderstatus").alias("value"), k.alias("k"))
+    names = ["region_id", "key", "op", "start_ts", "commit_ts", "value"]
+    pre = base.select("region_id", "key", F.lit("PREWRITE").alias("op"), "start_ts", F.lit(None).cast("long").alias("commit_ts"), "value")
+    done = base.where("k % 11 <> 0")
+    back = F.col("k") % 13 == 0
+    end = done.select("region_id", "key", F.when(back, "ROLLBACK").when(F.col("k") % 7 == 0, "COMMIT_DELETE").otherwise("COMMIT_PUT").alias("op"), "start_ts", F.when(~back, F.col("commit_ts")).alias("commit_ts"), F.lit(None).cast("string").alias("value"))
+    return pre.select(*names).unionByName(end.select(*names))
+
+
+_DONE = "SELECT o_custkey AS key, o_orderkey * 10 + 5 AS commit_ts, CASE WHEN o_orderkey % 7 = 0 THEN 'delete' ELSE 'put' END AS op, o_orderstatus AS value, o_custkey % 8 AS region_id, o_orderkey * 10 AS start_ts FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0"
+
+
+@query(f"SELECT region_id, key, op, start_ts, commit_ts, value FROM ({_DONE})")
+def committed_changes(spark, sf_dir):
+    return changes.commits(transaction_log(spark, sf_dir))
+
+
+@query("SELECT o_custkey % 8 AS region_id, least(max(CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN o_orderkey * 10 + 5 ELSE o_orderkey * 10 END), min(CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey * 10 - 1 END)) AS resolved_ts FROM orders GROUP BY 1")
+def resolved_timestamps(spark, sf_dir):
+    return changes.resolved_ts(transaction_log(spark, sf_dir))
+
+
+@query(f"SELECT key, value FROM (SELECT * FROM ({_DONE}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) = 1) WHERE op = 'put'")
+def replica_table(spark, sf_dir):
+    return changes.replica(changes.commits(transaction_log(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- statistics
+
+@query(
+    "WITH c AS (SELECT p_size AS v, count(*) AS n FROM part GROUP BY 1), p AS (SELECT *, sum(n) OVER (ORDER BY v) AS upto FROM c), "
+    "b AS (SELECT *, ceil(upto * 16 / (SELECT sum(n) FROM c)::DOUBLE)::INT AS bucket FROM p) "
+    "SELECT bucket, min(v) AS lower, max(v) AS upper, sum(n)::BIGINT AS rows, arg_max(n, v) AS repeats, max(upto)::BIGINT AS cumulative FROM b GROUP BY bucket"
+)
+def equi_depth_histogram(spark, sf_dir):
+    return ST.histogram(R.read(spark, sf_dir, "part"), "p_size", 16)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", coalesce(sum(strlen({c}::VARCHAR)), 0)::BIGINT AS bytes FROM customer" for c in ("c_name", "c_mktsegment", "c_nationkey")))
+def column_statistics(spark, sf_dir):
+    return ST.column_statistics(R.read(spark, sf_dir, "customer"), ["c_name", "c_mktsegment", "c_nationkey"])
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE c_nationkey IS NULL AND c_mktsegment IS NULL) AS nulls, count(DISTINCT (c_nationkey, c_mktsegment)) AS \"distinct\" FROM customer")
+def column_group_statistics(spark, sf_dir):
+    return ST.group_statistics(R.read(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+@query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 20")
+def top_values(spark, sf_dir):
+    return ST.top_values(R.read(spark, sf_dir, "lineitem"), "l_partkey", 20)
+
+
+@query()
+def frequency_sketch(spark, sf_dir):
+    return ST.frequency_sketch(R.read(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query()
+def distinct_sketch(spark, sf_dir):
+    return ST.distinct_sketch(R.read(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+@query()
+def reservoir_sample(spark, sf_dir):
+    return ST.reservoir(R.read(spark, sf_dir, "orders").select("o_orderkey"), 100, "o_orderkey")
+
+
+@query()
+def bernoulli_sample(spark, sf_dir):
+    return ST.bernoulli(R.read(spark, sf_dir, "orders").select("o_orderkey"), 0.1, "o_orderkey")
+
+
+@query()
+def table_checksum(spark, sf_dir):
+    return ST.checksum(R.read(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+
+
+# ---------------------------------------------------------------- scalar functions
+
+def _columns() -> None:
+    """Columns that the expressions below share; made when a query is, as they need a session."""
+    g = globals()
+    g.update(zip(('_q', '_n', '_k'), (F.col("l_quantity"), F.col("l_linenumber"), F.col("l_orderkey")), strict=True))
+    g.update(zip(('_s', '_t'), (F.col("p_name"), F.col("p_type")), strict=True))
+    g.update(zip(('_d',), (F.col("o_orderdate"),), strict=True))
+    g.update(zip(('_ts',), (F.col("ts"),), strict=True))
+    g.update(zip(('_dur',), (C.timestamp_to_duration(g['_ts']),), strict=True))
+    g.update(zip(('_p',), (F.col("props"),), strict=True))
+    g.update(zip(('_v',), (F.col("embedding"),), strict=True))
+    g.update(zip(('_ip',), (F.col("c_custkey") * 65537 + 16777216,), strict=True))
 
 
-QUERIES["group_by_two_columns"] = group_by_two_columns
-ORACLES["group_by_two_columns"] = "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL"
+functions("functions_arithmetic", "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey", {
+    "f_plus": (lambda: X.plus(_k, F.col("l_partkey")), "l_orderkey + l_partkey"),
+    "f_minus": (lambda: X.minus(_k, F.col("l_partkey")), "l_orderkey - l_partkey"),
+    "f_times": (lambda: X.multiply(_k, F.col("l_suppkey")), "l_orderkey * l_suppkey"),
+    "f_divide": (lambda: X.divide(_q, _n - 1), "CASE WHEN l_linenumber <> 1 THEN l_quantity / (l_linenumber - 1) END"),
+    "f_int_divide": (lambda: X.int_divide_int(_k, _n - 1), "CASE WHEN l_linenumber <> 1 THEN l_orderkey // (l_linenumber - 1) END"),
+    "f_mod": (lambda: X.modulo(_k, _n - 1), "CASE WHEN l_linenumber <> 1 THEN l_orderkey % (l_linenumber - 1) END"),
+    "f_negate": (lambda: X.negate(_k), "-l_orderkey"),
+    "f_plus_uint": (lambda: X.plus_uint(_k, _n).cast("bigint"), "l_orderkey + l_linenumber"),
+})
+functions("functions_comparison", "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey", {
+    "f_lt": (lambda: X.lt(_q, F.lit(25)), "(l_quantity < 25)::BIGINT"), "f_le": (lambda: X.le(_q, F.lit(25)), "(l_quantity <= 25)::BIGINT"),
+    "f_gt": (lambda: X.gt(_q, F.lit(25)), "(l_quantity > 25)::BIGINT"), "f_ge": (lambda: X.ge(_q, F.lit(25)), "(l_quantity >= 25)::BIGINT"),
+    "f_eq": (lambda: X.eq(_n, F.lit(3)), "(l_linenumber = 3)::BIGINT"), "f_ne": (lambda: X.ne(_n, F.lit(3)), "(l_linenumber <> 3)::BIGINT"),
+    "f_null_eq": (lambda: X.null_eq(F.nullif(_n, F.lit(3)), F.lit(None)), "(l_linenumber = 3)::BIGINT"),
+    "f_greatest": (lambda: X.greatest(_q, _n.cast("double"), F.lit(10.0)), "greatest(l_quantity, l_linenumber, 10.0)"),
+    "f_least": (lambda: X.least(_q, F.nullif(_n, F.lit(2)).cast("double")), "CASE WHEN l_linenumber <> 2 THEN least(l_quantity, l_linenumber) END"),
+    "f_interval": (lambda: X.interval(_q, F.lit(10), F.lit(20), F.lit(30)), "((l_quantity >= 10)::BIGINT + (l_quantity >= 20)::BIGINT + (l_quantity >= 30)::BIGINT)"),
+    "f_in": (lambda: X.in_list(_n, 1, 3, 5), "(l_linenumber IN (1, 3, 5))::BIGINT"),
+    "f_coalesce": (lambda: X.coalesce(F.nullif(_n, F.lit(2)), F.lit(-1)), "coalesce(nullif(l_linenumber, 2), -1)"),
+})
+functions("functions_control", "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey", {
+    "f_if": (lambda: X.if_(_n % 2, F.lit("odd"), F.lit("even")), "CASE WHEN l_linenumber % 2 <> 0 THEN 'odd' ELSE 'even' END"),
+    "f_if_null": (lambda: X.if_null(F.nullif(_n, F.lit(2)), F.lit(0)), "coalesce(nullif(l_linenumber, 2), 0)"),
+    "f_case": (lambda: X.case_when(X.lt(_q, F.lit(10)), F.lit("low"), X.lt(_q, F.lit(30)), F.lit("mid"), F.lit("high")), "CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 30 THEN 'mid' ELSE 'high' END"),
+    "f_is_null": (lambda: X.is_null(F.nullif(_n, F.lit(2))), "(nullif(l_linenumber, 2) IS NULL)::BIGINT"),
+    "f_is_true": (lambda: X.is_true(F.nullif(_n - 1, F.lit(1))), "coalesce(nullif(l_linenumber - 1, 1) <> 0, false)::BIGINT"),
+    "f_is_false": (lambda: X.is_false(_n - 1), "(l_linenumber - 1 = 0)::BIGINT"),
+    "f_and": (lambda: X.logical_and(_n - 1, _n - 2), "(l_linenumber <> 1 AND l_linenumber <> 2)::BIGINT"),
+    "f_or": (lambda: X.logical_or(_n - 1, _n - 2), "(l_linenumber <> 1 OR l_linenumber <> 2)::BIGINT"),
+    "f_xor": (lambda: X.logical_xor(_n - 1, _n - 2), "((l_linenumber <> 1) <> (l_linenumber <> 2))::BIGINT"),
+    "f_not": (lambda: X.logical_not(_n - 1), "(l_linenumber = 1)::BIGINT"),
+    "f_any_value": (lambda: X.any_value(_n), "l_linenumber"),
+})
+functions("functions_bits", "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey", {
+    "f_and": (lambda: X.bit_and(_k, F.col("l_partkey")), "l_orderkey & l_partkey"), "f_or": (lambda: X.bit_or(_k, F.col("l_partkey")), "l_orderkey | l_partkey"),
+    "f_xor": (lambda: X.bit_xor(_k, F.col("l_partkey")), "xor(l_orderkey, l_partkey)"), "f_left": (lambda: X.left_shift(_k, _n), "l_orderkey << l_linenumber"),
+    "f_right": (lambda: X.right_shift(_k, _n), "l_orderkey >> l_linenumber"), "f_count": (lambda: X.bit_count(_k), "bit_count(l_orderkey)::BIGINT"),
+    "f_far": (lambda: X.left_shift(_k, F.lit(64)), "0::BIGINT"), "f_neg": (lambda: X.bit_neg(_k).cast("string"), "(18446744073709551615::HUGEINT - l_orderkey)::VARCHAR"),
+})
+functions("functions_math", "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey", {
+    "f_abs": (lambda: M.abs_(_q - 25), "abs(l_quantity - 25)"), "f_ceil": (lambda: M.ceil_real(F.col("l_tax") * 10), "ceil(l_tax * 10)"), "f_floor": (lambda: M.floor_real(F.col("l_tax") * 10), "floor(l_tax * 10)"),
+    "f_ln": (lambda: F.round(M.ln(_q - 1), 6), "CASE WHEN l_quantity > 1 THEN round(ln(l_quantity - 1), 6) END"), "f_log2": (lambda: F.round(M.log2(_q), 6), "round(log2(l_quantity), 6)"),
+    "f_log10": (lambda: F.round(M.log10(_q), 6), "round(log10(l_quantity), 6)"), "f_log": (lambda: F.round(M.log(_n.cast("double"), _q), 6), "CASE WHEN l_linenumber <> 1 THEN round(ln(l_quantity) / ln(l_linenumber), 6) END"),
+    "f_sin": (lambda: F.round(M.sin(_q), 6), "round(sin(l_quantity), 6)"), "f_cos": (lambda: F.round(M.cos(_q), 6), "round(cos(l_quantity), 6)"), "f_tan": (lambda: F.round(M.tan(F.col("l_tax")), 6), "round(tan(l_tax), 6)"),
+    "f_asin": (lambda: F.round(M.asin(_q / 25 - 1), 6), "CASE WHEN abs(l_quantity / 25 - 1) <= 1 THEN round(asin(l_quantity / 25 - 1), 6) END"), "f_acos": (lambda: F.round(M.acos(F.col("l_discount")), 6), "round(acos(l_discount), 6)"),
+    "f_atan": (lambda: F.round(M.atan(_q), 6), "round(atan(l_quantity), 6)"), "f_atan2": (lambda: F.round(M.atan2(_q, _n.cast("double")), 6), "round(atan2(l_quantity, l_linenumber), 6)"),
+    "f_pow": (lambda: F.round(M.pow_(_q, F.lit(2)), 4), "round(pow(l_quantity, 2), 4)"), "f_sqrt": (lambda: F.round(M.sqrt(_q - 20), 6), "CASE WHEN l_quantity >= 20 THEN round(sqrt(l_quantity - 20), 6) END"),
+    "f_exp": (lambda: F.round(M.exp(F.col("l_tax")), 6), "round(exp(l_tax), 6)"), "f_sign": (lambda: M.sign(_q - 25), "sign(l_quantity - 25)::BIGINT"), "f_pi": (lambda: F.round(M.pi(), 9), "round(pi(), 9)"),
+    "f_degrees": (lambda: F.round(M.degrees(F.col("l_tax")), 6), "round(degrees(l_tax), 6)"), "f_radians": (lambda: F.round(M.radians(_q), 6), "round(radians(l_quantity), 6)"),
+    "f_round": (lambda: M.round_(_q / 3, 2), "round(l_quantity / 3, 2)"), "f_truncate": (lambda: M.truncate_int(_k, -2), "(l_orderkey // 100) * 100"), "f_conv": (lambda: M.conv(_k.cast("string"), 10, 16), "upper(to_hex(l_orderkey))"),
+})
+functions("functions_strings", "part", "p_partkey", {
+    "f_length": (lambda: S.length(_s), "strlen(p_name)"), "f_bits": (lambda: S.bit_length(_s), "bit_length(p_name)"), "f_chars": (lambda: S.char_length(_s), "length(p_name)"), "f_ascii": (lambda: S.ascii_(_s), "ascii(p_name)::BIGINT"),
+    "f_concat": (lambda: S.concat(_s, F.lit("/"), _t), "p_name || '/' || p_type"), "f_concat_ws": (lambda: S.concat_ws(F.lit("-"), _s, F.lit(None), _t), "concat_ws('-', p_name, NULL, p_type)"),
+    "f_lower": (lambda: S.lower(_t), "lower(p_type)"), "f_upper": (lambda: S.upper(_s), "upper(p_name)"), "f_reverse": (lambda: S.reverse(_s), "reverse(p_name)"),
+    "f_left": (lambda: S.left(_s, F.lit(3)), "left(p_name, 3)"), "f_right": (lambda: S.right(_s, F.lit(3)), "right(p_name, 3)"), "f_lpad": (lambda: S.lpad(_t, F.lit(10), F.lit("*")), "lpad(p_type, 10, '*')"), "f_rpad": (lambda: S.rpad(_t, F.lit(4), F.lit("*")), "rpad(p_type, 4, '*')"),
+    "f_substring": (lambda: S.substring(_s, F.lit(3), F.lit(4)), "substr(p_name, 3, 4)"), "f_from_end": (lambda: S.substring(_s, F.lit(-4)), "right(p_name, 4)"), "f_zero": (lambda: S.substring(_s, F.lit(0)), "''"),
+    "f_locate": (lambda: S.locate(F.lit("e"), _s), "instr(p_name, 'e')"), "f_instr": (lambda: S.instr(_s, F.lit("BO"), True), "instr(lower(p_name), 'bo')"), "f_replace": (lambda: S.replace(_s, F.lit(" "), F.lit("_")), "replace(p_name, ' ', '_')"),
+    "f_insert": (lambda: S.insert(_s, F.lit(2), F.lit(3), F.lit("XY")), "substr(p_name, 1, 1) || 'XY' || substr(p_name, 5)"), "f_repeat": (lambda: S.repeat(_t, F.lit(2)), "repeat(p_type, 2)"), "f_space": (lambda: S.space(F.col("p_size") % 5), "repeat(' ', p_size % 5)"),
+    "f_index": (lambda: S.substring_index(_s, " ", 1), "string_split(p_name, ' ')[1]"), "f_strcmp": (lambda: S.strcmp(_s, _t), "CASE WHEN p_name < p_type THEN -1 WHEN p_name = p_type THEN 0 ELSE 1 END::BIGINT"),
+    "f_field": (lambda: S.field(_t, F.lit("ECONOMY"), F.lit("SMALL")), "coalesce(list_position(['ECONOMY', 'SMALL'], p_type), 0)::BIGINT"), "f_elt": (lambda: S.elt(F.col("p_size") % 4, F.lit("a"), F.lit("b")), "CASE p_size % 4 WHEN 1 THEN 'a' WHEN 2 THEN 'b' END"),
+    "f_find": (lambda: S.find_in_set(_t, F.lit("SMALL,ECONOMY,x")), "coalesce(list_position(['SMALL', 'ECONOMY', 'x'], p_type), 0)::BIGINT"), "f_hex": (lambda: S.hex_(_s), "upper(hex(p_name))"), "f_unhex": (lambda: S.unhex(S.hex_(_s)).cast("string"), "p_name"),
+    "f_bin": (lambda: S.bin_(F.col("p_partkey")), "bin(p_partkey)"), "f_oct": (lambda: S.oct_int(F.col("p_size")), "printf('%o', p_size)"), "f_base64": (lambda: S.to_base64(_s), "base64(encode(p_name))"), "f_unbase64": (lambda: S.from_base64(S.to_base64(_s)).cast("string"), "p_name"),
+    "f_quote": (lambda: S.quote(_s), "'''' || p_name || ''''"), "f_trim": (lambda: S.trim(_s, "r"), "trim(p_name, 'r')"), "f_trim_space": (lambda: S.ltrim(S.rtrim(F.concat(F.lit("  "), _s, F.lit(" ")))), "p_name"),
+    "f_set": (lambda: S.make_set(F.col("p_size") % 4, F.lit("a"), F.lit("b")), "CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'a,b' END"), "f_ord": (lambda: S.ord_(_s), "ord(p_name)::BIGINT"),
+})
+functions("functions_patterns", "part", "p_partkey", {
+    "f_like": (lambda: S.like(_s, "%e_g%"), "(p_name LIKE '%e_g%')::BIGINT"), "f_ilike": (lambda: S.like(_t, "e%", ignore_case=True), "(p_type ILIKE 'e%')::BIGINT"), "f_rlike": (lambda: S.regexp_like(_s, "^[a-d].*t$"), "regexp_matches(p_name, '^[a-d].*t$')::BIGINT"),
+    "f_substr": (lambda: S.regexp_substr(_s, "[aeiou]+"), "nullif(regexp_extract(p_name, '[aeiou]+'), '')"), "f_instr": (lambda: S.regexp_instr(_s, "[aeiou]"), "CASE WHEN regexp_matches(p_name, '[aeiou]') THEN length(regexp_extract(p_name, '^[^aeiou]*')) + 1 ELSE 0 END::BIGINT"),
+    "f_replace": (lambda: S.regexp_replace(_s, "([aeiou])", "<\\1>"), "regexp_replace(p_name, '([aeiou])', '<\\1>', 'g')"), "f_replace_first": (lambda: S.regexp_replace(_s, "[aeiou]", "#", occurrence=1), "regexp_replace(p_name, '[aeiou]', '#')"),
+})
+functions("functions_hash", "customer", "c_custkey", {
+    "f_md5": (lambda: H.md5(F.col("c_name")), "md5(c_name)"), "f_sha1": (lambda: H.sha1(F.col("c_name")), "sha1(c_name)"), "f_sha2": (lambda: H.sha2(F.col("c_name"), 256), "sha256(c_name)"), "f_sha2_bad": (lambda: H.sha2(F.col("c_name"), 7), "CAST(NULL AS VARCHAR)"),
+    "f_password": (lambda: H.password(F.col("c_name")), "'*' || sha1(sha1(c_name))"), "f_round_trip": (lambda: H.uncompress(H.compress(F.col("c_name"))).cast("string"), "c_name"), "f_length": (lambda: H.uncompressed_length(H.compress(F.col("c_name"))), "strlen(c_name)"),
+})
+functions("functions_dates", "orders", "o_orderkey", {
+    "f_date": (lambda: T.date(_d), "o_orderdate::DATE"), "f_year": (lambda: T.year(_d), "year(o_orderdate)"), "f_month": (lambda: T.month(_d), "month(o_orderdate)"), "f_day": (lambda: T.day_of_month(_d), "day(o_orderdate)"), "f_quarter": (lambda: T.quarter(_d), "quarter(o_orderdate)"),
+    "f_dow": (lambda: T.day_of_week(_d), "dayofweek(o_orderdate) + 1"), "f_weekday": (lambda: T.weekday(_d), "isodow(o_orderdate) - 1"), "f_doy": (lambda: T.day_of_year(_d), "dayofyear(o_orderdate)"), "f_week": (lambda: T.week_of_year(_d), "weekofyear(o_orderdate)"),
+    "f_week_u": (lambda: T.week(_d, 0), "strftime(o_orderdate, '%U')::BIGINT"), "f_week_w": (lambda: T.week(_d, 5), "strftime(o_orderdate, '%W')::BIGINT"), "f_yearweek": (lambda: T.year_week(_d, 3), "yearweek(o_orderdate)"),
+    "f_month_name": (lambda: T.month_name(_d), "monthname(o_orderdate)"), "f_day_name": (lambda: T.day_name(_d), "dayname(o_orderdate)"), "f_last_day": (lambda: T.last_day(_d), "last_day(o_orderdate)"), "f_to_days": (lambda: T.to_days(_d), "date_diff('day', DATE '0001-01-01', o_orderdate::DATE) + 366"),
+    "f_from_days": (lambda: T.from_days(T.to_days(_d)), "o_orderdate::DATE"), "f_seconds": (lambda: T.to_seconds(_d), "(date_diff('day', DATE '0001-01-01', o_orderdate::DATE) + 366) * 86400"), "f_diff": (lambda: T.date_diff(_d, F.lit("1996-01-01").cast("date")), "date_diff('day', DATE '1996-01-01', o_orderdate::DATE)"),
+    "f_add_month": (lambda: T.date_add(_d, F.lit(1), "MONTH"), "o_orderdate + INTERVAL 1 MONTH"), "f_sub_hours": (lambda: T.date_sub(_d, F.lit(5), "HOUR"), "o_orderdate - INTERVAL 5 HOUR"), "f_add_pair": (lambda: T.date_add(_d, F.lit("1 2:3"), "DAY_MINUTE"), "o_orderdate + INTERVAL 1 DAY + INTERVAL 2 HOUR + INTERVAL 3 MINUTE"),
+    "f_format": (lambda: T.date_format(_d, "%Y-%m-%d %H:%i:%s %j"), "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S %j')"), "f_make": (lambda: T.make_date(T.year(_d), T.day_of_year(_d)), "o_orderdate::DATE"),
+    "f_period": (lambda: T.period_add(T.year(_d) * 100 + T.month(_d), F.lit(3)), "strftime(o_orderdate + INTERVAL 3 MONTH, '%Y%m')::BIGINT"), "f_period_diff": (lambda: T.period_diff(T.year(_d) * 100 + T.month(_d), F.lit(199601)), "(year(o_orderdate) - 1996) * 12 + month(o_orderdate) - 1"),
+    "f_to_int": (lambda: C.timestamp_to_int(_d), "strftime(o_orderdate, '%Y%m%d%H%M%S')::BIGINT"), "f_to_text": (lambda: C.timestamp_to_text(_d), "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"), "f_from_int": (lambda: C.int_to_timestamp(C.timestamp_to_int(_d)), "o_orderdate"),
+})
+functions("functions_durations", "events", "event_id", {
+    "f_hour": (lambda: T.hour(_dur), "hour(ts)"), "f_minute": (lambda: T.minute(_dur), "minute(ts)"), "f_second": (lambda: T.second(_dur), "second(ts)"), "f_total": (lambda: T.time_to_sec(_dur), "hour(ts) * 3600 + minute(ts) * 60 + second(ts)"), "f_text": (lambda: T.format_time(_dur), "strftime(ts, '%H:%M:%S')"),
+    "f_int": (lambda: C.duration_to_int(_dur), "strftime(ts, '%H%M%S')::BIGINT"), "f_parsed": (lambda: T.time_to_sec(T.parse_time(F.date_format(_ts, "H:mm:ss"))), "hour(ts) * 3600 + minute(ts) * 60 + second(ts)"), "f_made": (lambda: T.time_to_sec(T.make_time(F.hour(_ts), F.minute(_ts), F.second(_ts))), "hour(ts) * 3600 + minute(ts) * 60 + second(ts)"),
+    "f_diff": (lambda: T.time_to_sec(T.time_diff(_dur, T.parse_time(F.lit("12:00:00")))), "hour(ts) * 3600 + minute(ts) * 60 + second(ts) - 43200"), "f_micro": (lambda: T.microsecond(T.parse_time(F.date_format(_ts, "HH:mm:ss.SSSSSS"))), "microsecond(ts) % 1000000"),
+})
+functions("functions_json", "events", "event_id", {
+    "f_extract": (lambda: J.extract(_p, "$.k"), "props->>'$.k'"), "f_type": (lambda: J.type_(J.extract(_p, "$.k")), "'INTEGER'"), "f_length": (lambda: J.length(_p), "len(json_keys(props))::BIGINT"), "f_keys": (lambda: J.keys(_p), "'[\"k\"]'"), "f_depth": (lambda: J.depth(_p), "2::BIGINT"), "f_valid": (lambda: J.valid(_p), "json_valid(props)::BIGINT"),
+    "f_contains": (lambda: J.contains(_p, F.lit('{"k": 7}')), "((props->>'$.k')::INT = 7)::BIGINT"), "f_set": (lambda: J.set_(_p, ("$.n", F.lit("1"))), "'{\"k\": ' || (props->>'$.k') || ', \"n\": 1}'"), "f_remove": (lambda: J.remove(_p, "$.k"), "'{}'"), "f_replace": (lambda: J.replace(_p, ("$.k", F.lit("0"))), "'{\"k\": 0}'"), "f_insert": (lambda: J.insert(_p, ("$.k", F.lit("0"))), "'{\"k\": ' || (props->>'$.k') || '}'"),
+    "f_unquote": (lambda: J.unquote(J.quote(F.col("event_type"))), "event_type"), "f_merge": (lambda: J.merge_patch(_p, F.lit('{"k": null, "z": 1}')), "'{\"z\": 1}'"), "f_preserve": (lambda: J.merge_preserve(_p, F.lit('{"k": 1}')), "'{\"k\": [' || (props->>'$.k') || ', 1]}'"), "f_array": (lambda: J.array(J.extract(_p, "$.k"), F.lit(None).cast("string")), "'[' || (props->>'$.k') || ', null]'"),
+    "f_object": (lambda: J.object_((F.lit("a"), J.extract(_p, "$.k"))), "'{\"a\": ' || (props->>'$.k') || '}'"), "f_member": (lambda: J.member_of(J.extract(_p, "$.k"), F.lit("[1, 2, 3]")), "((props->>'$.k')::INT IN (1, 2, 3))::BIGINT"), "f_append": (lambda: J.array_append(_p, ("$.k", F.lit("1"))), "'{\"k\": [' || (props->>'$.k') || ', 1]}'"),
+})
+functions("functions_vector", "embeddings", "vec_id", {
+    "f_dims": (lambda: V.dims(_v), "len(embedding)::BIGINT"), "f_norm": (lambda: F.round(V.l2_norm(_v), 5), "round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5)"), "f_l1": (lambda: F.round(V.l1_distance(_v, F.reverse(_v)), 5), "round(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda p: abs(p[1]::DOUBLE - p[2]::DOUBLE))), 5)"),
+    "f_l2": (lambda: F.round(V.l2_distance(_v, F.reverse(_v)), 5), "round(list_distance(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 5)"), "f_negative": (lambda: F.round(V.negative_inner_product(_v, F.reverse(_v)), 5), "round(-list_inner_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 5)"), "f_cosine": (lambda: F.round(V.cosine_distance(_v, F.reverse(_v)), 5), "round(1 - list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 5)"),
+})
+functions("functions_network", "customer", "c_custkey", {
+    "f_text": (lambda: N.inet_ntoa(_ip), "concat_ws('.', ((c_custkey * 65537 + 16777216) >> 24) & 255, ((c_custkey * 65537 + 16777216) >> 16) & 255, ((c_custkey * 65537 + 16777216) >> 8) & 255, (c_custkey * 65537 + 16777216) & 255)"), "f_number": (lambda: N.inet_aton(N.inet_ntoa(_ip)), "c_custkey * 65537 + 16777216"),
+    "f_is4": (lambda: N.is_ipv4(N.inet_ntoa(_ip)), "1::BIGINT"), "f_is6": (lambda: N.is_ipv6(F.lit("::1")), "1::BIGINT"), "f_not4": (lambda: N.is_ipv4(F.col("c_name")), "0::BIGINT"), "f_six": (lambda: N.inet6_ntoa(N.inet6_aton(F.lit("2001:db8:0::1"))), "'2001:db8::1'"),
+})
+functions("functions_casts", "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey", {
+    "f_real_int": (lambda: C.real_to_int(F.col("l_extendedprice")), "round(l_extendedprice)::BIGINT"), "f_int_real": (lambda: C.to_real(_k), "l_orderkey::DOUBLE"), "f_text": (lambda: C.to_text(_k), "l_orderkey::VARCHAR"), "f_text_int": (lambda: C.text_to_int(F.concat(_k.cast("string"), F.lit("abc"))), "l_orderkey"),
+    "f_text_real": (lambda: C.text_to_real(F.concat(_n.cast("string"), F.lit(".5x"))), "l_linenumber + 0.5::DOUBLE"), "f_no_number": (lambda: C.text_to_int(F.col("l_returnflag")), "0::BIGINT"), "f_json": (lambda: C.to_json(F.col("l_returnflag")), "'\"' || l_returnflag || '\"'"), "f_date_int": (lambda: C.date_to_int(F.col("l_shipdate")), "strftime(l_shipdate, '%Y%m%d')::BIGINT"),
+    "f_year": (lambda: C.int_to_year(_n), "l_linenumber + 2000::BIGINT"), "f_unsigned": (lambda: C.to_unsigned(-_k).cast("string"), "(CASE WHEN l_orderkey = 0 THEN 0 ELSE 18446744073709551616::HUGEINT - l_orderkey END)::VARCHAR"),
+})
