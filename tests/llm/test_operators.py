@@ -1,0 +1,563 @@
+"""The corpus operators against brute force, exact round trips and held-out accuracy, and on odd input."""
+
+import base64
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from basaltine.llm import boosting, decontamination, fingerprints, language_model, near_dedup, pieces, pii, quality, registry, secrets, text, token_counts, toxicity
+from basaltine.llm.graph import components
+
+SF = "/root/testdata/sf0.001"
+
+#: Nulls, empties, blanks, one very long text, repeated rows, ties, and columns that clash with internal names.
+ODD = [
+    (None, "a text whose id is null and which has some words", "x", 1),
+    (1, None, "x", 1),
+    (2, "", "x", 1),
+    (3, " \n\t ", None, 1),
+    (4, "one", "x", None),
+    (5, "same text here with seven plain words", "x", 1),
+    (6, "same text here with seven plain words", "x", 1),
+    (6, "same text here with seven plain words", "x", 1),
+    (7, "Ünïcödé ▁ 漢字 \U0001f600 " * 30, "x", 1),
+    (8, "word%d " * 3000, "x", 1),
+    (9, "x" * 30000, "x", 1),
+    (10, "0" * 5000 + "." * 50 + "@" * 100 + "+" * 50, "x", 1),
+]
+SCHEMA = "doc_id long, text string, held string, score int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet")
+
+
+@pytest.fixture(scope="module")
+def no_labels(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    return spark.read.parquet(f"{SF}/benchmark.parquet")
+
+
+def table(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def ids(rows):
+    return Counter(r["doc_id"] for r in rows)
+
+
+EVERY = Counter(r[0] for r in ODD)
+
+
+# ---------------------------------------------------------------- classifiers
+
+def test_boosting_learns():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(3000, 5))
+    y = ((x[:, 0] * x[:, 1] > 0) | (x[:, 2] > 1)).astype(float)
+    forest = boosting.fit(x[:2000], y[:2000])
+    assert ((forest.probability(x[2000:]) > 0.5) == y[2000:]).mean() > 0.93
+    for kind in (np.zeros(0), np.ones(50)):
+        constant = boosting.fit(x[: len(kind)], kind)
+        assert np.allclose(constant.probability(x[:3]), constant.probability(x[3:6]))
+
+
+def test_quality_and_toxicity_hold_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r for r in table(spark.read.parquet(f"{sf}/labels.parquet"))}
+    for name, target, cut in (("op1_quality", "quality", 0.7), ("op8_toxicity", "toxic", 0.3)):
+        got = table(registry.QUERIES[name](spark, sf))
+        assert len(got) == 1000
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= cut) for r in got)
+        held = [(r["predicted"], labels[r["doc_id"]][target]) for r in got if r["held_out"] and r["doc_id"] in labels]
+        assert sum(a == b for a, b in held) / len(held) > 0.9
+
+
+def test_classifiers_on_odd_input(docs, labels, no_labels, odd, none):
+    for model, score, keep in (
+        (quality.fit(docs, labels), quality.score, quality.keep_good),
+        (toxicity.fit(docs, labels), toxicity.score, toxicity.drop_toxic),
+        (toxicity.fit(docs, no_labels), toxicity.score, toxicity.drop_toxic),
+        (quality.fit(none, labels), quality.score, quality.keep_good),
+    ):
+        rows = table(score(odd, model))
+        assert ids(rows) == EVERY and all(0 <= r["score"] <= 1 for r in rows)
+        assert len({r["score"] for r in rows if r["doc_id"] in (1, 2)}) == 1  # null and empty alike
+        assert score(none, model).count() == 0
+        assert keep(odd, model).columns == odd.columns and keep(none, model).count() == 0
+
+
+# ---------------------------------------------------------------- decontamination
+
+def test_decontamination_finds_copies_and_edits(spark):
+    r = random.Random(4)
+    words = ["w%d" % i for i in range(3000)]
+    items = [" ".join(r.choice(words) for _ in range(30)) for _ in range(5)] + ["only three words"]
+    filler = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows, want = [(i, filler(120)) for i in range(30)], set()
+    for k, item in enumerate(items[:5]):
+        own = item.split()
+        for _ in range(5):  # one word in six is another
+            own[r.randrange(30)] = r.choice(words)
+        rows += [(100 + k, filler(50) + " " + item.upper() + ", " + filler(40)), (200 + k, filler(20) + " " + " ".join(own) + " " + filler(60))]
+        want |= {(100 + k, k), (200 + k, k)}
+    rows.append((300, filler(10) + " only three words " + filler(10)))
+    want.add((300, 5))
+    got = table(decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")))
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want
+    assert all(x["score"] == 1.0 for x in got if x["doc_id"] < 200 or x["doc_id"] == 300)
+
+
+def test_alignment_is_smith_waterman():
+    r = random.Random(1)
+    for _ in range(60):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(1, 12))] for _ in range(2))
+        items = decontamination.items_of([0], [" ".join(a)])
+        words = text.Words(pa.array([" ".join(b)])).hashes()
+        score, _ = decontamination.align(items, np.array([0]), words, np.array([0]), np.array([len(b)]))
+        h = np.zeros((len(a) + 1, len(b) + 1))
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                h[i, j] = max(0, h[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -0.5), h[i - 1, j] - 0.5, h[i, j - 1] - 0.5)
+        assert score[0] == pytest.approx(h.max() / len(a))
+
+
+def test_decontamination_on_odd_input(spark, odd, none, benchmark):
+    assert decontamination.matches(none, benchmark).count() == 0
+    assert decontamination.matches(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
+    strange = spark.createDataFrame([(None, "a b"), (1, None), (2, ""), (3, "same text here with seven plain words")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in table(decontamination.matches(odd, strange))} == {(5, 3), (6, 3)}
+    assert ids(table(decontamination.decontaminate(odd, strange))) == EVERY - Counter({5: 1, 6: 2})
+
+
+# ---------------------------------------------------------------- near duplicates
+
+def brute_classes(rows):
+    sets = {}
+    for i, t in rows:
+        w = [bytes(x).decode() for x in _words(t)]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        shared = len(sets[a] & sets[b])
+        if shared / (len(sets[a]) + len(sets[b]) - shared) >= 0.8:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in sets}
+
+
+def _words(t):
+    w = text.Words(pa.array([t]))
+    return [w.raw[a:b].tobytes() for a, b in zip(w.start, w.end, strict=True)]
+
+
+def test_near_dedup_against_brute_force(spark):
+    r = random.Random(2)
+    words = ["w%d" % i for i in range(500)]
+    rows = []
+    for group in range(6):
+        base = [r.choice(words) for _ in range(r.randint(3, 200))]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 25))):
+                own[r.randrange(len(own))] = r.choice(words)
+            rows.append((len(rows), " ".join(own)))
+    got = {x["doc_id"]: x["class_id"] for x in table(near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == brute_classes(rows)
+
+
+def test_signature_estimates_probability_jaccard():
+    r = np.random.default_rng(3)
+    errors = []
+    for _ in range(40):
+        a = np.sort(text.mix(r.integers(1, 1 << 60, 200).astype(np.uint64)))
+        b = np.sort(np.append(a[:150], text.mix(r.integers(1, 1 << 60, 50).astype(np.uint64))))
+        wa, wb = 1 + np.log(r.integers(1, 5, 200)), 1 + np.log(r.integers(1, 5, 200))
+        sig = near_dedup.signatures_of(np.repeat([0, 1], 200), np.concatenate([a, b]), np.concatenate([wa, wb]), 2)
+        x, y = dict(zip(a.tolist(), wa)), dict(zip(b.tolist(), wb))
+        both = set(x) | set(y)
+        exact = sum(1 / sum(max(x.get(j, 0) / x[k], y.get(j, 0) / y[k]) for j in both) for k in set(x) & set(y))
+        errors.append((sig[0] == sig[1]).mean() - exact)
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.09
+
+
+def test_forest_is_exact():
+    r = np.random.default_rng(0)
+    base = r.integers(1, 1 << 60, 200).astype(np.uint64)
+    sets = []
+    for _ in range(80):
+        x = base.copy()
+        m = r.integers(0, 45)
+        x[r.permutation(200)[:m]] = r.integers(1, 1 << 60, m).astype(np.uint64)
+        sets.append(np.sort(x))
+    every = np.arange(80)
+    got = near_dedup._forest(every, every, sets, [None] * 80, every, every, 0.8)
+    parent = list(range(80))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b, _ in got:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    found = [root(i) for i in range(80)]
+    parent = list(range(80))
+    for a, b in itertools.combinations(range(80), 2):
+        n = len(np.intersect1d(sets[a], sets[b]))
+        if n / (400 - n) >= 0.8:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert found == [root(i) for i in range(80)]
+
+
+def test_near_dedup_on_odd_input(odd, none):
+    got = table(near_dedup.classes(odd))
+    assert ids(got) == EVERY
+    named = {r["doc_id"]: r["class_id"] for r in got}
+    assert named[None] is None and named[5] == named[6] == 5 and named[1] == named[2] == named[3] == 1
+    assert ids(table(near_dedup.deduplicate(odd))) == Counter([None, 1, 4, 5, 7, 8, 9, 10]) - (Counter([10]) if named[10] != 10 else Counter())
+    assert near_dedup.classes(none).count() == 0 and near_dedup.deduplicate(none).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (4, 3), (9, 8), (7, 7)], "a long, b long")
+    assert {r["node"]: r["component"] for r in table(components(edges))} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {r["component"] for r in table(components(path))} == {0}
+
+
+# ---------------------------------------------------------------- fingerprints
+
+def test_fingerprints_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")
+    found = con.sql(registry.ORACLES["op4_fingerprints"])
+    want = {r[0]: dict(zip(found.columns, r, strict=True)) for r in found.fetchall()}
+    got = table(registry.QUERIES["op4_fingerprints"](spark, SF))
+    assert {r["doc_id"]: r for r in got} == want
+    by_text = {}
+    texts = {r["doc_id"]: r["text"] for r in table(spark.read.parquet(f"{SF}/documents.parquet"))}
+    for r in got:
+        assert by_text.setdefault(texts[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
+
+
+def test_fingerprints_on_odd_input(odd, none):
+    got = table(fingerprints.edited(odd))
+    assert ids(got) == EVERY
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    named = {r["doc_id"]: r for r in got}
+    assert named[1]["fingerprint"] == named[2]["fingerprint"] and named[5]["fingerprint"] == named[6]["fingerprint"]
+    assert named[1]["n_chars"] == 0 and named[1]["edited_sha256"] == hashlib.sha256(b"").hexdigest()
+    order = sorted((r for r in ODD if r[0] is not None), key=lambda r: -r[0]) + [ODD[0]]
+    texts = [(r[0], r[1] or "") for r in order]
+    for (i, own), (_, after) in zip(texts, texts[1:] + texts[:1], strict=True):
+        k = len(own) // 3
+        assert hashlib.sha256((own[: len(own) - k] + after[:k]).encode()).hexdigest() in {r["edited_sha256"] for r in got if r["doc_id"] == i}
+    assert fingerprints.edited(none).count() == 0 and fingerprints.fingerprints(none).count() == 0
+    assert ids(table(fingerprints.fingerprints(odd))) == EVERY
+
+
+# ---------------------------------------------------------------- language model
+
+def brute_base(rows):
+    tokens, c, n = {}, Counter(), 0
+    for i, t in rows:
+        own = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"]
+        tokens[i] = own
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update(own)
+            n += len(own)
+    return tokens, c, n
+
+
+def test_base_scores(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in table(docs)]
+    tokens, c, n = brute_base(rows)
+    for r in table(language_model.scores(docs)):
+        own = tokens[r["doc_id"]]
+        assert r["n_tokens"] == len(own) and r["n_known"] == sum(c[w] > 0 for w in own) and r["train_tokens"] == n
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + len(c) + 1)) for w in own))
+        assert r["score"] < 0
+
+
+def test_tree_is_context_tree_weighting(spark):
+    """Scores against a plain recursive tree over the same bytes."""
+    rows = [(i, t) for i, t in enumerate(["abra cadabra abra", "Abra! abracadabra", "banana bandana", "cab abra", "ada banana abra", "the abra", "zebra banana"])]
+    depth = 3
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    norm = lambda t: (" ".join(t.lower().split()) + "\n").encode()
+    counts = defaultdict(lambda: [0, 0])
+
+    def steps(data):
+        for k, byte in enumerate(data):
+            past = [data[k - d] if k >= d else 10 for d in range(1, depth + 1)]
+            for j in range(8):
+                yield past, (1 << j) | (byte >> (8 - j)), byte >> (7 - j) & 1
+
+    for _, t in train:
+        for past, node, bit in steps(norm(t)):
+            for d in range(depth + 1):
+                counts[tuple(past[:d]), node][bit] += 1
+    children = defaultdict(set)
+    for ctx, node in counts:
+        if ctx:
+            children[ctx[:-1], node].add(ctx[-1])
+
+    def pe(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def pw(ctx, node):
+        own = pe(*counts[ctx, node])
+        if len(ctx) == depth:
+            return own
+        below = sum(pw((*ctx, x), node) for x in children[ctx, node])
+        return np.logaddexp(own, below) - math.log(2)
+
+    def predict(past, node, bit, d=0):
+        ctx = tuple(past[:d])
+        if (ctx, node) not in counts:
+            return 0.5
+        own = (counts[ctx, node][bit] + 0.5) / (sum(counts[ctx, node]) + 1)
+        if d == depth or (tuple(past[: d + 1]), node) not in counts:
+            return own
+        stay = 1 / (1 + math.exp(-(pe(*counts[ctx, node]) - sum(pw((*ctx, x), node) for x in children[ctx, node]))))
+        return stay * own + (1 - stay) * predict(past, node, bit, d + 1)
+
+    got = {r["doc_id"]: r["score"] for r in table(language_model.scores(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth))}
+    for i, t in rows:
+        assert got[i] == pytest.approx(sum(math.log10(predict(p, n, b)) for p, n, b in steps(norm(t))), rel=1e-5)
+
+
+def test_language_model_on_odd_input(odd, none):
+    got = table(language_model.scores(odd))
+    assert ids(got) == EVERY
+    named = {r["doc_id"]: r for r in got}
+    assert named[1]["n_tokens"] == named[2]["n_tokens"] == named[3]["n_tokens"] == 1 and named[1]["score"] == named[2]["score"]
+    assert language_model.scores(none).count() == 0
+    tokens, c, n = brute_base([(r[0], r[1]) for r in ODD])
+    assert named[7]["train_tokens"] == n
+
+
+# ---------------------------------------------------------------- token counts
+
+def test_token_counts(spark, docs, tmp_path):
+    import tiktoken
+
+    with open(token_counts.DEFAULT_RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = table(docs)
+    got = {r["doc_id"]: r["n_tokens"] for r in table(registry.QUERIES["op6_token_counts"](spark, SF))}
+    assert got == {r["doc_id"]: len(plain.encode_ordinary(r["text"])) for r in rows}
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_flat_files_are_stitched(spark, tmp_path, width):
+    r = random.Random(width)
+    want = {}
+    for name in "abcd":
+        sizes = [r.choice([0, 1, 5, 300, 2000]) for _ in range(r.randint(0, 12))]
+        flat = [x for n in sizes for x in [*(r.randrange(1, 99) for _ in range(n)), 7777]]
+        tail = r.choice([0, 3, 900])
+        flat += [1] * tail
+        (tmp_path / name).write_bytes(np.array(flat, f"<u{width}").tobytes() + b"\x01" * (name == "d"))  # and half a token
+        want[name] = sizes + [tail] * bool(tail)
+    found = token_counts.stitched(token_counts.blocks(token_counts.read_flat(spark, str(tmp_path)), 7777, width, block_tokens=128))
+    got = defaultdict(dict)
+    for x in table(found):
+        got[x["file"][-1]][x["ordinal"]] = x["n_tokens"]
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+# ---------------------------------------------------------------- pieces
+
+def test_pieces_round_trip_and_score():
+    codec = pieces.Codec(pieces.read_vocabulary(pieces.DEFAULT_PATH))
+    r = random.Random(1)
+    texts = ["".join(r.choice("ab thexyz \n中\U0001f600é.1\t") for _ in range(r.randint(0, 250))) for _ in range(150)] + ["", " ", "  a", "\n", "a" * 500 + "漢字" * 100, "x▁y"]
+    codes, offsets = codec.encode(pa.array(texts))
+    assert codec.decode(codes, offsets) == [t.replace("▁", " ") for t in texts]
+    for t, a, b in zip(texts[:40], offsets[:-1], offsets[1:], strict=False):  # no segmentation scores better
+        if not t:
+            continue
+        data = codec.escaped(pa.array([t]))[0].as_py()
+        best = [0.0] + [-math.inf] * len(data)
+        lookup = {}
+        for i, (lo, hi) in enumerate(zip(codec.piece_ends[:-1], codec.piece_ends[1:], strict=True)):
+            if i not in set(codec.byte_ids.tolist()):
+                lookup[codec.piece_bytes[lo:hi].tobytes().decode("utf-8", "replace")] = i
+        for i in range(len(data)):
+            for j in range(i + 1, min(len(data), i + 20) + 1):
+                s = codec.scores[lookup[data[i:j]]] if data[i:j] in lookup else codec.unknown_score if j == i + 1 else -math.inf
+                best[j] = max(best[j], best[i] + s)
+        own, bytes_ = 0.0, 0
+        for x in codes[a:b]:
+            if x in codec.byte_ids:
+                bytes_ += 1
+            else:
+                own += codec.scores[x]
+        lone = sum(1 for c in data if c not in lookup)
+        assert own + lone * codec.unknown_score == pytest.approx(best[-1]) or bytes_
+
+
+def test_pieces_like_the_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    codec = pieces.Codec(pieces.read_vocabulary(pieces.DEFAULT_PATH))
+    codec.scores = codec.scores.astype(np.float32).astype(float)
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    model, i = b"", 0
+    with open(pieces.DEFAULT_PATH, "rb") as f:
+        data = f.read()
+    for number, value in pieces._fields(data):  # the same pieces as a unigram model
+        if number == 1:
+            own = dict(pieces._fields(value))
+            value = b"\x0a" + varint(len(own[1])) + own[1] + b"\x15" + np.float32(codec.scores[i]).tobytes() + b"\x18" + varint(own.get(3, 1))
+            i += 1
+        elif number == 2:
+            value = b"\x18\x01" + varint(35 << 3) + b"\x01" + varint(40 << 3) + b"\x00" + varint(41 << 3) + b"\x01" + varint(42 << 3) + b"\x02"
+        if number <= 3:
+            model += varint(number << 3 | 2) + varint(len(value)) + value
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = ["Hello world", "thentionwh ouble é 漢字 " * 20, "a  b\n\nc", "thhaonnd reheea"]
+    codes, offsets = codec.encode(pa.array(texts))
+    for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        want = library.encode(t)
+        assert sum(codec.scores[x] for x in codes[a:b]) == pytest.approx(sum(codec.scores[x] for x in want), rel=1e-5)
+
+
+def test_pieces_on_odd_input(odd, none):
+    got = table(pieces.encode(odd))
+    assert ids(got) == EVERY and all(r["round_trip"] and r["n_pieces"] == len(r["piece_ids"]) for r in got)
+    back = {r["doc_id"]: r["text"] for r in table(pieces.decode(pieces.encode(odd)))}
+    assert back[4] == "one" and back[1] == "" and back[7] == ODD[8][1].replace("▁", " ")
+    assert pieces.encode(none).count() == 0
+
+
+def test_long_stretches_are_segmented_alike():
+    codec = pieces.Codec(pieces.read_vocabulary(pieces.DEFAULT_PATH))
+    r = random.Random(5)
+    data = " " + "".join(r.choice("thenouble漢") for _ in range(150))
+    raw = np.frombuffer(data.encode(), np.uint8)
+    many, _ = codec._many(raw, np.array([0]), np.array([len(raw)]))
+    assert many.tolist() == codec._one(raw.tobytes()).tolist()
+
+
+# ---------------------------------------------------------------- personal data and secrets
+
+def test_pii_base_rules():
+    email, ip, card, phone = (re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"))
+    r = random.Random(3)
+    for _ in range(20000):
+        t = "".join(r.choice("a1 25.@-+()_%é") for _ in range(r.randint(0, 60)))
+        want = [(m.start(), m.end(), "email") for m in email.finditer(t)]
+        want += [(m.start(), m.end(), "ip") for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+        want += [(m.start(), m.end(), "card") for m in card.finditer(t) if 12 <= len(pii.digits_of(m[0])) <= 19 and pii.luhn(pii.digits_of(m[0]))]
+        want += [(m.start(), m.end(), "phone") for m in phone.finditer(t) if 9 <= len(pii.digits_of(m[0])) <= 15]
+        assert sorted(pii.base_spans(t)) == sorted(want)
+
+
+def test_pii_adds_spans():
+    model = pii.fit()
+    good = bad = missed = 0
+    examples = pii.examples(300, 99)
+    for (t, spans), (_, got) in zip(examples, pii.spans_of([t for t, _ in examples], model), strict=True):
+        hit = set()
+        for a, b, _ in got:
+            own = [i for i, (s, e) in enumerate(spans) if min(b, e) > max(a, s)]
+            good, bad, hit = good + bool(own), bad + (not own), hit | set(own)
+        missed += len(spans) - len(hit)
+    assert good / (good + bad) > 0.9 and good / (good + missed) > 0.75
+    assert pii.redacted("a b@c.de f", [(2, 8, "email")]) == "a [EMAIL] f"
+
+
+def test_pii_on_odd_input(odd, none):
+    got = table(pii.find(odd))
+    assert ids(got) == EVERY
+    assert {r["doc_id"]: r["base_sha256"] for r in got}[2] == hashlib.sha256(b"").hexdigest()
+    fresh = {r["doc_id"]: r["text"] for r in table(pii.redact(odd))}
+    assert fresh[1] is None and fresh[4] == "one" and pii.find(none).count() == 0 and pii.redact(odd).columns == odd.columns
+
+
+def test_secret_base_rules():
+    assign, access, hexes = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
+    r = random.Random(5)
+    parts = ["password", "PassWd", "Secret", "token", "api_key", "APIKEY", "=", ": ", '"', "'", "AKIA", "ABCDEFGHIJ12", "é", "abc123def456", "0123456789abcdef", " ", "x", "\n", "=abcdefgh", "AKI", "a1B2c3D4e5F6g7H8i9J0kk", "client_id=", "https://u:pass1@h.com/x"]
+    for _ in range(60):
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(40)]
+        for t, (base, every, _) in zip(texts, secrets.spans_of(pa.array(texts)), strict=True):
+            want = [(m.start(), m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 8]
+            want += [(m.start(), m.end(), "access") for m in access.finditer(t) if len(m[0]) >= 16]
+            want += [(m.start(), m.end(), "hex") for m in hexes.finditer(t) if len(m[0]) >= 32]
+            assert base == sorted(want, key=lambda s: (s[0], secrets.KINDS.index(s[2]))) and set(base) <= set(every)
+
+
+def test_weak_parts_need_each_other():
+    value = "a1B2c3D4e5F6g7H8i9J0kk"
+    texts = [f"é client_id = abc99 then {value}", value, f"client_id = abc99\n\n{value}", f"client_id = abc99 {'x ' * 400}{value}", f"https://h.example.com/a {value}", "client_id = abc99"]
+    kinds = [[k for _, _, k in every] for _, every, _ in secrets.spans_of(pa.array(texts))]
+    assert kinds == [["ident", "secret"], [], [], [], ["secret"], []]
+
+
+def test_secrets_on_odd_input(odd, none):
+    got = table(secrets.find(odd))
+    assert ids(got) == EVERY and secrets.find(none).count() == 0
+    assert {r["doc_id"]: r["spans"] for r in got}[10] == "hex:0:5000"
+
+
+# ---------------------------------------------------------------- text primitives
+
+def test_words_never_cross_texts():
+    w = text.Words(pa.array(["Hello, World", "", "x", "É é"]))
+    assert [w.raw[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)] == ["hello", "world", "x", "é", "é"]
+    assert w.doc.tolist() == [0, 0, 2, 3, 3]
+    h = w.hashes()
+    assert h[3] == h[4] and len(set(h.tolist())) == 4
+
+
+def test_slices_cover_all():
+    batch = pa.record_batch({"text": pa.array(["a" * n for n in (0, 5, 100, 0, 3, 60)])})
+    got = [r.as_py() for part in text.slices(batch, "text", 50) for r in part.column("text")]
+    assert got == batch.column("text").to_pylist()
