@@ -13,7 +13,9 @@ are summed up from the subtrees.
 
 Nothing that grows with the corpus is broadcast.  Texts are grouped in blocks of bounded size; a
 block asks for each of its distinct words and contexts once, the tasks that hold counts
-answer, and the answers meet the block's texts again.
+answer, and the answers meet the block's texts again.  Contexts are dealt by their two nearest
+bytes, some of which are in a large share of all contexts, so the blocks' counts of a bucket are
+merged in levels of bounded fan-in, and its answers are handed out to as many parts.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from .text import bounded_batches, buffer_of, distinct_counts, held_out, mix, sl
 
 DEPTH = 5
 #: Bytes of text of a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of input for each bucket of words or contexts.
 BUCKET_BYTES = 8 << 20
+#: Tables of one bucket that are merged, or answered, by one task.
+FAN = 16
 END = 10
 U64 = np.uint64
 DOCS, WORDS, CONTEXTS = 0, 1, 2
@@ -188,7 +192,7 @@ def _block_rows(block: int, tables: list[pa.RecordBatch], buckets: int, depth: i
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int32())], ["block", "bucket", "data", "more", "kind"])
 
 
-def _blocks(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
+def _blocks(docs: DataFrame, buckets: int, depth: int, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = n = 0
@@ -196,7 +200,7 @@ def _blocks(docs: DataFrame, buckets: int, depth: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 _, o = buffer_of(part.column("text"))
-                if held and size + o[-1] > BLOCK_BYTES:
+                if held and size + o[-1] > block_bytes:
                     yield from _block_rows(task << 24 | n, held, buckets, depth)
                     held, size, n = [], 0, n + 1
                 held.append(part)
@@ -233,7 +237,7 @@ def _answer_words(table: pa.Table) -> pa.Table:
     return _answer(table, WORDS, asked, [counts[np.searchsorted(keys, a)] for a in asked], int((counts > 0).sum()), int(counts.sum()))
 
 
-def _half_log_gamma(n: np.ndarray) -> np.ndarray:
+def _log_gamma(n: np.ndarray) -> np.ndarray:
     """log gamma(n) for n >= 0.5, by Stirling's series after eight steps up."""
     x = n + 8.0
     low = np.ones_like(n)
@@ -244,7 +248,7 @@ def _half_log_gamma(n: np.ndarray) -> np.ndarray:
 
 def block_probability(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _half_log_gamma(n - ones + 0.5) + _half_log_gamma(ones + 0.5) - _half_log_gamma(n + 1.0) - np.log(np.pi)
+    return _log_gamma(n - ones + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(n + 1.0) - np.log(np.pi)
 
 
 class Nodes:
@@ -354,10 +358,37 @@ def _root(rows: pa.Table) -> Tree:
     return tree
 
 
-def _subtree(table: pa.Table, depth: int) -> tuple[Tree, list[np.ndarray]]:
+_CELL = "bucket int, part int, data binary, more binary"
+
+
+def _parts(block: str, n: int):
+    return F.pmod(F.xxhash64(block), F.lit(n)).cast("int")
+
+
+def _merge_cells(table: pa.Table) -> pa.Table:
     asked, n = _cells(table)
     keys, counts = _merged(list(zip(asked, n, strict=True)))
-    return Tree(keys[counts > 0], counts[counts > 0], depth, 2), asked
+    return pa.table({"bucket": table["bucket"].slice(0, 1), "part": table["part"].slice(0, 1), "data": pa.array([pack(keys)], pa.binary()), "more": pa.array([pack(counts)], pa.binary())})
+
+
+def _narrowed(cells: DataFrame, n_blocks: int, fan: int) -> DataFrame:
+    """Cells (bucket, part, data, more) with at most about `fan` of a bucket, merged level by level."""
+    n = n_blocks
+    out = cells.withColumn("part", F.lit(0))
+    first = True
+    while n > fan:
+        n = -(-n // fan)
+        out = out.withColumn("part", _parts("block", n) if first else F.pmod("part", F.lit(n)))
+        out = out.select("bucket", "part", "data", "more").groupBy("bucket", "part").applyInArrow(_merge_cells, _CELL)
+        first = False
+    return out.select("bucket", "part", "data", "more")
+
+
+def _subtree(table: pa.Table, depth: int) -> tuple[Tree, np.ndarray]:
+    """The tree of a bucket's counts, and all contexts that are asked for."""
+    asked, n = _cells(table)
+    keys, counts = _merged(list(zip(asked, n, strict=True)))
+    return Tree(keys[counts > 0], counts[counts > 0], depth, 2), keys
 
 
 # ---------------------------------------------------------------- scores
@@ -365,7 +396,7 @@ def _subtree(table: pa.Table, depth: int) -> tuple[Tree, list[np.ndarray]]:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, held_out_mod: int = 7, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scores(docs: DataFrame, held_out_mod: int = 7, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of every row.
 
     Learns from rows whose crc32(doc_id as text) mod `held_out_mod` is not 2 (a null id is learned
@@ -378,21 +409,30 @@ def scores(docs: DataFrame, held_out_mod: int = 7, depth: int = DEPTH, id_col: s
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("held", held_out("doc_id", held_out_mod))
     buckets = max(16, min(1 << 16, input_bytes(own) // BUCKET_BYTES))
-    parts = written(_blocks(own, buckets, depth), "kind")
+    parts = written(_blocks(own, buckets, depth, block_bytes), "kind")
     words, contexts = (parts.where(F.col("kind") == k).select("block", "bucket", "data", "more") for k in (WORDS, CONTEXTS))
     counted = written(words.groupBy("bucket").applyInArrow(_answer_words, _ANSWER))
     n, v = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    top = contexts.groupBy("bucket").applyInArrow(lambda t: _subtree(t, depth)[0].summary(), "node long, n double, ones double, below double")
+    n_blocks = max(1, parts.where(F.col("kind") == DOCS).count())
+    merged = _narrowed(contexts, n_blocks, fan)
+    top = merged.groupBy("bucket").applyInArrow(lambda t: _subtree(t, depth)[0].summary(), "node long, n double, ones double, below double")
     root = spark.sparkContext.broadcast(_root(top.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n", "ones", "below"))).toArrow()))
 
-    def answer(table: pa.Table) -> pa.Table:
-        tree, asked = _subtree(table, depth)
-        every = np.concatenate(asked)
-        values = tree.log_probability(every, root.value).astype(np.float32)
-        cut = np.cumsum([len(a) for a in asked])[:-1]
-        return _answer(table, CONTEXTS, asked, np.split(values, cut), 0, 0)
-
-    answers = counted.unionByName(contexts.groupBy("bucket").applyInArrow(answer, _ANSWER)).select("block", "kind", "data", "more")
+    def evaluate(table: pa.Table) -> pa.Table:
+        tree, keys = _subtree(table, depth)
+        values = np.concatenate([tree.log_probability(keys[lo : lo + 500_000], root.value) for lo in range(0, len(keys), 500_000)]).astype(np.float32)
+        return pa.table({"bucket": table["bucket"].slice(0, 1), "part": table["part"].slice(0, 1), "data": pa.array([pack(keys)], pa.binary()), "more": pa.array([pack(values)], pa.binary())})
+
+    def hand_out(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, values = (unpack(right[c][0].as_py()) for c in ("data", "more"))
+        asked = [unpack(x) for x in left["data"].to_pylist()]
+        return _answer(left, CONTEXTS, asked, [values[np.searchsorted(keys, a)] for a in asked], 0, 0)
+
+    n_parts = -(-n_blocks // fan)
+    valued = merged.groupBy("bucket").applyInArrow(evaluate, _CELL).select("bucket", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "data", "more")
+    asking = contexts.select("block", "bucket", _parts("block", n_parts).alias("part"), "data")
+    handed = asking.groupBy("bucket", "part").cogroup(valued.groupBy("bucket", "part")).applyInArrow(hand_out, _ANSWER)
+    answers = counted.unionByName(handed).select("block", "kind", "data", "more")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []

@@ -365,6 +365,12 @@ def test_tree_is_context_tree_weighting(spark):
         assert got[i] == pytest.approx(sum(math.log10(predict(p, n, b)) for p, n, b in steps(norm(t))), rel=1e-5)
 
 
+def test_blocks_and_levels_do_not_matter(docs):
+    whole = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in table(language_model.scores(docs))}
+    cut = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in table(language_model.scores(docs, block_bytes=20_000, fan=2))}
+    assert whole.keys() == cut.keys() and all(v == pytest.approx(cut[k]) for k, v in whole.items())
+
+
 def test_language_model_on_odd_input(odd, none):
     got = table(language_model.scores(odd))
     assert ids(got) == EVERY
