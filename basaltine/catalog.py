@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import aggregates as A
 from .functions import casts as C
+from .functions import collations as K
 from .functions import hashing as H
 from .functions import jsons as J
 from .functions import maths as M
@@ -23,7 +24,7 @@ from .functions import vectors as V
 from .operators import relational as R
 from .operators import statistics as ST
 from .plans import request
-from .sources import versions
+from .sources import folders, versions
 from .streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -330,8 +331,42 @@ def replica_table(spark, sf_dir):
     return changes.replica(changes.commits(transaction_log(spark, sf_dir)))
 
 
+@query(f"SELECT key, value FROM (SELECT * FROM ({_DONE}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) = 1) WHERE op = 'put'")
+def streamed_replica(spark, sf_dir):
+    """The same table by way of log files, a resumable stream and a cut-over."""
+    source = folders.fresh(spark, "log")
+    transaction_log(spark, sf_dir).write.parquet(source)
+    task = changes.Replication(spark, source, folders.fresh(spark, "replica"), folders.fresh(spark, "progress"))
+    task.start()
+    task.complete()
+    return task.activate()
+
+
+@query("SELECT key, count(*)::BIGINT AS versions, max(commit_ts) AS newest FROM (" + _LOG + ") WHERE commit_ts > 5000 GROUP BY key")
+def incremental_scan(spark, sf_dir):
+    own = changes.incremental(order_versions(spark, sf_dir), 5000)
+    return own.groupBy("key").agg(F.count("*").alias("versions"), F.max("commit_ts").alias("newest"))
+
+
+@query("SELECT o_orderkey AS key, o_orderstatus AS value FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 3 = 0")
+def raw_put(spark, sf_dir):
+    own = R.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"))
+    return versions.put(own, own.where("key % 3 = 0").select("key", F.lit("new").alias("value")))
+
+
+@query("SELECT o_orderkey AS key, o_orderstatus AS value FROM orders WHERE o_orderkey < 100 OR o_orderkey >= 900")
+def raw_delete_range(spark, sf_dir):
+    own = R.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"))
+    return versions.delete_range(own, 100, 900)
+
+
 # ---------------------------------------------------------------- statistics
 
+@query()
+def table_checksum64(spark, sf_dir):
+    return ST.checksum64(R.read(spark, sf_dir, "customer"), "c_custkey", "c_name")
+
+
 @query(
     "WITH c AS (SELECT p_size AS v, count(*) AS n FROM part GROUP BY 1), p AS (SELECT *, sum(n) OVER (ORDER BY v) AS upto FROM c), "
     "b AS (SELECT *, ceil(upto * 16 / (SELECT sum(n) FROM c)::DOUBLE)::INT AS bucket FROM p) "
@@ -507,3 +542,8 @@ functions("functions_casts", "lineitem", "l_orderkey, l_linenumber, l_partkey, l
     "f_text_real": (lambda: C.text_to_real(F.concat(_n.cast("string"), F.lit(".5x"))), "l_linenumber + 0.5::DOUBLE"), "f_no_number": (lambda: C.text_to_int(F.col("l_returnflag")), "0::BIGINT"), "f_json": (lambda: C.to_json(F.col("l_returnflag")), "'\"' || l_returnflag || '\"'"), "f_date_int": (lambda: C.date_to_int(F.col("l_shipdate")), "strftime(l_shipdate, '%Y%m%d')::BIGINT"),
     "f_year": (lambda: C.int_to_year(_n), "l_linenumber + 2000::BIGINT"), "f_unsigned": (lambda: C.to_unsigned(-_k).cast("string"), "(CASE WHEN l_orderkey = 0 THEN 0 ELSE 18446744073709551616::HUGEINT - l_orderkey END)::VARCHAR"),
 })
+functions("functions_collation", "customer", "c_custkey", {
+    "f_compare": (lambda: K.compare(F.lower(F.col("c_mktsegment")), F.lit("FURNITURE  "), "utf8mb4_general_ci"), "CASE WHEN c_mktsegment < 'FURNITURE' THEN -1 WHEN c_mktsegment = 'FURNITURE' THEN 0 ELSE 1 END::BIGINT"),
+    "f_equal": (lambda: K.equal(F.lower(F.col("c_mktsegment")), F.lit("FURNITURE"), "utf8mb4_general_ci"), "(c_mktsegment = 'FURNITURE')::BIGINT"), "f_binary": (lambda: K.equal(F.lower(F.col("c_mktsegment")), F.lit("FURNITURE")), "0::BIGINT"),
+    "f_in": (lambda: K.in_list(F.col("c_mktsegment"), ["furniture ", "machinery"], "utf8mb4_general_ci"), "(c_mktsegment IN ('FURNITURE', 'MACHINERY'))::BIGINT"), "f_field": (lambda: K.field(F.col("c_mktsegment"), ["machinery", "furniture"], "utf8mb4_unicode_ci"), "CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'FURNITURE' THEN 2 ELSE 0 END::BIGINT"),
+})

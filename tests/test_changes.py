@@ -88,3 +88,10 @@ def test_sketches_estimate(spark):
     assert ST.estimate(ST.frequency_sketch(df, "v"), F.lit(3).cast("long")).first()["n"] >= 7
     assert abs(ST.distinct_sketch(df, "v").first()["distinct"] - 700) < 200
     assert ST.histogram(df, "v", 10).agg({"rows": "sum"}).first()[0] == 5000
+
+
+def test_crc64_and_order_independence(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k long, v string")
+    assert ST.checksum64(df, "k", "v").collect() == ST.checksum64(df.orderBy(F.desc("k")), "k", "v").collect()
+    got = spark.range(1).select(ST.crc64(F.lit("123456789"))).first()[0]
+    assert got % (1 << 64) == 0x995DC9BBDF1939FA  # the polynomial's published check value
