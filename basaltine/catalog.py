@@ -259,6 +259,17 @@ def request_pipeline(spark, sf_dir):
     return request.run(spark, sf_dir, REQUEST)
 
 
+@query("SELECT count(*) AS n, sum(o_totalprice::DECIMAL(15,2))::DOUBLE AS total, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderstatus LIKE 'O%' GROUP BY 3")
+def request_with_calls(spark, sf_dir):
+    column = lambda c: {"column": c}
+    executors = [
+        {"type": "table_scan", "columns": ["o_orderdate", "o_totalprice", "o_orderstatus"]},
+        {"type": "selection", "conditions": [{"call": "like", "args": [column("o_orderstatus"), {"value": "O%"}]}]},
+        {"type": "aggregation", "group_by": [{"call": "date_format", "args": [column("o_orderdate"), {"value": "%Y-%m"}], "as": "month"}], "aggregates": ["count(1) as n", "cast(sum(cast(o_totalprice as decimal(15,2))) as double) as total"]},
+    ]
+    return request.run(spark, sf_dir, {"table": "orders", "executors": executors})
+
+
 # ---------------------------------------------------------------- multi-version reads and change streams
 
 def order_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@
         {"type": "top_n", "order_by": [["n", true]], "limit": 3}],
      "output": ["n", "l_returnflag"]}
 
-Expressions are Spark SQL text.  The first executor is a scan; joins, exchanges and sorts aren't part of a request.
+Expressions are Spark SQL text or trees (see `expressions`).  The first executor is a scan; joins, exchanges and sorts aren't part of a request.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import relational as R
+from .expressions import build
 
 SCANS = ("table_scan", "index_scan", "index_lookup")
 REJECTED = ("join", "kill", "exchange_sender", "exchange_receiver", "partition_table_scan", "sort", "window", "expand")
@@ -50,13 +50,13 @@ def _scan(table: DataFrame, e: dict) -> DataFrame:
 
 
 def _aggregates(e: dict) -> list:
-    return [F.expr(a) for a in e.get("aggregates", [])]
+    return [build(a) for a in e.get("aggregates", [])]
 
 
 _BUILD: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
-    "selection": lambda df, e: R.selection(df, e["conditions"]),
-    "projection": lambda df, e: R.projection(df, e["expressions"]),
-    "aggregation": lambda df, e: R.hash_aggregation(df, [F.expr(g) for g in e["group_by"]], _aggregates(e)) if e.get("group_by") else R.simple_aggregation(df, _aggregates(e)),
+    "selection": lambda df, e: R.selection(df, [build(c) for c in e["conditions"]]),
+    "projection": lambda df, e: R.projection(df, [build(c) for c in e["expressions"]]),
+    "aggregation": lambda df, e: R.hash_aggregation(df, [build(g) for g in e["group_by"]], _aggregates(e)) if e.get("group_by") else R.simple_aggregation(df, _aggregates(e)),
     "stream_aggregation": lambda df, e: R.stream_aggregation(df, e["group_by"], _aggregates(e)) if e.get("group_by") else R.simple_aggregation(df, _aggregates(e)),
     "limit": lambda df, e: R.partition_limit(df, e["partition_by"], e["limit"]) if e.get("partition_by") else R.limit(df, e["limit"]),
     "top_n": lambda df, e: R.top_n(df, [tuple(o) for o in e["order_by"]], e["limit"]),

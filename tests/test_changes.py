@@ -95,3 +95,14 @@ def test_crc64_and_order_independence(spark):
     assert ST.checksum64(df, "k", "v").collect() == ST.checksum64(df.orderBy(F.desc("k")), "k", "v").collect()
     got = spark.range(1).select(ST.crc64(F.lit("123456789"))).first()[0]
     assert got % (1 << 64) == 0x995DC9BBDF1939FA  # the polynomial's published check value
+
+
+def test_expression_trees(spark):
+    from basaltine.plans.expressions import build, library
+
+    assert len(library()) > 200
+    row = spark.range(1).select(build({"call": "json_extract", "args": [{"value": '{"a": 5}'}, {"value": "$.a"}], "as": "x"}), build({"call": "lpad", "args": [{"value": "7"}, {"value": 3}, {"value": "0"}]}), build("id + 1")).first()
+    assert tuple(row) == ("5", "007", 1)
+    for bad in (3, {"call": "no_such"}, {}):
+        with pytest.raises(ValueError):
+            build(bad)
