@@ -36,6 +36,9 @@ REGISTERS = BANDS * ROWS
 #: Members of a block, and bytes of their element sets, when what remains of a group is compared exactly.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
 
+#: Ids that are broadcast at most (8 bytes each); beyond it documents and ids are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
 U64 = np.uint64
 
 
@@ -156,7 +159,9 @@ def element_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             ["doc", "hashes", "weights"],
         )
 
-    own = id_and_text(docs).join(ids.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi")
+    wanted = checkpointed(ids.select(F.col("doc").alias("doc_id")).distinct())
+    few = wanted.count() <= BROADCAST_IDS  # then the texts needn't be shuffled
+    own = id_and_text(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     # rows that repeat an id: the first text in order stands for the document
     return own.mapInArrow(over_slices(run), "doc long, hashes binary, weights binary").groupBy("doc").agg(F.min(F.struct("hashes", "weights")).alias("s")).select("doc", "s.hashes", "s.weights")
 
@@ -325,7 +330,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     banded = reps.mapInArrow(keys, "key long, doc long")
     buckets = banded.groupBy("key").agg(F.min("doc").alias("centre"), F.max("doc").alias("most")).where("centre <> most").select("key", "centre")
     members = checkpointed(banded.join(buckets, "key").select(F.col("centre").alias("key"), "doc").distinct())
-    sets = checkpointed(element_sets(docs, members.select("doc").distinct()))
+    sets = checkpointed(element_sets(docs, members.select("doc")))
     links = checkpointed(verified(members.where("doc <> key").select(F.col("doc").alias("a"), F.col("key").alias("b")), sets, threshold))
     known = components(links)
     for last in (False, True):  # the last time: all that is left
@@ -347,10 +352,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.unionByName(sigs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
 
 
-#: Ids that are broadcast at most (8 bytes each); beyond it documents and ids are joined by shuffling.
-BROADCAST_IDS = 1_000_000
-
-
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of `docs` whose id isn't among `ids` (column doc_id); ids are broadcast only if counted to be few."""
     ids = checkpointed(ids.select(F.col("doc_id").alias("__gone")).distinct())
