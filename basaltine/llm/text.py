@@ -7,6 +7,7 @@ how many the documents of a partition are.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +43,22 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
+def _trimmer():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+_trim = _trimmer()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch with at most `most` bytes of text each (or one row)."""
     if batch.num_rows == 0:
@@ -53,6 +70,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         end = max(at + 1, min(end, batch.num_rows))
         yield batch.slice(at, end - at)
         at = end
+    give_back()
 
 
 def bounded_batches(spark: SparkSession) -> None:

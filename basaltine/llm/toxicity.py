@@ -34,21 +34,25 @@ def features(texts: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarra
         chars, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
     found = []
     wide = chars.astype(np.uint64)
+    own = np.repeat(np.arange(len(texts), dtype=np.int64) << BITS, np.diff(np.append(0, ends)))
     steps = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
     for n in ORDERS:
         m = len(wide) - n + 1
         if m <= 0:
             continue
-        h = np.full(m, n, np.uint64)
+        h, t = np.full(m, n, np.uint64), np.empty(m, np.uint64)
         for j in range(n):
-            h += wide[j : j + m] * steps[j]
-        bucket = ((h ^ (h >> np.uint64(29))) * steps[0] >> np.uint64(64 - BITS)).astype(np.int64)
-        whole = np.ones(m, bool)
+            h += np.multiply(wide[j : j + m], steps[j], out=t)
+        h ^= np.right_shift(h, np.uint64(29), out=t)
+        h *= steps[0]
+        h >>= np.uint64(64 - BITS)
+        bucket = h.view(np.int64)
+        whole = np.ones(m, bool) if keep is None else keep[bucket]
         for j in range(1, n):  # n-grams that run over the end of a text
             cut = ends - j
             whole[cut[(cut >= 0) & (cut < m)]] = False
-        at = np.flatnonzero(whole & keep[bucket]) if keep is not None else np.flatnonzero(whole)
-        found.append(np.searchsorted(ends, at, side="right").astype(np.int64) << BITS | bucket[at])
+        at = np.flatnonzero(whole)
+        found.append(own[at] | bucket[at])
     pairs = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
