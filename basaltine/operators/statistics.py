@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpointed
+
 
 def histogram(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """Equi-depth histogram: (bucket, lower, upper, rows, repeats, cumulative).
@@ -30,8 +32,11 @@ def histogram(df: DataFrame, column: str, buckets: int) -> DataFrame:
 
 
 def running_total(df: DataFrame, key: str, amount: str, out: str = "upto") -> DataFrame:
-    """Running sum of `amount` in order of a distinct `key`: within range partitions, plus the totals of those before."""
-    own = df.repartitionByRange(key).withColumn("__part", F.spark_partition_id())
+    """Running sum of `amount` in order of a distinct `key`: within range partitions, plus the totals of those before.
+
+    The rows are written with their partition's number, which another run of the plan could deal differently.
+    """
+    own = checkpointed(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()))
     inside = own.withColumn("__inside", F.sum(amount).over(Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))
     # one row for each non-empty part, ordered by its least key
     parts = own.groupBy("__part").agg(F.min(key).alias("__low"), F.sum(amount).alias("__sum"))

@@ -5,7 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of `df`, written once, so that what depends on how they were dealt doesn't change."""
+    fresh(df.sparkSession, "")
+    return df.checkpoint(eager=True)
 
 
 def fresh(spark: SparkSession, name: str) -> str:
