@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import boosting
-from .text import id_and_text, over_slices, slices
+from .text import bounded_batches, id_and_text, over_slices, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -309,6 +309,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     A null text stays null; overlapping spans are replaced as one.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit())
 
     def run(batches):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from . import boosting
 from .sampling import SAMPLE_ROWS, labelled_sample
-from .text import Words, buffer_of, char_counts, distinct_counts, held_out, id_and_text, over_slices, shingle_hashes, slices, span_hashes, texts_of
+from .text import bounded_batches, Words, buffer_of, char_counts, distinct_counts, held_out, id_and_text, over_slices, shingle_hashes, slices, span_hashes, texts_of
 
 #: Classes of bytes that are counted; every other byte is in the first class.
 CLASSES = ["", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c", ".", ",", "|", "!?", ";:", "'\"`", "()", "[]{}", "<>", "#", "*", "%", "@", "&", "/\\", "=+", "-_", "$^~"]
@@ -128,6 +128,7 @@ def score(docs: DataFrame, model: boosting.Forest, threshold: float = 0.7) -> Da
 
 def keep_good(docs: DataFrame, model: boosting.Forest, threshold: float = 0.7) -> DataFrame:
     """The rows of `docs` that score at least the threshold, with the input's own columns."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

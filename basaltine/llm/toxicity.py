@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import SAMPLE_ROWS, labelled_sample
-from .text import buffer_of, char_counts, distinct, fold, held_out, id_and_text, over_slices, slices, texts_of
+from .text import bounded_batches, buffer_of, char_counts, distinct, fold, held_out, id_and_text, over_slices, slices, texts_of
 
 BITS = 20
 ORDERS = (3, 4, 5)
@@ -162,6 +162,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` whose text scores below the threshold, with the input's own columns."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
