@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Seeds are the runs of four folded words of the test items (all words of a shorter item).  How many
-documents hold each seed is counted over the whole corpus; an item's rare seeds, and in any case
-the rarer half of its seeds, are looked up in every document.  Around each hit a window of the
-document is aligned with the item, word by word (match 1, mismatch -0.5, gap -0.5), and the best
-local alignment over the item's length is the score: 1 for a copy, less for an edited one.
+Seeds are the runs of four folded words of the test items (all words of a shorter item).  Every
+seed is looked up in every document, however common it is: of an edited copy that is itself common,
+only common seeds are left.  Around the hits a window of the document is aligned with the item, word
+by word (match 1, mismatch -0.5, gap -0.5), and the best local alignment over the item's length is
+the score: 1 for a copy, less for an edited one.  A window that holds too few of the item's words
+for any alignment to reach the threshold isn't aligned, which loses nothing.
 
 Test items are handled in blocks of bounded size; a block's seeds and words are what workers get.
 """
@@ -19,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dedup import without
-from .text import Words, distinct, id_and_text, over_slices, shingle_hashes
+from .text import Words, distinct, id_and_text, mix, over_slices, shingle_hashes
 
 SEED_WORDS = 4
 THRESHOLD = 0.5
-#: A seed in at most this share of the documents (or in 10 documents) is rare.
-RARE_SHARE = 1e-3
 #: Bytes of test items in a block.
 BLOCK_BYTES = 8 << 20
+#: Hits, and words of windows, that are handled at once.
+MOST_HITS, MOST_WORDS = 1_000_000, 2_000_000
 MISMATCH, GAP = 0.5, 0.5
 _BITS = 20
 
@@ -41,15 +42,13 @@ class Items:
     item: np.ndarray  # which item
     place: np.ndarray  # position in the item
     sizes: tuple[int, ...]
-    used: np.ndarray | None = None  # of the occurrences: those that are looked up
 
-    def lookup(self, hashes: np.ndarray, used: bool) -> tuple[np.ndarray, np.ndarray]:
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into hashes, index of the seed) of the hashes that are seeds."""
-        wanted = self.seeds if not used else self.seeds[distinct(self.seed[self.used])]
-        if not len(wanted):
+        if not len(self.seeds):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         marks = np.zeros(1 << _BITS, bool)
-        marks[(wanted >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        marks[(self.seeds >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         at = np.flatnonzero(marks[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)])
         pos = np.minimum(np.searchsorted(self.seeds, hashes[at]), len(self.seeds) - 1)
         good = self.seeds[pos] == hashes[at]
@@ -78,17 +77,6 @@ def items_of(ids: list[int], texts: list[str]) -> Items:
     return Items(np.array(ids), hashes, offsets, seeds, seed[order], item[order], place[order], tuple(sizes))
 
 
-def choose_seeds(items: Items, df: np.ndarray, n_docs: int) -> None:
-    """Mark each item's rare seeds, and the rarer half of its seeds whatever their frequency."""
-    count = df[items.seed]
-    order = np.lexsort((count, items.item))
-    size = np.bincount(items.item, minlength=len(items.ids))
-    first = np.append(0, np.cumsum(size))[:-1]
-    rank = np.empty(len(count), np.int64)
-    rank[order] = np.arange(len(count)) - first[items.item[order]]
-    items.used = (count <= max(10, RARE_SHARE * n_docs)) | (rank < (size[items.item] + 1) // 2)
-
-
 def align(items: Items, item: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Score and last word of the best local alignment of each item with its window words[start:end]."""
     score, last = np.zeros(len(item)), np.zeros(len(item), np.int64)
@@ -130,35 +118,82 @@ def align(items: Items, item: np.ndarray, words: np.ndarray, start: np.ndarray,
     return score, last
 
 
-def _hits(items: Items, words: Words) -> pa.RecordBatch | None:
-    hashes = words.hashes()
+def _share_held(items: Items, item: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Share of each item's words that its window words[start:end] holds anywhere: no alignment scores more."""
+    out = np.zeros(len(item))
+    length, size = (items.offsets[1:] - items.offsets[:-1])[item], end - start
+    edge = np.append(0, np.cumsum(length + size))
+    lo = 0
+    while lo < len(item):
+        hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + MOST_WORDS, side="right")) - 1)
+
+        def named(every: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            pair = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(pair)) + np.repeat(first - np.append(0, np.cumsum(n))[:-1], n)
+            return pair, mix(every[at] ^ mix(pair.astype(np.uint64) + np.uint64(1)))
+
+        pair, wanted = named(items.words, items.offsets[item[lo:hi]], length[lo:hi])
+        held = np.sort(named(words, start[lo:hi], size[lo:hi])[1])
+        found = held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted
+        out[lo:hi] = np.bincount(pair[found], minlength=hi - lo) / length[lo:hi]
+        lo = hi
+    return out
+
+
+def _windows(items: Items, hits: list[tuple[np.ndarray, ...]], edge: np.ndarray, hashes: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(doc, item, score, last word) of the windows around the hits (doc, position, seed) whose score can reach the threshold."""
     parts = []
-    for n in items.sizes:
-        h, doc, at = _runs(hashes, words.doc, n)
-        i, seed = items.lookup(h, used=True)
+    for doc, at, seed in hits:
         lo, hi = np.searchsorted(items.seed, seed), np.searchsorted(items.seed, seed, side="right")
         k = hi - lo
         occ = np.repeat(lo - np.append(0, np.cumsum(k))[:-1], k) + np.arange(k.sum())
-        ok = items.used[occ]
-        row = np.repeat(i, k)[ok]
-        parts.append((doc[row], items.item[occ[ok]], at[row] - items.place[occ[ok]]))
-    if not parts or not sum(len(p[0]) for p in parts):
-        return None
+        parts.append((np.repeat(doc, k), items.item[occ], np.repeat(at, k) - items.place[occ]))
     doc, item, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((begin, item, doc))
     doc, item, begin = doc[order], item[order], begin[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] != begin[:-1]))
+    doc, item, begin = doc[new], item[new], begin[new]
     length = (items.offsets[1:] - items.offsets[:-1])[item]
-    # hits of an item that begin within its length share one window
+    # hits of an item that begin within its length share one window, which reaches as far as that of its last hit
     keep, held = np.zeros(len(doc), bool), None
-    for x in range(len(doc)):
-        if held is None or doc[x] != doc[held] or item[x] != item[held] or begin[x] > begin[held] + length[held]:
-            keep[x], held = True, x
+    for x, (d, i, b, n) in enumerate(zip(doc.tolist(), item.tolist(), begin.tolist(), length.tolist(), strict=True)):
+        if held is None or d != held[0] or i != held[1] or b > held[2] + n:
+            keep[x], held = True, (d, i, b)
     first = np.flatnonzero(keep)
+    latest = begin[np.append(first[1:], len(doc)) - 1]
     doc, item, begin, length = doc[first], item[first], begin[first], length[first]
     slack = length // 4 + 2
-    edge = np.append(0, np.cumsum(words.counts()))
-    start, end = np.maximum(begin - slack, edge[doc]), np.minimum(begin + 2 * length + slack, edge[doc + 1])
+    start, end = np.maximum(begin - slack, edge[doc]), np.minimum(latest + 2 * length + slack, edge[doc + 1])
+    good = np.flatnonzero(_share_held(items, item, hashes, start, end) >= threshold)
+    doc, item, start, end = doc[good], item[good], start[good], end[good]
     score, last = align(items, item, hashes, start, end)
+    return doc, item, score, last
+
+
+def _hits(items: Items, words: Words, threshold: float) -> pa.RecordBatch | None:
+    hashes = words.hashes()
+    edge = np.append(0, np.cumsum(words.counts()))
+    often = np.bincount(items.seed, minlength=len(items.seeds))
+    hits, load = [], np.zeros(words.n_docs, np.int64)
+    for n in items.sizes:
+        h, doc, at = _runs(hashes, words.doc, n)
+        i, seed = items.lookup(h)
+        hits.append((doc[i], at[i], seed))
+        load += np.bincount(doc[i], often[seed], words.n_docs).astype(np.int64)
+    total = np.append(0, np.cumsum(load))
+    parts, lo = [], 0
+    while lo < words.n_docs and total[lo] < total[-1]:
+        # documents with a bounded number of hits (or one document)
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + MOST_HITS, side="right")) - 1)
+        if total[hi] > total[lo]:
+            own = [slice(*np.searchsorted(doc, (lo, hi))) for doc, _, _ in hits]
+            parts.append(_windows(items, [tuple(x[s] for x in hit) for hit, s in zip(hits, own, strict=True)], edge, hashes, threshold))
+        lo = hi
+    if not parts or not sum(len(p[0]) for p in parts):
+        return None
+    doc, item, score, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    good = score >= threshold
+    doc, item, score, last = doc[good], item[good], score[good], last[good]
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(items.ids[item]), pa.array(score), pa.array(last - edge[doc])], ["row", "item_id", "score", "last_word"])
 
 
@@ -178,7 +213,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
-    n_docs = None
     out = None
     for block in _blocks(benchmark, "item_id", "text"):
         rows = block.orderBy("item_id", "text").collect()  # bounded: about BLOCK_BYTES
@@ -187,30 +221,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
             continue
         shared = spark.sparkContext.broadcast(items)
 
-        def count(part: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
-            own, words = shared.value, Words(part.column("text"))
-            hashes, found = words.hashes(), []
-            for n in own.sizes:
-                h, doc, _ = _runs(hashes, words.doc, n)
-                i, seed = own.lookup(h, used=False)
-                found.append(distinct(doc[i].astype(np.int64) << 32 | seed))
-            n = np.bincount(np.concatenate(found) & 0xFFFFFFFF, minlength=len(own.seeds))
-            at = np.flatnonzero(n)
-            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["seed", "n"])
-
-        table = texts.mapInArrow(over_slices(count), "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-        df = np.zeros(len(items.seeds), np.int64)
-        for r in table:
-            df[r["seed"]] = r["n"]
-        n_docs = texts.count() if n_docs is None else n_docs
-        choose_seeds(items, df, n_docs)
-        chosen = spark.sparkContext.broadcast(items)
-
-        def scan(part: pa.RecordBatch, chosen=chosen) -> pa.RecordBatch | None:
-            found = _hits(chosen.value, Words(part.column("text")))
+        def scan(part: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
+            found = _hits(shared.value, Words(part.column("text")), threshold)
             if found is None:
                 return None
-            found = found.filter(pa.array(np.asarray(found.column("score")) >= threshold))
             return pa.RecordBatch.from_arrays([part.column("doc_id").take(found.column("row")), found.column("item_id"), found.column("score"), found.column("last_word")], ["doc_id", "item_id", "score", "last_word"])
 
         got = texts.mapInArrow(over_slices(scan), "doc_id long, item_id long, score double, last_word long")

@@ -137,6 +137,21 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert all(x["score"] == 1.0 for x in got if x["doc_id"] < 200 or x["doc_id"] == 300)
 
 
+def test_decontamination_finds_a_common_edited_copy(spark):
+    r = random.Random(11)
+    words = ["w%d" % i for i in range(5000)]
+    filler = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [" ".join("a%db%d" % (k, i) for i in range(40)) for k in range(3)]
+    edited = [w if i not in (4, 12, 20, 28, 36) else "other%d" % i for i, w in enumerate(items[0].split())]
+    rows = [(i, filler(30)) for i in range(100)]
+    rows += [(1000 + i, filler(20) + " " + " ".join(edited) + " " + filler(20)) for i in range(30)]  # in more documents than are rare
+    rows += [(2000 + i, filler(15) + " " + items[1] + " " + filler(15)) for i in range(3)]
+    rows += [(3000 + i, items[2][: items[2].index(" a2b6 ")] + " " + filler(60)) for i in range(3)]  # a few words only
+    got = table(decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")))
+    assert {(x["doc_id"], x["item_id"]) for x in got} == {(1000 + i, 0) for i in range(30)} | {(2000 + i, 1) for i in range(3)}
+    assert {x["score"] for x in got if x["item_id"] == 0} == {(35 - 5 * 0.5) / 40}
+
+
 def test_alignment_is_smith_waterman():
     r = random.Random(1)
     for _ in range(60):
