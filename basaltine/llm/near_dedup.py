@@ -225,6 +225,25 @@ def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out
 
 
+def _most_alike(shared: np.ndarray, sets: list[np.ndarray], weights: list[np.ndarray | None], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Upper bounds of the probability Jaccard similarities of all left with all right members.
+
+    A shared element adds 1 / sum(max(x_j / x_i, y_j / y_i)) <= min(x_i / sum(x), y_i / sum(y)), so no
+    pair is more alike than the share of either's total weight that as many of its heaviest elements hold.
+    """
+
+    def share(x: int, n: np.ndarray) -> np.ndarray:
+        w = weights[x]
+        if w is None:
+            return n / max(len(sets[x]), 1)
+        total = np.append(0, np.cumsum(np.sort(w.astype(np.float64))[::-1]))
+        return total[n] / total[-1]
+
+    n = shared.astype(np.int64)
+    out = np.stack([share(x, n[i]) for i, x in enumerate(left)])
+    return np.minimum(out, np.stack([share(y, n[:, j]) for j, y in enumerate(right)], axis=1), out=out)
+
+
 def _forest(doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray], weights: list[np.ndarray | None], left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
     """Links between members at `left` and at `right` that join what isn't joined yet, each of another component."""
     root: dict[int, int] = {}
@@ -251,7 +270,9 @@ def _forest(doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray], weig
 
     for x, y in zip(*np.nonzero(apart & (plain >= threshold)), strict=True):
         join(left[x], right[y], float(plain[x, y]))
-    for x, y in zip(*np.nonzero(apart & either & (plain < threshold) & (plain >= 0.5 * threshold)), strict=True):
+    if not either.any():
+        return out
+    for x, y in zip(*np.nonzero(apart & either & (plain < threshold) & (_most_alike(shared, sets, weights, left, right) >= threshold - 1e-6)), strict=True):
         x, y = left[x], right[y]
         if find(int(component[x])) != find(int(component[y])):
             ones = [w if w is not None else np.ones(len(s), np.float32) for w, s in ((weights[x], sets[x]), (weights[y], sets[y]))]

@@ -260,6 +260,31 @@ def test_forest_is_exact():
     assert found == [root(i) for i in range(80)]
 
 
+def test_forest_compares_repeated_shingles():
+    often = "to be or not so " * 1000
+    doc, element, weight = near_dedup.elements(text.Words(pa.array([often + "a b c d", often + "e f g h", "to be or not so i j k l m n o p"])))
+    order = np.lexsort((element, doc))
+    own = [order[doc[order] == d] for d in range(3)]
+    sets, weights = [element[o] for o in own], [weight[o] for o in own[:2]] + [None]
+    shared = len(np.intersect1d(sets[0], sets[1]))
+    assert shared / (len(sets[0]) + len(sets[1]) - shared) < 0.4
+    every = np.arange(3)
+    assert [(a, b) for a, b, _ in near_dedup._forest(every, every, sets, weights, every, every, 0.8)] == [(1, 0)]
+
+
+def test_bound_of_similarity_holds():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(1, 40, r.integers(1, 40))).astype(np.uint64) for _ in range(40)]
+    weights = [1 + np.log(r.integers(1, 2000, len(s)) ** r.integers(0, 2, len(s))) if i % 3 else None for i, s in enumerate(sets)]
+    every = np.arange(40)
+    most = near_dedup._most_alike(near_dedup._shared_counts(sets, sets), sets, weights, every, every)
+    ones = [np.ones(len(s)) if w is None else w for s, w in zip(sets, weights, strict=True)]
+    for a, b in itertools.combinations(range(40), 2):
+        plain = len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+        alike = near_dedup.similarity(sets[a], ones[a], sets[b], ones[b])
+        assert alike <= max(plain, most[a, b]) + 1e-9
+
+
 def test_near_dedup_on_odd_input(odd, none):
     got = table(near_dedup.classes(odd))
     assert ids(got) == EVERY
