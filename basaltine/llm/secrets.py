@@ -27,8 +27,8 @@ REACH = 300
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _VALUE = re.compile(rb"""["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""")
 IDENT_WORDS = (b"client_id", b"clientid", b"client-id", b"username", b"user_name", b"access_key", b"accesskeyid", b"key_id", b"account_id", b"account_name", b"login", b"tenant_id")
-_IDENT = re.compile(rb"""["']? *[:=] *["']?([A-Za-z0-9@._+-]{3,128})""")
-_URL = re.compile(rb"[^\s\"'<>]{3,2000}")
+_IDENT = re.compile(rb"""["']? *[:=] *["']?([A-Za-z0-9@._+-]{3,})""")
+_URL = re.compile(rb"[^\s\"'<>]{3,}")
 HOST_WORDS = (b"endpoint", b"hostname", b"host", b"server", b"base_url", b"broker")
 _HOST = re.compile(rb"""["']? *[:=] *["']?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]{1,5})?)""")
 
@@ -38,8 +38,8 @@ _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _TOKEN = _UPPER_DIGIT.copy()
 _TOKEN[list(b"abcdefghijklmnopqrstuvwxyz+/_=-")] = True
-#: A weak token has 20 to 512 characters, upper and lower case letters and digits, and this entropy in bits a character.
-LEAST_TOKEN, MOST_TOKEN, LEAST_ENTROPY = 20, 512, 3.6
+#: A weak token has 20 characters or more, upper and lower case letters and digits, and this entropy in bits a character.
+LEAST_TOKEN, LEAST_ENTROPY = 20, 3.6
 
 Span = tuple[int, int, str]
 
@@ -126,7 +126,7 @@ class Slice:
             out.setdefault(self.doc(start), []).append((start, end, kind))
 
         for a, b in _runs(_TOKEN[self.raw], self.offsets, LEAST_TOKEN):
-            if b - a <= MOST_TOKEN and _random_looking(self.data[a:b]):
+            if _random_looking(self.data[a:b]):
                 add(a, b, "secret")
         for words, pattern, kind in ((IDENT_WORDS, _IDENT, "ident"), (HOST_WORDS, _HOST, "endpoint")):
             done = 0
@@ -135,20 +135,24 @@ class Slice:
                 if start >= done and end <= stop and (m := pattern.match(self.data, end, stop)):
                     add(m.start(1), m.end(1), kind)
                     done = m.end()
-        at = self.data.find(b"://")
+        done, at = 0, self.data.find(b"://")
         while at >= 0:
             d = self.doc(at)
             lo, stop = int(self.offsets[d]), int(self.offsets[d + 1])
             start = at
             while start > lo and at - start < 12 and chr(self.raw[start - 1]).isascii() and chr(self.raw[start - 1]).isalnum():
                 start -= 1
-            if start < at and (m := _URL.match(self.data, at + 3, stop)):
-                add(start, m.end(), "endpoint")
-                who, sep, _ = m[0].partition(b"/")[0].rpartition(b"@")
+            first = at + 3
+            if first >= done and (m := _URL.match(self.data, first, stop)):
+                done = m.end()  # of all addresses in this run
+            if start < at and done - first >= 3:
+                add(start, done, "endpoint")
+                slash = self.data.find(b"/", first, done)
+                who, sep, _ = self.data[first : slash if slash >= 0 else done].rpartition(b"@")
                 if sep and b":" in who and len(who.partition(b":")[2]) >= 4:  # all three parts in one
                     name = who.index(b":")
-                    add(m.start(), m.start() + name, "ident")
-                    add(m.start() + name + 1, m.start() + len(who), "secret")
+                    add(first, first + name, "ident")
+                    add(first + name + 1, first + len(who), "secret")
             at = self.data.find(b"://", at + 1)
         return out
 

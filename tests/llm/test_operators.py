@@ -587,6 +587,16 @@ def test_weak_parts_need_each_other():
     assert kinds == [["ident", "secret"], [], [], [], ["secret"], []]
 
 
+def test_long_weak_parts_are_found():
+    r = random.Random(6)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1600))
+    texts = [f"client_id = abc99 then {key} at https://h.example.com/", "client_id = " + "abc.99" * 50 + " a1B2c3D4e5F6g7H8i9J0kk", f"https://{'h' * 3000}.example.com a1B2c3D4e5F6g7H8i9J0kk", "x://" * 200_000 + "user:pass1@h.com"]
+    got = [every for _, every, _ in secrets.spans_of(pa.array(texts))]
+    assert got[0] == [(12, 17, "ident"), (23, 1623, "secret")]
+    assert got[1][0] == (12, 312, "ident") and [k for _, _, k in got[2]] == ["secret"]
+    assert [k for _, _, k in got[3]] == ["ident", "secret"]
+
+
 def test_secrets_on_odd_input(odd, none):
     got = table(secrets.find(odd))
     assert ids(got) == EVERY and secrets.find(none).count() == 0
