@@ -14,6 +14,11 @@ members are compared to that centre, then what is still apart to centres of othe
 only what remains apart after that is compared exactly, block against block of bounded size, and a
 pair of blocks reports a spanning forest of its links.  So linked groups of any size cost a few
 comparisons for each member, and no link that banding finds is lost.
+
+Elements are known by 44 bits of their hash, registers keep 32 bits of it.  Element sets are made
+from the texts where they are needed and travel once, to the chunks of the groups that compare
+them: a large group is dealt in chunks, each of which gets the centre's set too.  Joins by group
+split off hot keys (`graph.looked_up`).  Tables between steps are deleted once they are used up.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import checkpointed, components
+from .graph import BROADCAST_ROWS, Scratch, checkpointed, components, joined, looked_up
 from .text import Words, bounded_batches, distinct_counts, id_and_text, mix, over_slices, shingle_hashes, texts_of
 
 SHINGLE = 5
@@ -35,9 +41,8 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Members of a block, and bytes of their element sets, when what remains of a group is compared exactly.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
-
-#: Ids that are broadcast at most (8 bytes each); beyond it documents and ids are joined by shuffling.
-BROADCAST_IDS = 1_000_000
+#: Members of a chunk, and bytes of their element sets, when members are compared to a centre.
+CHUNK, CHUNK_BYTES = 1024, 16 << 20
 
 U64 = np.uint64
 
@@ -109,7 +114,8 @@ def _sequence_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, same1, same2, signature) of every row; no words: both hashes 0 and no signature."""
+    """(doc_id, same1, same2, size, signature) of every row: two hashes of its word sequence, and how
+    many elements it has; no words: both hashes 0 and no signature."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(texts_of(part))
@@ -118,9 +124,10 @@ def signatures(docs: DataFrame) -> DataFrame:
         one, two = _sequence_keys(words)
         empty = words.counts() == 0
         binary = pa.array([None if e else s.tobytes() for s, e in zip(sig, empty, strict=True)], pa.binary())
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(one), pa.array(two), binary], ["doc_id", "same1", "same2", "signature"])
+        size = pa.array(np.bincount(doc, minlength=part.num_rows).astype(np.int32))
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(one), pa.array(two), size, binary], ["doc_id", "same1", "same2", "size", "signature"])
 
-    return id_and_text(docs).mapInArrow(over_slices(run), "doc_id long, same1 long, same2 long, signature binary")
+    return id_and_text(docs).mapInArrow(over_slices(run), "doc_id long, same1 long, same2 long, size int, signature binary")
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -145,8 +152,12 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return max(plain, float((times[both] / most).sum()))
 
 
-def element_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc, hashes, weights) of the documents whose id is among `ids` (column doc)."""
+_SENT = "key long, i int, j int, own int, doc long, component long, hashes binary, weights binary"
+
+
+def _sent(docs: DataFrame, routes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Element sets (key, i, j, own, doc, component, hashes, weights) at the places that `routes`
+    (doc, component, key, i, j, own) names, sorted by (key, i, j, own, doc); each set is made once."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         doc, element, weight = elements(Words(texts_of(part)))
@@ -154,56 +165,109 @@ def element_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         element, weight = element[order], weight[order].astype(np.float32)
         ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
         cut = list(zip(ends[:-1], ends[1:], strict=True))
-        return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array([element[s:e].tobytes() for s, e in cut], pa.binary()), pa.array([weight[s:e].tobytes() if (weight[s:e] != 1).any() else b"" for s, e in cut], pa.binary())],
-            ["doc", "hashes", "weights"],
-        )
-
-    wanted = checkpointed(ids.select(F.col("doc").alias("doc_id")).distinct())
-    few = wanted.count() <= BROADCAST_IDS  # then the texts needn't be shuffled
-    own = id_and_text(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+        hashes = pa.array([element[s:e].tobytes() for s, e in cut], pa.binary())
+        weights = pa.array([weight[s:e].tobytes() if (weight[s:e] != 1).any() else b"" for s, e in cut], pa.binary())
+        places = part.column("places")
+        row = pa.array(np.repeat(np.arange(part.num_rows), pc.list_value_length(places).to_numpy()))
+        flat = places.flatten()
+        named = {n: flat.field(n) for n in ("key", "i", "j", "own")}
+        return pa.RecordBatch.from_pydict(named | {"doc": part.column("doc_id").take(row), "component": part.column("component").take(row), "hashes": hashes.take(row), "weights": weights.take(row)})
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in over_slices(run)(batches):
+            # a document may go to many places: its rows leave in batches of bounded bytes
+            size = np.cumsum(np.fromiter((len(x) for x in found.column("hashes").to_pylist()), np.int64, found.num_rows))
+            at = 0
+            while at < found.num_rows:
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
+                yield found.slice(at, end - at)
+                at = end
+
+    at = routes.groupBy("doc").agg(F.min("component").alias("component"), F.collect_set(F.struct("key", "i", "j", "own")).alias("places"))
+    at = scratch.keep("routes", at.withColumnRenamed("doc", "doc_id"))
+    sent = joined(id_and_text(docs), at, "doc_id", most=BROADCAST_ROWS // 4).select("doc_id", "text", "component", "places").mapInArrow(sets, _SENT)
     # rows that repeat an id: the first text in order stands for the document
-    return own.mapInArrow(over_slices(run), "doc long, hashes binary, weights binary").groupBy("doc").agg(F.min(F.struct("hashes", "weights")).alias("s")).select("doc", "s.hashes", "s.weights")
+    return sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "doc", "hashes", "weights")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """(whether a new place (key, i, j) starts, rows of one place) in order."""
+    name = None
+    for batch in batches:
+        k = np.stack([batch.column(x).to_numpy() for x in ("key", "i", "j")], axis=1)
+        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1), batch.num_rows]
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            if s < e:
+                yield tuple(k[s]) != name, batch.slice(s, e - s)
+                name = tuple(k[s])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches the threshold, with it."""
+_LINKS = "a long, b long, similarity double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("ha", "wa", "hb", "wb")]
-            out = np.zeros(batch.num_rows)
-            for i, (ha, wa, hb, wb) in enumerate(zip(*cols, strict=True)):
-                a, b = np.frombuffer(ha, U64), np.frombuffer(hb, U64)
-                if min(len(a), len(b)) < threshold * max(len(a), len(b)) and not wa and not wb:
+
+def _link_rows(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    a, b, s = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
+
+
+def _chunks(members: DataFrame, n: int, size: int) -> DataFrame:
+    """(key, n, g) of each group: its members, and in how many parts of at most about `n` members and `size` bytes it is cut."""
+    g = F.greatest(F.ceil(F.count("*") / n), F.ceil(F.sum(F.col("size").cast("long") * 12) / size)).cast("int")
+    return members.groupBy("key").agg(F.count("*").alias("n"), g.alias("g"))
+
+
+def verified(docs: DataFrame, members: DataFrame, scratch: Scratch, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b, similarity) between documents and their centres: `members` (key, doc, size) names pairs of
+    a centre and a document, of which those whose exact similarity reaches the threshold are returned."""
+    chunks = scratch.keep("chunks", _chunks(members, CHUNK, CHUNK_BYTES))
+    zero, no = F.lit(0).alias("i"), F.lit(None).cast("long").alias("component")
+    others = looked_up(members, chunks, ["key"]).select("doc", no, "key", zero, F.pmod(F.xxhash64("doc"), F.col("g")).cast("int").alias("j"), F.lit(1).alias("own"))
+    centres = chunks.select(F.col("key").alias("doc"), no, "key", zero, F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"), F.lit(0).alias("own"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for new, part in _groups(batches):
+            if new:
+                centre = last = None
+            found = []
+            for own, doc, h, w in zip(*(part.column(c).to_pylist() for c in ("own", "doc", "hashes", "weights")), strict=True):
+                if (own, doc) == last:
+                    continue
+                last = (own, doc)
+                x = np.frombuffer(h, U64)
+                if not own:
+                    centre = (doc, x, np.frombuffer(w, np.float32) if w else None)
+                    continue
+                other, y, v = centre
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)) and not w and v is None:
                     continue
-                u = np.frombuffer(wa, np.float32) if wa else np.ones(len(a), np.float32)
-                v = np.frombuffer(wb, np.float32) if wb else np.ones(len(b), np.float32)
-                out[i] = similarity(a, u, b, v)
-            good = np.flatnonzero(out >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(good)), batch.column("b").take(pa.array(good)), pa.array(out[good])], ["a", "b", "similarity"])
+                alike = similarity(x, np.frombuffer(w, np.float32) if w else np.ones(len(x), np.float32), y, v if v is not None else np.ones(len(y), np.float32))
+                if alike >= threshold:
+                    found.append((doc, other, alike))
+            if found:
+                yield _link_rows(found)
 
-    one = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
-    two = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a long, b long, similarity double")
+    return _sent(docs, others.unionByName(centres), scratch).mapInArrow(compare, _LINKS)
 
 
-def _remaining(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Members (key, doc) of buckets that still hold more than one component, with their component."""
-    own = members.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return own.join(mixed.select("key", "size"), "key")
+def _remaining(members: DataFrame, known: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Members (key, doc, size, component) of groups that still hold more than one component, but for groups of two."""
+    own = joined(members, known.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
+    mixed = scratch.keep("mixed", mixed.select("key", "n"))
+    return scratch.keep(name, looked_up(own, mixed, ["key"]).select("key", "doc", "size", "component"))
 
 
-def _centre_pairs(rest: DataFrame, salt: int) -> DataFrame:
-    """Pairs of each member with a centre of another component of its bucket: the member of the least
-    salted hash, or for those of its component the member of the least hash in any other component."""
-    drawn = rest.withColumn("draw", F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), F.col("doc").alias("d"), F.col("component").alias("c")))
-    first = drawn.groupBy("key").agg(F.min("draw").alias("one"))
-    with_first = drawn.join(first, "key")
-    second = with_first.where("component <> one.c").groupBy("key").agg(F.min("draw").alias("two"))
-    other = with_first.join(second, "key").select("doc", F.when(F.col("component") == F.col("one.c"), F.col("two.d")).otherwise(F.col("one.d")).alias("centre"))
-    return other.select(F.greatest("doc", "centre").alias("a"), F.least("doc", "centre").alias("b")).distinct()
+def _other_centres(rest: DataFrame, scratch: Scratch, salt: int = 1) -> DataFrame:
+    """Each member beside a centre of another component of its group, as members (key, doc, size) of that
+    centre: the member of the least salted hash, or for those of its component the member of the least
+    hash in any other component."""
+    draw = F.struct(F.xxhash64("doc", F.lit(salt)).alias("h"), F.col("doc").alias("d"), F.col("component").alias("c"))
+    first = scratch.keep("first", rest.groupBy("key").agg(F.min(draw).alias("one"), F.count("*").alias("n")))
+    with_first = looked_up(rest, first, ["key"]).drop("n")
+    second = with_first.where("component <> one.c").groupBy("key").agg(F.min(draw).alias("two"))
+    both = scratch.keep("both", first.join(second, "key").select("key", "n", F.col("one.c").alias("c"), F.col("one.d").alias("one"), F.col("two.d").alias("two")))
+    other = F.when(F.col("component") == F.col("c"), F.col("two")).otherwise(F.col("one"))
+    return looked_up(rest, both, ["key"]).select(other.alias("key"), "doc", "size").distinct()
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -281,108 +345,107 @@ def _forest(doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray], weig
     return out
 
 
-def _block_links(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _block_links(docs: DataFrame, rest: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
     """Links (a, b, similarity) between components of a group: exact, all blocks of its members against all."""
-    own = rest.select("key", "doc", "component").join(sets, "doc")
-    size = own.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("hashes")) / BLOCK_BYTES)).cast("int").alias("g"))
-    own = own.join(size, "key").withColumn("c", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int"))
-    spread = own.select("key", "doc", "component", "hashes", "weights", "c", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
-    spread = spread.select("key", "doc", "component", "hashes", "weights", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+    chunks = scratch.keep("chunks", _chunks(rest, BLOCK, BLOCK_BYTES))
+    cut = looked_up(rest, chunks, ["key"]).withColumn("c", F.pmod(F.xxhash64("doc"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    routes = cut.select("doc", "component", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.col("c").alias("own"))
 
     def compare(held: list[pa.RecordBatch]) -> list[tuple[int, int, float]]:
         t = pa.Table.from_batches(held)
-        doc, component, c = (t[x].to_numpy() for x in ("doc", "component", "c"))
+        doc, component, c = (t[x].to_numpy() for x in ("doc", "component", "own"))
+        once = np.append(True, (doc[1:] != doc[:-1]) | (c[1:] != c[:-1]))
+        t, doc, component, c = t.filter(pa.array(once)), doc[once], component[once], c[once]
         sets = [np.frombuffer(x, U64) for x in t["hashes"].to_pylist()]
         weights = [np.frombuffer(x, np.float32) if x else None for x in t["weights"].to_pylist()]
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
+        left, right = np.flatnonzero(c == t["i"][0].as_py()), np.flatnonzero(c == t["j"][0].as_py())
         return _forest(doc, component, sets, weights, left, right, threshold) if len(left) and len(right) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        name = None
-        found: list[tuple[int, int, float]] = []
-        for batch in batches:
-            k = np.stack([batch.column(x).to_numpy() for x in ("key", "i", "j")], axis=1)
-            edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1), batch.num_rows]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if s == e:
-                    continue
-                if held and tuple(k[s]) != name:
-                    found += compare(held)
-                    held = []
-                name = tuple(k[s])
-                held.append(batch.slice(s, e - s))
-            if found:
-                yield links(found)
-                found = []
+        for new, part in _groups(batches):
+            if new and held:
+                if found := compare(held):
+                    yield _link_rows(found)
+                held = []
+            held.append(part)
         if held and (found := compare(held)):
-            yield links(found)
-
-    def links(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
-        a, b, s = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
+            yield _link_rows(found)
 
-    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long, similarity double")
+    return _sent(docs, routes, scratch).mapInArrow(run, _LINKS)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id, kept) of every row of `docs`.
+    """(doc_id, class_id, kept) of every row of `docs`, as a written table.
 
     class_id is the least doc_id of the documents that links join, through others if need be; a
     document without a link is a class of its own.  Equal sequences of words are one class, texts
     without words too (null and empty texts among them).  Rows that repeat a doc_id are one
     document.  A null doc_id has a null class and is kept.  kept marks the class's namesake.
     """
+    scratch = Scratch(docs.sparkSession)
     bounded_batches(docs.sparkSession)
-    sigs = checkpointed(signatures(docs))
-    named = sigs.where("doc_id is not null")
-    same = named.groupBy("same1", "same2").agg(F.min("doc_id").alias("rep"))
-    own = checkpointed(named.join(same, ["same1", "same2"]).select("doc_id", "rep", "signature"))
-    reps = own.where("doc_id = rep and signature is not null").select("doc_id", "signature")
+    sigs = scratch.keep("sigs", signatures(docs))
+    named = sigs.where("doc_id is not null").select("doc_id", "same1", "same2", "size", "signature")
+    same = scratch.keep("same", named.groupBy("same1", "same2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("signature").alias("signature")))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 sig = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, REGISTERS)
-                yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel()), pa.array(np.repeat(part.column("doc_id").to_numpy(), BANDS))], ["key", "doc"])
-
-    banded = reps.mapInArrow(keys, "key long, doc long")
-    buckets = banded.groupBy("key").agg(F.min("doc").alias("centre"), F.max("doc").alias("most")).where("centre <> most").select("key", "centre")
-    members = checkpointed(banded.join(buckets, "key").select(F.col("centre").alias("key"), "doc").distinct())
-    sets = checkpointed(element_sets(docs, members.select("doc")))
-    links = checkpointed(verified(members.where("doc <> key").select(F.col("doc").alias("a"), F.col("key").alias("b")), sets, threshold))
-    known = components(links)
-    for last in (False, True):  # the last time: all that is left
-        rest = checkpointed(_remaining(members, known).where("size > 2"))
-        if rest.isEmpty():
-            break
-        new = checkpointed(_block_links(rest, sets, threshold) if last else verified(_centre_pairs(rest, 1), sets, threshold))
+                own = [np.repeat(part.column(c).to_numpy(), BANDS) for c in ("rep", "size")]
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel()), *map(pa.array, own)], ["band", "doc", "size"])
+
+    banded = same.where("signature is not null").select("rep", "size", "signature").mapInArrow(keys, "band long, doc long, size int")
+    buckets = scratch.keep("buckets", banded.groupBy("band").agg(F.min("doc").alias("key"), F.max("doc").alias("most"), F.count("*").alias("n")).where("key <> most").select("band", "key", "n"))
+    members = scratch.keep("members", looked_up(banded, buckets, ["band"]).select("key", "doc", "size").distinct())
+    scratch.drop("buckets")
+    links = scratch.keep("links", verified(docs, members.where("doc <> key"), scratch, threshold).select("a", "b"))
+    known = components(links, scratch=scratch)
+    rest = _remaining(members, known, scratch, "rest")
+    if not rest.isEmpty():
+        new = scratch.keep("new", verified(docs, _other_centres(rest, scratch), scratch, threshold).select("a", "b"))
         if not new.isEmpty():
-            links = links.unionByName(new)
-            known = components(links)
-        members = rest.select("key", "doc")
-    # documents of several reps: rows that repeat an id join their classes
-    repeated = own.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b")
-    if not repeated.isEmpty():
-        extra = own.join(repeated.select("doc_id", "b"), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
-        known = components(links.select("a", "b").unionByName(extra))
-    out = own.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+            # components so far and the new links, not all links again
+            known = components(_edges(known).unionByName(new), scratch=scratch)
+            rest = _remaining(rest.drop("component"), known, scratch, "left")
+        if not rest.isEmpty():
+            new = scratch.keep("new", _block_links(docs, rest, scratch, threshold).select("a", "b"))
+            if not new.isEmpty():
+                known = components(_edges(known).unionByName(new), scratch=scratch)
+    # documents of several texts: rows that repeat an id join their classes
+    several = named.groupBy("doc_id").agg(*(f(c).alias(f"{c}{i}") for c in ("same1", "same2") for i, f in enumerate((F.min, F.max)))).where("same10 <> same11 or same20 <> same21")
+    several = scratch.keep("several", several.select("doc_id"))
+    if not several.isEmpty():
+        texts = joined(named, several, "doc_id").select("doc_id", "same1", "same2").distinct()
+        own = scratch.keep("new", texts.join(same.select("same1", "same2", "rep"), ["same1", "same2"]).select("doc_id", "rep"))
+        extra = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b")
+        known = components(_edges(known).unionByName(extra), scratch=scratch)
+    # the class of each text, where it isn't the only row's id
+    of_text = joined(same.select("same1", "same2", "rep", "n"), known.withColumnRenamed("node", "rep"), "rep", "left")
+    of_text = scratch.keep("of_text", of_text.select("same1", "same2", "n", F.coalesce("component", "rep").alias("class_id")).where("n > 1 or class_id <> rep"))
+    out = looked_up(named, of_text, ["same1", "same2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    return out.unionByName(sigs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
+    out = checkpointed(out.unionByName(sigs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))))
+    scratch.clear()
+    return out
+
+
+def _edges(known: DataFrame) -> DataFrame:
+    return known.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of `docs` whose id isn't among `ids` (column doc_id); ids are broadcast only if counted to be few."""
     ids = checkpointed(ids.select(F.col("doc_id").alias("__gone")).distinct())
-    few = ids.count() <= BROADCAST_IDS
+    few = ids.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["__gone"], "left_anti")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, with the input's own columns; rows that repeat both an id and a text stay once."""
-    found = checkpointed(classes(docs, threshold))
+    found = classes(docs, threshold)
     left = without(docs, found.where("not kept"))
     again = checkpointed(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():

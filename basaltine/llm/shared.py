@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-from .graph import ready
-
+from pyspark.sql import DataFrame
 
-def folder(spark: SparkSession) -> str:
-    """A fresh path under the session's checkpoint folder (see graph.ready)."""
-    ready(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+from .graph import folder
 
 
 def written(df: DataFrame, *parts: str) -> DataFrame:
