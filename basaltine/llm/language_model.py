@@ -7,15 +7,18 @@ its two counts; bottom up, a node's weighted probability is the mean of its own
 and the product of its children's.  After training the tree is frozen: a decision's probability
 mixes the nodes on its path with the weights that training left, and stops where a context was
 never seen.  The block probabilities depend on counts alone, so the tree can be built from
-counts in any order, by parts: contexts that share their last two bytes form a subtree that one
-task builds, and the nodes above (256 contexts and the root, of at most 255 decisions each)
-are summed up from the subtrees.
+counts in any order, by parts: contexts that share their three nearest bytes form a subtree that
+one task builds, the nodes of two bytes are summed up from the subtrees and go to those that need
+them, and the nodes above (256 contexts and the root, of at most 255 decisions each) are summed up
+from these and broadcast.
 
 Nothing that grows with the corpus is broadcast.  Texts are grouped in blocks of bounded size; a
 block asks for each of its distinct words and contexts once, the tasks that hold counts
-answer, and the answers meet the block's texts again.  Contexts are dealt by their two nearest
-bytes, some of which are in a large share of all contexts, so the blocks' counts of a bucket are
-merged in levels of bounded fan-in, and its answers are handed out to as many parts.
+answer, and the answers meet the block's texts again.  Words are dealt by their hash, contexts by
+their two nearest bytes and, as some of these are in a large share of all contexts, in `SLICES`
+slices by the third.  The blocks' counts of a slice are merged in levels of bounded fan-in.  The
+task that answers reads a slice's counts first and then the questions one after the other, so its
+memory holds the slice's distinct contexts and one batch of questions.
 """
 
 from __future__ import annotations
@@ -34,10 +37,10 @@ from .text import bounded_batches, buffer_of, distinct_counts, held_out, mix, sl
 DEPTH = 5
 #: Bytes of text of a block.
 BLOCK_BYTES = 16 << 20
-#: Bytes of input for each bucket of words or contexts.
-BUCKET_BYTES = 8 << 20
-#: Tables of one bucket that are merged, or answered, by one task.
-FAN = 16
+#: Bytes of input for each bucket of words or contexts, and buckets at most; contexts of a bucket are in several slices.
+BUCKET_BYTES, MOST_BUCKETS, SLICES = 64 << 20, 4096, 8
+#: Tables of one slice that are merged by one task, and blocks that one task answers.
+FAN, ASKERS = 256, 1024
 END = 10
 U64 = np.uint64
 DOCS, WORDS, CONTEXTS = 0, 1, 2
@@ -134,18 +137,20 @@ class Table:
         return out
 
 
-def _bucket_of_words(keys: np.ndarray, n: int) -> np.ndarray:
-    return (mix(keys) % U64(n)).astype(np.int64)
+def _slice_of_words(keys: np.ndarray, n: int) -> np.ndarray:
+    """Bucket times SLICES plus slice; all words of a bucket are in its first slice."""
+    return (mix(keys) % U64(n)).astype(np.int64) * SLICES
 
 
-def _bucket_of_contexts(keys: np.ndarray, n: int, depth: int = DEPTH) -> np.ndarray:
-    """By the two nearest bytes of the context."""
-    return (mix(keys >> U64(8 * (depth - 1))) % U64(n)).astype(np.int64)
+def _slice_of_contexts(keys: np.ndarray, n: int, depth: int = DEPTH) -> np.ndarray:
+    """The bucket is dealt by the two nearest bytes of the context, the slice by the third."""
+    third = keys >> U64(8 * (depth - 2)) & U64(255)
+    return (mix(keys >> U64(8 * (depth - 1))) % U64(n)).astype(np.int64) * SLICES + (mix(third + U64(1)) % U64(SLICES)).astype(np.int64)
 
 
 # ---------------------------------------------------------------- blocks and their questions
 
-_PARTS = "block long, bucket int, data binary, more binary, kind int"
+_PARTS = "block long, slice int, data binary, more binary, kind int"
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,18 +183,16 @@ def _block_rows(block: int, tables: list[pa.RecordBatch], buckets: int, depth: i
         for t in tables:
             out.write_batch(t)
     rows = [(block, -1, sink.getvalue().to_pybytes(), b"", DOCS)]
-    for kind, found, bucket_of in ((WORDS, words, _bucket_of_words), (CONTEXTS, contexts, lambda k, n: _bucket_of_contexts(k, n, depth))):
+    for kind, found, slice_of in ((WORDS, words, _slice_of_words), (CONTEXTS, contexts, lambda k, n: _slice_of_contexts(k, n, depth))):
         keys, n = _merged(found)
-        bucket = bucket_of(keys, buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if edges[b] < edges[b + 1]:
-                own = order[edges[b] : edges[b + 1]]
-                rows.append((block, b, pack(keys[own]), pack(n[own]), kind))
+        at = slice_of(keys, buckets)
+        order = np.argsort(at, kind="stable")
+        names, first = np.unique(at[order], return_index=True)
+        for name, lo, hi in zip(names.tolist(), first.tolist(), np.append(first[1:], len(order)).tolist(), strict=True):
+            rows.append((block, name, pack(keys[order[lo:hi]]), pack(n[order[lo:hi]]), kind))
     for lo in range(0, len(rows), 64):
         cols = list(zip(*rows[lo : lo + 64], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int32())], ["block", "bucket", "data", "more", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int32())], ["block", "slice", "data", "more", "kind"])
 
 
 def _blocks(docs: DataFrame, buckets: int, depth: int, block_bytes: int) -> DataFrame:
@@ -217,24 +220,46 @@ def _cells(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return [unpack(x) for x in table["data"].to_pylist()], [unpack(x) for x in table["more"].to_pylist()]
 
 
-_ANSWER = "block long, kind int, data binary, more binary, distinct long, total long"
+_CELL = "kind int, slice int, part int, data binary, more binary, seen long, total long"
 
 
-def _answer(table: pa.Table, kind: int, keys: list[np.ndarray], values: list[np.ndarray], n_distinct: int, total: int) -> pa.Table:
-    k = len(keys)
-    return pa.table(
-        {
-            "block": table["block"], "kind": pa.array([kind] * k, pa.int32()),
-            "data": pa.array([pack(x) for x in keys], pa.binary()), "more": pa.array([pack(x) for x in values], pa.binary()),
-            "distinct": pa.array([n_distinct] + [0] * (k - 1), pa.int64()), "total": pa.array([total] + [0] * (k - 1), pa.int64()),
-        }
-    )
+def _merge_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over cells sorted by (kind, slice, part): one cell for each, merged as they come."""
+    name, held, size, least = None, [], 0, 0
 
+    def out() -> pa.RecordBatch:
+        keys, n = _merged(held)
+        row = {"kind": name[0], "slice": name[1], "part": name[2], "data": pack(keys), "more": pack(n), "seen": int((n > 0).sum()), "total": int(n.sum())}
+        return pa.RecordBatch.from_pylist([row], _CELL_SCHEMA)
 
-def _answer_words(table: pa.Table) -> pa.Table:
-    asked, n = _cells(table)
-    keys, counts = _merged(list(zip(asked, n, strict=True)))
-    return _answer(table, WORDS, asked, [counts[np.searchsorted(keys, a)] for a in asked], int((counts > 0).sum()), int(counts.sum()))
+    for batch in batches:
+        for i in range(batch.num_rows):
+            kind, at, part, data, more = (batch.column(c)[i].as_py() for c in ("kind", "slice", "part", "data", "more"))
+            if (kind, at, part) != name:
+                if held:
+                    yield out()
+                name, held, size, least = (kind, at, part), [], 0, 0
+            held.append((unpack(data), unpack(more)))
+            size += len(held[-1][0])
+            if size > 2 * least + 1_000_000:
+                held = [_merged(held)]
+                size = least = len(held[0][0])
+    if held:
+        yield out()
+
+
+_CELL_SCHEMA = pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("part", pa.int32()), ("data", pa.binary()), ("more", pa.binary()), ("seen", pa.int64()), ("total", pa.int64())])
+
+
+def _narrowed(cells: DataFrame, n_blocks: int, fan: int) -> DataFrame:
+    """One cell for each (kind, slice), merged level by level from those of the blocks, `fan` or so at a time."""
+    n, out = n_blocks, cells.select("kind", "slice", F.xxhash64("block").alias("part"), "data", "more")
+    while True:
+        n = -(-n // fan)
+        out = out.withColumn("part", F.pmod("part", F.lit(n)).cast("int"))
+        out = out.repartition("kind", "slice", "part").sortWithinPartitions("kind", "slice", "part").select("kind", "slice", "part", "data", "more").mapInArrow(_merge_cells, _CELL)
+        if n == 1:
+            return out.select("kind", "slice", "data", "more", "seen", "total")
 
 
 def _log_gamma(n: np.ndarray) -> np.ndarray:
@@ -327,68 +352,125 @@ class Tree:
             out += np.log10(p)
         return out
 
-    def summary(self) -> pa.Table:
-        """The top depth's nodes with the nearest byte of the context kept: what the nodes above need."""
-        rows = []
-        for j in range(8):
-            if (self.top, j) in self.nodes:
-                t = self.nodes[self.top, j]
-                rows.append((_shorter(t.keys), t.n, t.ones, t.weighted))
-        if not rows:
-            return pa.table({"node": pa.array([], pa.int64()), "n": pa.array([], pa.float64()), "ones": pa.array([], pa.float64()), "below": pa.array([], pa.float64())})
-        key, n, ones, w = (np.concatenate(x) for x in zip(*rows, strict=True))
-        own, at = np.unique(key, return_inverse=True)
-        return pa.table({"node": own.astype(np.int64), **{name: np.bincount(at, v, len(own)) for name, v in (("n", n), ("ones", ones), ("below", w))}})
-
-
-def _root(rows: pa.Table) -> Tree:
-    """Depths 1 and 0 from the summed summaries (at most 256 x 255 rows)."""
-    tree = Tree(np.zeros(0, U64), np.zeros(0), 1, 0)
-    key = rows["node"].to_numpy().astype(U64)
-    order = np.argsort(key)
-    key, n, ones, below = key[order], *(rows[c].to_numpy()[order] for c in ("n", "ones", "below"))
+    def add_top(self, rows: np.ndarray) -> None:
+        """The nodes of one byte less, from sums (key, n, ones, below) over all subtrees."""
+        self.top -= 1
+        for j, own in _by_decision(rows[0].astype(U64)):
+            self.nodes[self.top, j] = Nodes(rows[0][own].astype(U64), rows[1][own], rows[2][own], rows[3][own])
+
+    def summary(self) -> tuple[np.ndarray, ...] | None:
+        """(key, n, ones, below) that the top depth's nodes add to those of one byte less."""
+        tops = [self.nodes[self.top, j] for j in range(8) if (self.top, j) in self.nodes]
+        return _added(*(np.concatenate(x) for x in zip(*((t.keys, t.n, t.ones, t.weighted) for t in tops), strict=True))) if tops else None
+
+
+def _added(key: np.ndarray, n: np.ndarray, ones: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, ...]:
+    own, at = np.unique(_shorter(key), return_inverse=True)
+    return (own, *(np.bincount(at, v, len(own)) for v in (n, ones, weighted)))
+
+
+def _by_decision(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(decision, places of its nodes) of sorted keys of one depth."""
+    path = key & U64(255)
     for j in range(8):
-        path = key & U64(255)
-        own = np.flatnonzero((path >= (1 << j)) & (path < (2 << j)))
-        if not len(own):
-            continue
-        one = tree.nodes[1, j] = Nodes(key[own], n[own], ones[own], below[own])
-        top, at = np.unique(_shorter(key[own]), return_inverse=True)
-        tree.nodes[0, j] = Nodes(top, np.bincount(at, one.n), np.bincount(at, one.ones), np.bincount(at, one.weighted))
-    return tree
+        if len(own := np.flatnonzero((path >= (1 << j)) & (path < (2 << j)))):
+            yield j, own
 
 
-_CELL = "bucket int, part int, data binary, more binary"
+_SUMS = "slice int, node long, n double, ones double, below double"
 
 
-def _parts(block: str, n: int):
-    return F.pmod(F.xxhash64(block), F.lit(n)).cast("int")
+def _sums_batch(at: int, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    key, n, ones, below = found
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), at, np.int32)), pa.array(key.astype(np.int64)), pa.array(n), pa.array(ones), pa.array(below)], ["slice", "node", "n", "ones", "below"])
 
 
-def _merge_cells(table: pa.Table) -> pa.Table:
-    asked, n = _cells(table)
-    keys, counts = _merged(list(zip(asked, n, strict=True)))
-    return pa.table({"bucket": table["bucket"].slice(0, 1), "part": table["part"].slice(0, 1), "data": pa.array([pack(keys)], pa.binary()), "more": pa.array([pack(counts)], pa.binary())})
+def _subtree(keys: np.ndarray, counts: np.ndarray, depth: int) -> Tree:
+    return Tree(keys[counts > 0], counts[counts > 0], depth, 3)
 
 
-def _narrowed(cells: DataFrame, n_blocks: int, fan: int) -> DataFrame:
-    """Cells (bucket, part, data, more) with at most about `fan` of a bucket, merged level by level."""
-    n = n_blocks
-    out = cells.withColumn("part", F.lit(0))
-    first = True
-    while n > fan:
-        n = -(-n // fan)
-        out = out.withColumn("part", _parts("block", n) if first else F.pmod("part", F.lit(n)))
-        out = out.select("bucket", "part", "data", "more").groupBy("bucket", "part").applyInArrow(_merge_cells, _CELL)
-        first = False
-    return out.select("bucket", "part", "data", "more")
+def _two_byte_sums(merged: DataFrame, depth: int) -> DataFrame:
+    """(slice, node, n, ones, below) of the nodes of two bytes; slice is the first of their bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, counts = (unpack(batch.column(c)[i].as_py()) for c in ("data", "more"))
+                if (found := _subtree(keys, counts, depth).summary()) is not None:
+                    yield _sums_batch(batch.column("slice")[i].as_py() // SLICES * SLICES, found)
+
+    return merged.where(F.col("kind") == CONTEXTS).select("slice", "data", "more").mapInArrow(run, _SUMS).groupBy("slice", "node").agg(*(F.sum(c).alias(c) for c in ("n", "ones", "below")))
+
+
+def _root(upper: DataFrame) -> Tree:
+    """Depths 1 and 0 from the nodes of two bytes, of which the driver gets the sums for 256 x 255 nodes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, ones, below = (batch.column(c).to_numpy() for c in ("n", "ones", "below"))
+            key = batch.column("node").to_numpy().astype(U64)
+            yield _sums_batch(0, _added(key, n, ones, Nodes(key, n, ones, below).weighted))
+
+    sums = upper.select("slice", "node", "n", "ones", "below").mapInArrow(run, _SUMS).groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n", "ones", "below")))
+    rows = sums.toArrow().sort_by("node")
+    tree = Tree(np.zeros(0, U64), np.zeros(0), 1, 2)
+    for _ in range(2):
+        tree.add_top(np.stack([rows[c].to_numpy().astype(float) for c in ("node", "n", "ones", "below")]))
+        if not len(rows) or tree.top == 0:
+            break
+        rows = pa.table(dict(zip(("node", "n", "ones", "below"), tree.summary(), strict=True)))
+    tree.top = 0
+    return tree
+
 
+def _packed_sums(table: pa.Table) -> pa.Table:
+    t = table.sort_by("node")
+    numbers = np.concatenate([t[c].to_numpy() for c in ("n", "ones", "below")])
+    return pa.table({"slice": t["slice"].slice(0, 1), "data": pa.array([pack(t["node"].to_numpy())], pa.binary()), "more": pa.array([pack(numbers)], pa.binary())})
 
-def _subtree(table: pa.Table, depth: int) -> tuple[Tree, np.ndarray]:
-    """The tree of a bucket's counts, and all contexts that are asked for."""
-    asked, n = _cells(table)
-    keys, counts = _merged(list(zip(asked, n, strict=True)))
-    return Tree(keys[counts > 0], counts[counts > 0], depth, 2), keys
+
+_ANSWER = "block long, kind int, data binary, more binary"
+
+
+def _answers(asked: DataFrame, merged: DataFrame, upper: DataFrame, root, n_blocks: int, depth: int, askers: int) -> DataFrame:
+    """(block, kind, data, more): the values of the keys that each block asks for, slice by slice.
+
+    A task gets a slice's nodes of two bytes, then its merged counts, then the questions of up to
+    `askers` or so blocks, which it answers as they come.
+    """
+    n_parts = -(-n_blocks // askers)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part")
+    none = F.lit(None).cast("long").alias("block")
+    nodes = upper.groupBy("slice").applyInArrow(_packed_sums, "slice int, data binary, more binary")
+    nodes = nodes.withColumn("slice", F.explode(F.expr(f"sequence(slice, slice + {SLICES - 1})"))).select(F.lit(CONTEXTS).alias("kind"), "slice", parts, F.lit(0).alias("step"), none, "data", "more")
+    counts = merged.select("kind", "slice", parts, F.lit(1).alias("step"), none, "data", "more")
+    questions = asked.select("kind", "slice", F.pmod(F.xxhash64("block"), F.lit(n_parts)).cast("int").alias("part"), F.lit(2).alias("step"), "block", "data", F.lit(None).cast("binary").alias("more"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = above = keys = values = None
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                kind, at, part, step, block, data, more = (batch.column(c)[i].as_py() for c in ("kind", "slice", "part", "step", "block", "data", "more"))
+                if (kind, at, part) != name:
+                    name, above, keys, values = (kind, at, part), None, None, None
+                if step == 0:
+                    above = np.concatenate([unpack(data).astype(float), unpack(more)]).reshape(4, -1)
+                elif step == 1:
+                    keys, values = unpack(data), unpack(more)
+                    if kind == CONTEXTS:
+                        tree = _subtree(keys, values, depth)
+                        tree.add_top(above if above is not None else np.zeros((4, 0)))
+                        values = np.concatenate([tree.log_probability(keys[lo : lo + 500_000], root.value) for lo in range(0, len(keys), 500_000)]).astype(np.float32)
+                else:
+                    wanted = unpack(data)
+                    found.append((block, kind, data, pack(values[np.searchsorted(keys, wanted)])))
+            if found:
+                cols = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["block", "kind", "data", "more"])
+
+    rows = nodes.unionByName(counts).unionByName(questions)
+    return rows.repartition("kind", "slice", "part").sortWithinPartitions("kind", "slice", "part", "step").mapInArrow(run, _ANSWER)
 
 
 # ---------------------------------------------------------------- scores
@@ -396,43 +478,32 @@ def _subtree(table: pa.Table, depth: int) -> tuple[Tree, np.ndarray]:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, held_out_mod: int = 7, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
+def scores(docs: DataFrame, held_out_mod: int = 7, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fan: int = FAN, buckets: int | None = None, askers: int = ASKERS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of every row.
 
     Learns from rows whose crc32(doc_id as text) mod `held_out_mod` is not 2 (a null id is learned
     from).  base_score is the sum over tokens (words and one end) of log10((c + 1) / (N + V + 1));
     score is the tree's log10 probability of the words and the end.  A null or empty text is the
-    end alone.  Without training rows counts are zero and every decision has probability one half.
+    end alone.  Rows that repeat an id are learned from and scored each for itself; equal texts have
+    equal scores.  Without training rows counts are zero and every decision has probability one half;
+    an empty table gives no rows.  `depth` (3 at least) is the longest context in bytes; `buckets`,
+    `fan`, `askers` and `block_bytes` deal out the work and leave the results alone.
     """
+    if depth < 3:
+        raise ValueError("contexts need three bytes at least")
     spark = docs.sparkSession
     bounded_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("held", held_out("doc_id", held_out_mod))
-    buckets = max(16, min(1 << 16, input_bytes(own) // BUCKET_BYTES))
+    buckets = buckets or max(16, min(MOST_BUCKETS, input_bytes(own) // BUCKET_BYTES))
     parts = written(_blocks(own, buckets, depth, block_bytes), "kind")
-    words, contexts = (parts.where(F.col("kind") == k).select("block", "bucket", "data", "more") for k in (WORDS, CONTEXTS))
-    counted = written(words.groupBy("bucket").applyInArrow(_answer_words, _ANSWER))
-    n, v = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    asked = parts.where(F.col("kind") != DOCS).select("kind", "slice", "block", "data", "more")
     n_blocks = max(1, parts.where(F.col("kind") == DOCS).count())
-    merged = _narrowed(contexts, n_blocks, fan)
-    top = merged.groupBy("bucket").applyInArrow(lambda t: _subtree(t, depth)[0].summary(), "node long, n double, ones double, below double")
-    root = spark.sparkContext.broadcast(_root(top.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n", "ones", "below"))).toArrow()))
-
-    def evaluate(table: pa.Table) -> pa.Table:
-        tree, keys = _subtree(table, depth)
-        values = np.concatenate([tree.log_probability(keys[lo : lo + 500_000], root.value) for lo in range(0, len(keys), 500_000)]).astype(np.float32)
-        return pa.table({"bucket": table["bucket"].slice(0, 1), "part": table["part"].slice(0, 1), "data": pa.array([pack(keys)], pa.binary()), "more": pa.array([pack(values)], pa.binary())})
-
-    def hand_out(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, values = (unpack(right[c][0].as_py()) for c in ("data", "more"))
-        asked = [unpack(x) for x in left["data"].to_pylist()]
-        return _answer(left, CONTEXTS, asked, [values[np.searchsorted(keys, a)] for a in asked], 0, 0)
-
-    n_parts = -(-n_blocks // fan)
-    valued = merged.groupBy("bucket").applyInArrow(evaluate, _CELL).select("bucket", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "data", "more")
-    asking = contexts.select("block", "bucket", _parts("block", n_parts).alias("part"), "data")
-    handed = asking.groupBy("bucket", "part").cogroup(valued.groupBy("bucket", "part")).applyInArrow(hand_out, _ANSWER)
-    answers = counted.unionByName(handed).select("block", "kind", "data", "more")
+    merged = written(_narrowed(asked, n_blocks, fan))
+    n, v = merged.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    upper = written(_two_byte_sums(merged, depth))
+    root = spark.sparkContext.broadcast(_root(upper))
+    answers = _answers(asked, merged, upper, root, n_blocks, depth, askers)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []

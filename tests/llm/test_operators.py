@@ -407,7 +407,14 @@ def test_tree_is_context_tree_weighting(spark):
 
 def test_blocks_and_levels_do_not_matter(docs):
     whole = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in table(language_model.scores(docs))}
-    cut = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in table(language_model.scores(docs, block_bytes=20_000, fan=2))}
+    cut = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in table(language_model.scores(docs, block_bytes=20_000, fan=2, askers=2))}
+    assert whole.keys() == cut.keys() and all(v == pytest.approx(cut[k]) for k, v in whole.items())
+
+
+def test_many_buckets_and_parts(docs):
+    """Most slices are in few blocks, so many parts of a slice have no questions."""
+    whole = {r["doc_id"]: r["score"] for r in table(language_model.scores(docs))}
+    cut = {r["doc_id"]: r["score"] for r in table(language_model.scores(docs.repartition(8), block_bytes=20_000, buckets=500, askers=2))}
     assert whole.keys() == cut.keys() and all(v == pytest.approx(cut[k]) for k, v in whole.items())
 
 
