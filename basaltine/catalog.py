@@ -436,7 +436,7 @@ def _columns() -> None:
     g.update(zip(('_s', '_t'), (F.col("p_name"), F.col("p_type")), strict=True))
     g.update(zip(('_d',), (F.col("o_orderdate"),), strict=True))
     g.update(zip(('_ts',), (F.col("ts"),), strict=True))
-    g.update(zip(('_dur',), (C.timestamp_to_duration(g['_ts']),), strict=True))
+    g.update(zip(('_dur',), (C.timestamp_to_duration(F.date_trunc('second', g['_ts'])),), strict=True))
     g.update(zip(('_p',), (F.col("props"),), strict=True))
     g.update(zip(('_v',), (F.col("embedding"),), strict=True))
     g.update(zip(('_ip',), (F.col("c_custkey") * 65537 + 16777216,), strict=True))
@@ -477,10 +477,10 @@ functions("functions_control", "lineitem", "l_orderkey, l_linenumber, l_partkey,
     "f_any_value": (lambda: X.any_value(_n), "l_linenumber"),
 })
 functions("functions_bits", "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey", {
-    "f_and": (lambda: X.bit_and(_k, F.col("l_partkey")), "l_orderkey & l_partkey"), "f_or": (lambda: X.bit_or(_k, F.col("l_partkey")), "l_orderkey | l_partkey"),
-    "f_xor": (lambda: X.bit_xor(_k, F.col("l_partkey")), "xor(l_orderkey, l_partkey)"), "f_left": (lambda: X.left_shift(_k, _n), "l_orderkey << l_linenumber"),
-    "f_right": (lambda: X.right_shift(_k, _n), "l_orderkey >> l_linenumber"), "f_count": (lambda: X.bit_count(_k), "bit_count(l_orderkey)::BIGINT"),
-    "f_far": (lambda: X.left_shift(_k, F.lit(64)), "0::BIGINT"), "f_neg": (lambda: X.bit_neg(_k).cast("string"), "(18446744073709551615::HUGEINT - l_orderkey)::VARCHAR"),
+    "f_and": (lambda: X.bit_and(_k, F.col("l_partkey")).cast("bigint"), "l_orderkey & l_partkey"), "f_or": (lambda: X.bit_or(_k, F.col("l_partkey")).cast("bigint"), "l_orderkey | l_partkey"),
+    "f_xor": (lambda: X.bit_xor(_k, F.col("l_partkey")).cast("bigint"), "xor(l_orderkey, l_partkey)"), "f_left": (lambda: X.left_shift(_k, _n).cast("bigint"), "l_orderkey << l_linenumber"),
+    "f_right": (lambda: X.right_shift(_k, _n).cast("bigint"), "l_orderkey >> l_linenumber"), "f_count": (lambda: X.bit_count(_k), "bit_count(l_orderkey)::BIGINT"),
+    "f_far": (lambda: X.left_shift(_k, F.lit(64)).cast("bigint"), "0::BIGINT"), "f_neg": (lambda: X.bit_neg(_k).cast("string"), "(18446744073709551615::HUGEINT - l_orderkey)::VARCHAR"),
 })
 functions("functions_math", "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey", {
     "f_abs": (lambda: M.abs_(_q - 25), "abs(l_quantity - 25)"), "f_ceil": (lambda: M.ceil_real(F.col("l_tax") * 10), "ceil(l_tax * 10)"), "f_floor": (lambda: M.floor_real(F.col("l_tax") * 10), "floor(l_tax * 10)"),
@@ -553,6 +553,39 @@ functions("functions_casts", "lineitem", "l_orderkey, l_linenumber, l_partkey, l
     "f_text_real": (lambda: C.text_to_real(F.concat(_n.cast("string"), F.lit(".5x"))), "l_linenumber + 0.5::DOUBLE"), "f_no_number": (lambda: C.text_to_int(F.col("l_returnflag")), "0::BIGINT"), "f_json": (lambda: C.to_json(F.col("l_returnflag")), "'\"' || l_returnflag || '\"'"), "f_date_int": (lambda: C.date_to_int(F.col("l_shipdate")), "strftime(l_shipdate, '%Y%m%d')::BIGINT"),
     "f_year": (lambda: C.int_to_year(_n), "l_linenumber + 2000::BIGINT"), "f_unsigned": (lambda: C.to_unsigned(-_k).cast("string"), "(CASE WHEN l_orderkey = 0 THEN 0 ELSE 18446744073709551616::HUGEINT - l_orderkey END)::VARCHAR"),
 })
+_J = lambda: F.concat(F.lit('"'), F.date_format(F.col("l_shipdate"), "yyyy.M.d"), F.lit(' 3:4:5.6"'))
+_E = lambda: C.enum(F.col("l_linenumber") % 4, ["2020-01-02", "11:22:33", "x"])
+_AT = lambda: F.timestamp_micros(F.unix_micros(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber") * 3_723_500_000)
+_TIME = "(l_shipdate::TIMESTAMP + to_microseconds((l_linenumber * 3723500000)::BIGINT))"
+_SECONDS = "(l_linenumber * 3723.5)"
+functions("functions_casts_json", "lineitem", "l_orderkey, l_linenumber", {
+    "f_int": (lambda: C.json_to_int(F.concat(_n.cast("string"), F.lit(".5"))), "(l_linenumber + 1)::BIGINT"), "f_true": (lambda: C.json_to_int(F.lit("true")), "1::BIGINT"), "f_array": (lambda: C.json_to_real(F.lit("[1]")), "0::DOUBLE"),
+    "f_text_int": (lambda: C.json_to_int(F.concat(F.lit('"'), _k.cast("string"), F.lit('x"'))), "l_orderkey"), "f_real": (lambda: C.json_to_real(F.concat(_n.cast("string"), F.lit(".25"))), "l_linenumber + 0.25::DOUBLE"),
+    "f_decimal": (lambda: C.json_to_decimal(F.concat(_n.cast("string"), F.lit(".25")), 20, 2).cast("string"), "(l_linenumber + 0.25)::DECIMAL(20,2)::VARCHAR"), "f_time": (lambda: C.timestamp_to_text(C.json_to_timestamp(_J()), 1), "strftime(l_shipdate, '%Y-%m-%d') || ' 03:04:05.6'"),
+    "f_duration": (lambda: C.duration_to_int(C.json_to_duration(F.lit('"11:22:33"'))), "112233::BIGINT"), "f_no_time": (lambda: C.json_to_timestamp(F.lit("12")).cast("string"), "NULL::VARCHAR"),
+    "f_of_time": (lambda: C.timestamp_to_json(_AT()), f"'\"' || strftime({_TIME}, '%Y-%m-%d %H:%M:%S.%f') || '\"'"), "f_uint": (lambda: C.json_to_uint(F.lit("18446744073709551615")).cast("string"), "'18446744073709551615'"),
+})
+functions("functions_casts_enum", "lineitem", "l_orderkey, l_linenumber", {
+    "f_int": (lambda: C.enum_to_int(_E()), "(l_linenumber % 4)::BIGINT"), "f_real": (lambda: C.enum_to_real(_E()), "(l_linenumber % 4)::DOUBLE"), "f_decimal": (lambda: C.enum_to_decimal(_E(), 10, 1).cast("string"), "(l_linenumber % 4) || '.0'"),
+    "f_text": (lambda: C.enum_to_text(_E()), "CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN '2020-01-02' WHEN 2 THEN '11:22:33' ELSE 'x' END"), "f_json": (lambda: C.enum_to_json(_E()), "CASE l_linenumber % 4 WHEN 0 THEN '\"\"' WHEN 1 THEN '\"2020-01-02\"' WHEN 2 THEN '\"11:22:33\"' ELSE '\"x\"' END"),
+    "f_time": (lambda: C.timestamp_to_text(C.enum_to_timestamp(_E())), "CASE WHEN l_linenumber % 4 = 1 THEN '2020-01-02 00:00:00' END"), "f_duration": (lambda: C.duration_to_int(C.enum_to_duration(_E())), "CASE WHEN l_linenumber % 4 = 2 THEN 112233::BIGINT END"),
+})
+functions("functions_casts_time", "lineitem", "l_orderkey, l_linenumber", {
+    "f_int": (lambda: C.timestamp_to_int(_AT()), f"strftime({_TIME} + INTERVAL 0.5 SECOND, '%Y%m%d%H%M%S')::BIGINT"), "f_real": (lambda: C.timestamp_to_real(_AT(), 1), f"strftime({_TIME}, '%Y%m%d%H%M%S')::DOUBLE + (l_linenumber % 2) * 0.5"),
+    "f_decimal": (lambda: C.timestamp_to_decimal(_AT(), 1).cast("string"), f"strftime({_TIME}, '%Y%m%d%H%M%S') || CASE WHEN l_linenumber % 2 = 1 THEN '.5' ELSE '.0' END"), "f_text": (lambda: C.timestamp_to_text(_AT()), f"strftime({_TIME} + INTERVAL 0.5 SECOND, '%Y-%m-%d %H:%M:%S')"),
+    "f_duration": (lambda: C.duration_to_real(C.timestamp_to_duration(_AT(), 1)), f"(floor({_SECONDS} / 3600) * 10000 + floor({_SECONDS} / 60) % 60 * 100 + {_SECONDS} % 60)::DOUBLE"),
+    "f_duration_int": (lambda: C.duration_to_int(C.timestamp_to_duration(_AT())), "strftime(TIMESTAMP '2020-01-01' + to_microseconds((l_linenumber * 3723500000)::BIGINT) + INTERVAL 0.5 SECOND, '%H%M%S')::BIGINT"),
+    "f_duration_time": (lambda: C.timestamp_to_text(C.duration_to_timestamp(C.timestamp_to_duration(_AT()), F.col("l_shipdate")), 1), f"left(strftime({_TIME}, '%Y-%m-%d %H:%M:%S.%f'), 21)"), "f_round": (lambda: C.timestamp_to_text(C.round_time(_AT()), 1), f"strftime({_TIME} + INTERVAL 0.5 SECOND, '%Y-%m-%d %H:%M:%S') || '.0'"),
+    "f_from_int": (lambda: C.timestamp_to_text(C.int_to_timestamp(F.date_format("l_shipdate", "yyMMdd").cast("bigint"))), "strftime(l_shipdate, '%Y-%m-%d 00:00:00')"), "f_from_text": (lambda: C.timestamp_to_text(C.text_to_timestamp(F.date_format("l_shipdate", "yyMMddHHmmss"))), "strftime(l_shipdate, '%Y-%m-%d 00:00:00')"),
+    "f_from_decimal": (lambda: C.timestamp_to_text(C.decimal_to_timestamp(C.timestamp_to_decimal(_AT(), 1)), 1), f"left(strftime({_TIME}, '%Y-%m-%d %H:%M:%S.%f'), 21)"), "f_from_real": (lambda: C.timestamp_to_text(C.real_to_timestamp(C.timestamp_to_real(_AT(), 0))), f"strftime({_TIME} + INTERVAL 0.5 SECOND, '%Y-%m-%d %H:%M:%S')"),
+    "f_real_duration": (lambda: C.duration_to_int(C.real_to_duration(F.lit(112233.6))), "112234::BIGINT"), "f_decimal_duration": (lambda: C.duration_to_int(C.decimal_to_duration(F.lit("-10203.4").cast("decimal(10,1)"))), "(-10203)::BIGINT"),
+})
+functions("functions_unsigned", "lineitem", "l_orderkey, l_linenumber", {
+    "f_multiply": (lambda: X.multiply_uint(_n, X.big(1 << 61)).cast("string"), "(l_linenumber::HUGEINT * 2305843009213693952)::VARCHAR"), "f_divide": (lambda: X.int_divide_uint(X.big((1 << 64) - 1), _n).cast("string"), "(18446744073709551615::HUGEINT // l_linenumber)::VARCHAR"),
+    "f_int_divide": (lambda: X.int_divide(_n.cast("decimal(10,0)"), F.lit("0.0000001").cast("decimal(10,7)")), "(l_linenumber * 10000000)::BIGINT"), "f_and": (lambda: X.bit_and(X.big((1 << 64) - 1), _k).cast("bigint"), "l_orderkey"),
+    "f_or": (lambda: X.bit_or(X.big(1 << 63), _k).cast("string"), "(9223372036854775808::HUGEINT + l_orderkey)::VARCHAR"), "f_xor": (lambda: X.bit_xor(X.big((1 << 64) - 1), _k).cast("string"), "(18446744073709551615::HUGEINT - l_orderkey)::VARCHAR"),
+    "f_left": (lambda: X.left_shift(F.lit(1).cast("bigint"), F.lit(63)).cast("string"), "'9223372036854775808'"), "f_long": (lambda: C.text_to_int(F.concat(F.lit("9" * 50), _k.cast("string"))), "9223372036854775807::BIGINT"),
+})
 functions("functions_collation", "customer", "c_custkey", {
     "f_compare": (lambda: K.compare(F.lower(F.col("c_mktsegment")), F.lit("FURNITURE  "), "utf8mb4_general_ci"), "CASE WHEN c_mktsegment < 'FURNITURE' THEN -1 WHEN c_mktsegment = 'FURNITURE' THEN 0 ELSE 1 END::BIGINT"),
     "f_equal": (lambda: K.equal(F.lower(F.col("c_mktsegment")), F.lit("FURNITURE"), "utf8mb4_general_ci"), "(c_mktsegment = 'FURNITURE')::BIGINT"), "f_binary": (lambda: K.equal(F.lower(F.col("c_mktsegment")), F.lit("FURNITURE")), "0::BIGINT"),

@@ -30,9 +30,13 @@ def avg_partial(c: Column, kind: str = "double", name: str = "avg") -> list[Colu
     return [F.count(c).alias(f"{name}_count"), F.sum(summable(c, kind)).alias(f"{name}_sum")]
 
 
-def avg_merge(name: str = "avg") -> Column:
-    """AVG of merged partial states."""
-    return F.sum(f"{name}_sum").cast("double") / F.nullif(F.sum(f"{name}_count"), F.lit(0))
+def avg_merge(name: str = "avg", kind: str = "double") -> Column:
+    """AVG of merged partial states: of integers and decimals an exact decimal with four more digits, of others a double."""
+    total, n = F.sum(f"{name}_sum"), F.nullif(F.sum(f"{name}_count"), F.lit(0))
+    if kind.startswith("decimal") or kind in ("tinyint", "smallint", "int", "bigint"):
+        scale = int(kind.rstrip(")").split(",")[1]) if "," in kind else 0
+        return F.round(total.cast(f"decimal(38,{min(scale + 6, 18)})") / n.cast("decimal(20,0)"), min(scale + 4, 30)).cast(f"decimal(38,{min(scale + 4, 30)})")
+    return total.cast("double") / n
 
 
 def minimum(c: Column) -> Column:
@@ -67,11 +71,21 @@ def variance_partial(c: Column, name: str = "var") -> list[Column]:
 
 
 def variance_merge(name: str = "var", sample: bool = False) -> Column:
-    """Variance of merged states: within groups, plus between their means."""
-    n, s, v = (F.col(f"{name}_{x}") for x in ("count", "sum", "pop"))
-    total = F.sum(n)
-    squares = F.sum(n * v + s * s / F.nullif(n, F.lit(0))) - F.sum(s) * F.sum(s) / F.nullif(total, F.lit(0))
-    return squares / F.nullif(total - (1 if sample else 0), F.lit(0))
+    """Variance of merged states: the squares within them, and those of their means around the mean of all.
+
+    Means and counts are merged one after the other (each state moves the mean by its share), so no
+    two large sums of squares are subtracted.  The states of a group, one for each partition, are
+    gathered in one array.
+    """
+    n, s, v = (F.col(f"{name}_{x}").cast("double") for x in ("count", "sum", "pop"))
+    states = F.collect_list(F.when(n > 0, F.struct(n.alias("n"), (s / n).alias("mean"), (n * v).alias("squares"))))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(a: Column, b: Column) -> Column:
+        both, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(both.alias("n"), (a["mean"] + apart * b["n"] / both).alias("mean"), (a["squares"] + b["squares"] + apart * apart * a["n"] * b["n"] / both).alias("squares"))
+
+    return F.aggregate(states, start, step, lambda t: F.when(t["n"] > (1 if sample else 0), t["squares"] / (t["n"] - (1 if sample else 0))))
 
 
 def var_pop(c: Column) -> Column:

@@ -1,20 +1,29 @@
 """Conversions between kinds of values.
 
-Numbers round half away from zero; text gives its leading number, 0 if there is none; out of
-range is an error.  Dates and times give numbers as yyyymmddhhmmss and hhmmss.
+Numbers round half away from zero; text gives its leading number, 0 if there is none; numbers out
+of range are an error, but in text, where they become the nearest bound.  Dates and times give
+numbers as yyyymmddhhmmss and hhmmss, rounded to the target's digits.  JSON values are JSON text, an
+enum value is a struct of its position and its name (`enum`).  What can't be a time is null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import temporal
-from .numeric import as_int, as_uint, big
+from .numeric import INT_MAX, INT_MIN, UINT_MAX, as_int, as_uint, big
 
 _LEADING = r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
 
 
+def _let(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(c), with c evaluated once however often fn names it."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def real_to_int(c: Column) -> Column:
     return as_int(F.round(c))
 
@@ -23,8 +32,29 @@ def decimal_to_int(c: Column) -> Column:
     return as_int(F.round(c, 0))
 
 
+def _number(c: Column) -> Column:
+    """The leading number of a text as text, 0 if there is none, null for null."""
+    return F.coalesce(F.nullif(F.regexp_extract(c, _LEADING, 1), F.lit("")), F.when(c.isNotNull(), F.lit("0")))
+
+
+def _within(exact: Column, rough: Column, low: int, high: int) -> Column:
+    """A number as decimal(38,0) between two bounds; `exact` is null where only `rough` can hold it."""
+    held = F.when(rough > float(high), big(high)).when(rough < float(low), big(low)).otherwise(exact.cast("decimal(38,0)"))
+    return F.greatest(F.least(held, big(high)), F.when(held.isNotNull(), big(low)))
+
+
+def _text_between(c: Column, low: int, high: int) -> Column:
+    n = _number(c)
+    return _within(F.round(n.try_cast("decimal(38,10)")), n.cast("double"), low, high)
+
+
 def text_to_int(c: Column) -> Column:
-    return as_int(F.coalesce(F.round(F.nullif(F.regexp_extract(c, _LEADING, 1), F.lit("")).cast("decimal(38,10)")), F.when(c.isNotNull(), F.lit(0))))
+    return _text_between(c, INT_MIN, INT_MAX).cast("bigint")
+
+
+def text_to_uint(c: Column) -> Column:
+    """Text of a negative number wraps round."""
+    return to_unsigned(_text_between(c, INT_MIN, UINT_MAX))
 
 
 def to_unsigned(c: Column) -> Column:
@@ -54,48 +84,267 @@ def to_text(c: Column) -> Column:
 
 
 def real_to_text(c: Column) -> Column:
-    """Shortest form; whole numbers without a point."""
-    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+    """Shortest digits, never with an exponent; whole numbers without a point."""
+    return _let(c, _real_text)
+
+
+def _real_text(c: Column) -> Column:
+    t = c.cast("string")
+    exponent = F.regexp_extract(t, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_extract(t, r"^-?([0-9.]+)", 1), r"\.0$", ""), r"\.", "")
+    sign = F.when(c < 0, "-").otherwise("")
+    wide = F.when(exponent < 0, F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)).when(exponent >= F.length(digits) - 1, F.concat(sign, F.rpad(digits, exponent + 1, F.lit("0"))))
+    wide = wide.otherwise(F.concat(sign, F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.length(digits))))
+    return F.when(exponent.isNull(), F.regexp_replace(t, r"\.0$", "")).otherwise(wide)
+
+
+def text_to_text(c: Column, length: int = -1) -> Column:
+    """At most `length` characters (-1: all)."""
+    return c if length < 0 else F.substring(c, 1, length)
+
+
+# ---------------------------------------------------------------- times
+
+def round_time(c: Column, digits: int = 0) -> Column:
+    """A time rounded to `digits` digits of a second, halves up."""
+    unit = 10 ** (6 - digits)
+    return F.timestamp_micros((F.floor((F.unix_micros(c.cast("timestamp")) + unit // 2) / F.lit(unit).cast("decimal(7,0)")) * unit).cast("bigint"))
+
+
+def round_duration(d: Column, digits: int = 0) -> Column:
+    """A duration rounded to `digits` digits of a second, halves away from zero, within its bounds."""
+    return temporal.clamp(d, digits)
 
 
 def timestamp_to_text(c: Column, digits: int = 0) -> Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss" + ("." + "S" * digits if digits else ""))
+    return F.date_format(round_time(c, digits), "yyyy-MM-dd HH:mm:ss" + ("." + "S" * digits if digits else ""))
 
 
 def timestamp_to_int(c: Column) -> Column:
-    return F.date_format(c, "yyyyMMddHHmmss").cast("bigint")
+    return F.date_format(round_time(c), "yyyyMMddHHmmss").cast("bigint")
+
+
+def timestamp_to_decimal(c: Column, digits: int = 6) -> Column:
+    return F.date_format(round_time(c, digits), "yyyyMMddHHmmss" + ("." + "S" * digits if digits else "")).cast(f"decimal({14 + digits},{digits})")
+
+
+def timestamp_to_real(c: Column, digits: int = 6) -> Column:
+    return timestamp_to_decimal(c, digits).cast("double")
+
+
+def timestamp_to_duration(c: Column, digits: int = 6) -> Column:
+    """The time of day."""
+    t = round_time(c, digits)
+    return temporal._interval((F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)).cast("bigint") * 1_000_000 + F.pmod(F.unix_micros(t), F.lit(1_000_000)))
+
+
+def timestamp_to_json(c: Column) -> Column:
+    return _quoted(timestamp_to_text(c, 6))
 
 
 def date_to_int(c: Column) -> Column:
     return F.date_format(c, "yyyyMMdd").cast("bigint")
 
 
+def duration_to_decimal(d: Column, digits: int = 6) -> Column:
+    def number(t: Column) -> Column:
+        size = F.abs(t)
+        whole = F.floor(size).cast("bigint")
+        parts = F.floor(whole / 3600) * 10000 + F.floor(whole / 60) % 60 * 100 + whole % 60
+        return F.signum(t).cast("decimal(1,0)") * (parts.cast("decimal(12,0)") + (size - whole).cast("decimal(6,6)"))
+
+    return _let(temporal._seconds(round_duration(d, digits)), number).cast(f"decimal({8 + digits},{digits})")
+
+
 def duration_to_int(d: Column) -> Column:
-    s = temporal.time_to_sec(d)
-    a = F.abs(s)
-    return (F.signum(s) * (F.floor(a / 3600) * 10000 + F.floor(a / 60) % 60 * 100 + a % 60)).cast("bigint")
+    return duration_to_decimal(d, 0).cast("bigint")
+
+
+def duration_to_real(d: Column) -> Column:
+    return duration_to_decimal(d).cast("double")
+
+
+def duration_to_timestamp(d: Column, day: Column | None = None, digits: int = 6) -> Column:
+    """That much after the start of `day` (the current one)."""
+    start = (F.current_date() if day is None else day).cast("timestamp")
+    return round_time(start + d, digits)
+
+
+def duration_to_json(d: Column) -> Column:
+    return _quoted(_let(d, lambda x: F.concat(temporal.format_time(x), F.when(temporal.microsecond(x) == 0, ".000000").otherwise(""))))
+
+
+def _moment(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, micros: Column, two_digits: Column) -> Column:
+    n = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("0")).try_cast("int")
+    year = n(y) + F.when(two_digits, F.when(n(y) < 70, 2000).otherwise(1900)).otherwise(0)
+    whole = F.try_make_timestamp(year, n(mo), n(d), n(h), n(mi), F.when(n(s) < 60, n(s)).cast("decimal(16,6)"))
+    return F.timestamp_micros(F.unix_micros(whole) + micros)
+
+
+def _fraction(digits_text: Column, digits: int) -> Column:
+    """Microseconds of the digits after a point, rounded to `digits` digits."""
+    return F.coalesce((F.round(F.concat(F.lit("0."), F.substring(digits_text, 1, 12), F.lit("0")).cast("decimal(14,13)"), digits) * 1_000_000).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def text_to_timestamp(c: Column, digits: int = 6) -> Column:
+    """Year, month and day, and hours, minutes and seconds if there are any, apart by any punctuation
+    (date and time by blanks or T), or run together in 6, 8, 10, 12 or 14 digits; a fraction is rounded.
+    Years of two digits are 1970 to 2069."""
+    return _let(F.trim(c), lambda t: _read_time(t, digits))
+
+
+def _read_time(t: Column, digits: int) -> Column:
+    apart = r"^(\d{1,4})[^\w\s](\d{1,2})[^\w\s](\d{1,2})(?:(?:T|\s+)(\d{1,2})(?:[^\w\s](\d{1,2})(?:[^\w\s](\d{1,2})(?:\.(\d*))?)?)?)?$"
+    part = lambda i: F.regexp_extract(t, apart, i)
+    first = _moment(*(part(i) for i in range(1, 7)), _fraction(part(7), digits), F.length(part(1)) <= 2)
+    run = r"^(\d+)(?:\.(\d*))?$"
+    d, tail = F.regexp_extract(t, run, 1), _fraction(F.regexp_extract(t, run, 2), digits)
+    size = F.length(d)
+    of = lambda lo, n: F.substring(d, lo, n)
+    none = F.lit("")
+    long = _moment(of(1, 4), of(5, 2), of(7, 2), of(9, 2), of(11, 2), of(13, 2), tail, F.lit(False))
+    short = _moment(of(1, 2), of(3, 2), of(5, 2), of(7, 2), of(9, 2), of(11, 2), tail, F.lit(True))
+    day = _moment(of(1, 4), of(5, 2), of(7, 2), none, none, none, F.lit(0), F.lit(False))
+    return F.when(t.rlike(apart), first).when(size == 14, long).when(size.isin(10, 12, 6), short).when(size == 8, day)
+
+
+#: Fixed bounds of dates written as numbers: what is under a bound gets what follows (None: isn't a date).
+_NUMBER_RULES = (
+    (101, None), (691_232, 20_000_000), (700_101, None), (991_232, 19_000_000), (10_000_101, None), (99_991_232, 0),
+    (101_000_000, None), (691_231_240_000, 20_000_000_000_000), (700_101_000_000, None), (991_231_240_000, 19_000_000_000_000), (10_000_101_000_000, None),
+)
 
 
 def int_to_timestamp(c: Column) -> Column:
-    """yyyymmdd or yyyymmddhhmmss; null if it isn't one."""
-    t = c.cast("string")
-    return F.when(F.length(t) == 8, F.try_to_timestamp(t, F.lit("yyyyMMdd"))).when(F.length(t) == 14, F.try_to_timestamp(t, F.lit("yyyyMMddHHmmss")))
+    """A number as yymmdd, yyyymmdd, yymmddhhmmss or yyyymmddhhmmss, with leading zeros left out; null if it isn't one."""
+
+    def full(n: Column) -> Column:
+        out = F.when(n.isNull(), F.lit(None).cast("bigint"))
+        for bound, more in _NUMBER_RULES:
+            out = out.when(n < bound, F.lit(None).cast("bigint") if more is None else (n + more) * (1_000_000 if bound <= 99_991_232 else 1))
+        return out.otherwise(n)
+
+    return text_to_timestamp(F.lpad(_let(c.cast("bigint"), full).cast("string"), 14, "0"))
+
+
+def decimal_to_timestamp(c: Column, digits: int = 6) -> Column:
+    """As of its whole part; the fraction, if the whole part has a time of day, is that of the second."""
+
+    def moment(wide: Column) -> Column:
+        whole = F.floor(wide).cast("bigint")
+        micros = (F.round(wide - whole, digits) * 1_000_000).cast("bigint")
+        return F.timestamp_micros(F.unix_micros(int_to_timestamp(whole)) + F.when(whole > 99_991_231, micros).otherwise(F.lit(0).cast("bigint")))
 
+    return _let(c.cast("decimal(38,12)"), moment)
 
-def text_to_timestamp(c: Column) -> Column:
-    return F.try_to_timestamp(c)
 
+def real_to_timestamp(c: Column, digits: int = 6) -> Column:
+    return decimal_to_timestamp(real_to_text(c).try_cast("decimal(38,12)"), digits)
 
-def text_to_duration(c: Column) -> Column:
-    return temporal.parse_time(c)
+
+def text_to_duration(c: Column, digits: int = 6) -> Column:
+    return round_duration(_let(c, temporal.parse_time), digits)
 
 
 def int_to_duration(c: Column) -> Column:
-    return temporal.parse_time(c.cast("string"))
+    """hhmmss; 10 digits and more are a date and time, whose time of day it is; other values beyond 8385959 are null."""
+    n = c.cast("bigint")
+    return F.when(F.abs(n) <= 8_385_959, _let(n.cast("string"), temporal.parse_time)).when(n >= 10_000_000_000, _let(int_to_timestamp(n), lambda t: timestamp_to_duration(t)))
+
+
+def decimal_to_duration(c: Column, digits: int = 6) -> Column:
+    """hhmmss.ffffff; null beyond 8385959.999999."""
+    t = F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(F.abs(c) < 8_385_960, text_to_duration(t, digits))
+
+
+def real_to_duration(c: Column, digits: int = 6) -> Column:
+    return decimal_to_duration(real_to_text(c).try_cast("decimal(38,12)"), digits)
+
+
+# ---------------------------------------------------------------- JSON
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def _json_text(c: Column) -> Column:
+    """What a JSON string holds."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")
+
+
+def _of_json(c: Column, text, number, one: Column, zero: Column) -> Column:
+    """By kind of value: strings, numbers, true; false, null, arrays and objects are zero."""
+    return _let(F.trim(c), lambda t: F.when(t.startswith('"'), text(_json_text(t))).when(t.rlike(r"^-?[0-9]"), number(t)).when(t == "true", one).when(t.isNotNull(), zero))
+
+
+def json_to_int(c: Column) -> Column:
+    """Fractions are rounded."""
+    return _of_json(c, text_to_int, text_to_int, F.lit(1).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def json_to_uint(c: Column) -> Column:
+    return _of_json(c, text_to_uint, text_to_uint, F.lit(1).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+
+
+def json_to_real(c: Column) -> Column:
+    return _of_json(c, text_to_real, text_to_real, F.lit(1.0), F.lit(0.0))
+
+
+def json_to_decimal(c: Column, precision: int = 38, scale: int = 10) -> Column:
+    kind = f"decimal({precision},{scale})"
+    return _of_json(c, lambda t: text_to_decimal(t, precision, scale), lambda t: text_to_decimal(t, precision, scale), F.lit(1).cast(kind), F.lit(0).cast(kind))
+
+
+def json_to_text(c: Column) -> Column:
+    """JSON text: strings keep their quotes."""
+    return c
+
+
+def json_to_timestamp(c: Column, digits: int = 6) -> Column:
+    """Strings only; other kinds are null."""
+    return F.when(F.trim(c).startswith('"'), text_to_timestamp(_json_text(F.trim(c)), digits))
+
+
+def json_to_duration(c: Column, digits: int = 6) -> Column:
+    """Strings only; other kinds are null."""
+    return F.when(F.trim(c).startswith('"'), text_to_duration(_json_text(F.trim(c)), digits))
+
+
+# ---------------------------------------------------------------- enum
+
+def enum(value: Column, names: list[str]) -> Column:
+    """The value of an enum by its position from 1; 0 is the empty value without a name."""
+    name = F.when(value == 0, F.lit("")).otherwise(F.try_element_at(F.array(*map(F.lit, names)), F.nullif(value, F.lit(0)).cast("int")))
+    return F.when(name.isNotNull(), F.struct(value.cast("bigint").alias("value"), name.alias("name")))
+
+
+def enum_to_int(c: Column) -> Column:
+    return c["value"]
+
+
+def enum_to_real(c: Column) -> Column:
+    return c["value"].cast("double")
+
+
+def enum_to_decimal(c: Column, precision: int = 38, scale: int = 10) -> Column:
+    return c["value"].cast(f"decimal({precision},{scale})")
+
+
+def enum_to_text(c: Column) -> Column:
+    return c["name"]
+
+
+def enum_to_timestamp(c: Column, digits: int = 6) -> Column:
+    return text_to_timestamp(c["name"], digits)
+
+
+def enum_to_duration(c: Column, digits: int = 6) -> Column:
+    return text_to_duration(c["name"], digits)
 
 
-def timestamp_to_duration(c: Column) -> Column:
-    return F.make_dt_interval(F.lit(0), F.hour(c), F.minute(c), F.second(c).cast("decimal(18,6)"))
+def enum_to_json(c: Column) -> Column:
+    return to_json(c["name"])
 
 
 def int_to_year(c: Column) -> Column:

@@ -74,7 +74,14 @@ def minus_uint(a: Column, b: Column) -> Column:
 
 
 def multiply_uint(a: Column, b: Column) -> Column:
-    return as_uint((a.cast(_U) * b.cast("decimal(18,0)")).cast("decimal(38,0)"))
+    """Exact below 2^64: both sides are split so that no part of the product is over 38 digits."""
+    x, y = _wide(a), _wide(b)
+    half = big(1 << 32, "decimal(11,0)")
+    high, low = F.floor(y / half).cast("decimal(11,0)"), F.pmod(y, half).cast("decimal(11,0)")
+    upper, lower = (x.cast("decimal(21,0)") * high).cast("decimal(38,0)"), (x.cast("decimal(21,0)") * low).cast("decimal(38,0)")
+    # beyond 2^34 the upper part alone is out of range
+    bound = big(1 << 34)
+    return as_uint(F.greatest(F.least(upper, bound), -bound) * half.cast("decimal(38,0)") + lower)
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -82,13 +89,26 @@ def divide(a: Column, b: Column) -> Column:
 
 
 def int_divide(a: Column, b: Column) -> Column:
-    """Truncating division of integers; of decimals, their quotient truncated."""
-    return F.try_divide(a.cast("decimal(28,6)"), b.cast("decimal(28,6)")).cast("bigint")
+    """Truncating division of integers and decimals: both sides become whole by the scale of 15 digits."""
+    x, y = (c.cast("decimal(35,15)") for c in (a, b))
+    whole = F.call_function("div", x, F.nullif(y, F.lit(0).cast("decimal(35,15)")))
+    return whole.cast("bigint")
+
+
+def _quotient(a: Column, b: Column) -> Column:
+    """Truncated quotient of 64-bit integers of either kind as decimal(38,0); null by zero."""
+    x, y = _wide(a), F.nullif(_wide(b), big(0))
+    rest = x % y
+    return ((x - rest) / y).cast("decimal(38,0)")
 
 
 def int_divide_int(a: Column, b: Column) -> Column:
-    q = F.call_function("div", a.cast("bigint"), F.nullif(b.cast("bigint"), F.lit(0).cast("bigint")))
-    return q
+    return as_int(_quotient(a, b))
+
+
+def int_divide_uint(a: Column, b: Column) -> Column:
+    """With an unsigned side: the result is unsigned, a negative one an error."""
+    return as_uint(_quotient(a, b))
 
 
 def modulo(a: Column, b: Column) -> Column:
@@ -221,32 +241,44 @@ def logical_not(c: Column) -> Column:
     return flag(c == 0)
 
 
+def signed_bits(c: Column) -> Column:
+    """The 64 bits of a signed or an unsigned value as BIGINT."""
+    d = c.cast("decimal(21,0)")
+    return F.when(d > big(INT_MAX, "decimal(21,0)"), d - big(UINT_MAX + 1, "decimal(21,0)")).otherwise(d).cast("bigint")
+
+
 def bit_and(a: Column, b: Column) -> Column:
-    return a.cast("bigint").bitwiseAND(b.cast("bigint"))
+    """Unsigned, as all bit operators are."""
+    return unsigned(signed_bits(a).bitwiseAND(signed_bits(b)))
 
 
 def bit_or(a: Column, b: Column) -> Column:
-    return a.cast("bigint").bitwiseOR(b.cast("bigint"))
+    return unsigned(signed_bits(a).bitwiseOR(signed_bits(b)))
 
 
 def bit_xor(a: Column, b: Column) -> Column:
-    return a.cast("bigint").bitwiseXOR(b.cast("bigint"))
+    return unsigned(signed_bits(a).bitwiseXOR(signed_bits(b)))
 
 
 def bit_neg(c: Column) -> Column:
     """Unsigned."""
-    return unsigned(F.bitwise_not(c.cast("bigint")))
+    return unsigned(F.bitwise_not(signed_bits(c)))
+
+
+def _shifted(name: str, c: Column, n: Column) -> Column:
+    none = F.lit(None).cast(_U)
+    return F.when(c.isNull() | n.isNull(), none).when(n.between(0, 63), unsigned(F.call_function(name, signed_bits(c), n.cast("int")))).otherwise(F.lit(0).cast(_U))
 
 
 def left_shift(c: Column, n: Column) -> Column:
     """Counts outside 0..63 give 0."""
-    return F.when(c.isNull() | n.isNull(), F.lit(None).cast("bigint")).when(n.between(0, 63), F.call_function("shiftleft", c.cast("bigint"), n.cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    return _shifted("shiftleft", c, n)
 
 
 def right_shift(c: Column, n: Column) -> Column:
     """Logical."""
-    return F.when(c.isNull() | n.isNull(), F.lit(None).cast("bigint")).when(n.between(0, 63), F.call_function("shiftrightunsigned", c.cast("bigint"), n.cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    return _shifted("shiftrightunsigned", c, n)
 
 
 def bit_count(c: Column) -> Column:
-    return F.bit_count(c.cast("bigint")).cast("bigint")
+    return F.bit_count(signed_bits(c)).cast("bigint")

@@ -165,11 +165,14 @@ def date_format(c: Column, layout: str) -> Column:
 
 # ---------------------------------------------------------------- durations
 
+def _seconds(d: Column) -> Column:
+    """Seconds of an interval, with its microseconds."""
+    return d.cast("interval second").cast("decimal(18,6)")
+
+
 def _micros(d: Column) -> Column:
     """Microseconds of an interval."""
-    return (F.extract(F.lit("DAY"), d).cast("bigint") * 86400 + F.extract(F.lit("HOUR"), d).cast("bigint") * 3600 + F.extract(F.lit("MINUTE"), d).cast("bigint") * 60) * 1000000 + (
-        F.extract(F.lit("SECOND"), d) * 1000000
-    ).cast("bigint")
+    return (_seconds(d) * 1000000).cast("bigint")
 
 
 def _interval(micros: Column) -> Column:
@@ -194,8 +197,7 @@ def microsecond(d: Column) -> Column:
 
 
 def time_to_sec(d: Column) -> Column:
-    m = _micros(d)
-    return F.when(m < 0, -F.floor(-m / 1000000)).otherwise(F.floor(m / 1000000)).cast("bigint")
+    return _seconds(d).cast("bigint")
 
 
 def parse_time(c: Column) -> Column:
@@ -215,11 +217,11 @@ def parse_time(c: Column) -> Column:
     return clamp(_interval(F.when(ok_colon, sign * by_colon).when(ok_digits, sign * by_digits)))
 
 
-def clamp(d: Column) -> Column:
-    """Durations beyond 838:59:59 become that bound."""
-    m = _micros(d)
-    bound = MOST_SECONDS * 1000000
-    return F.when(m > bound, _interval(F.lit(bound))).when(m < -bound, _interval(F.lit(-bound))).otherwise(d)
+def clamp(d: Column, digits: int = 6) -> Column:
+    """Durations beyond 838:59:59 become that bound; what is over `digits` digits of a second is rounded, halves away from zero."""
+    bound = F.lit(MOST_SECONDS).cast("decimal(18,6)")
+    seconds = F.round(_seconds(d), digits).cast("decimal(18,6)")
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.when(d.isNotNull(), F.greatest(F.least(seconds, bound), -bound)))
 
 
 def make_time(h: Column, m: Column, s: Column) -> Column:

@@ -93,6 +93,36 @@ CASES = {
     "gbk": (lambda: C.decode(C.encode(text("汉字"), "gbk"), "gbk"), "汉字"),
     "text to int": (lambda: C.text_to_int(text(" 12.5abc")), 13),
     "text without number": (lambda: C.text_to_int(text("abc")), 0),
+    "long number in text": (lambda: C.text_to_int(text("-" + "9" * 60)), -(1 << 63)),
+    "real without exponent": (lambda: C.real_to_text(F.lit(1e20)), "100000000000000000000"),
+    "small real": (lambda: C.real_to_text(F.lit(-1.25e-7)), "-0.000000125"),
+    "real with a point": (lambda: C.real_to_text(F.lit(12345678.25)), "12345678.25"),
+    "time rounds up": (lambda: C.timestamp_to_int(ts("2000-01-01 12:13:14.6666")), 20000101121315),
+    "time rounds into the next year": (lambda: C.timestamp_to_int(ts("2019-12-31 23:59:59.5")), 20200101000000),
+    "duration rounds": (lambda: C.duration_to_int(T.parse_time(text("-00:00:59.5"))), -100),
+    "time of day keeps its fraction": (lambda: T.format_time(C.timestamp_to_duration(ts("2020-01-02 03:04:05.25"))), "03:04:05.250000"),
+    "any punctuation": (lambda: C.timestamp_to_text(C.text_to_timestamp(text("2020.1.2 3:4:5.678"), 1), 1), "2020-01-02 03:04:05.7"),
+    "14 digits": (lambda: C.timestamp_to_text(C.text_to_timestamp(text("20200102030405"))), "2020-01-02 03:04:05"),
+    "6 digits": (lambda: C.timestamp_to_text(C.text_to_timestamp(text("700102"))), "1970-01-02 00:00:00"),
+    "no such day": (lambda: C.text_to_timestamp(text("2020-02-30")).cast("string"), NULL),
+    "fraction carries": (lambda: C.timestamp_to_text(C.text_to_timestamp(text("2020-01-01 23:59:59.9"), 0)), "2020-01-02 00:00:00"),
+    "number with 2-digit year": (lambda: C.timestamp_to_text(C.int_to_timestamp(num(101))), "2000-01-01 00:00:00"),
+    "number between rules": (lambda: C.int_to_timestamp(num(700100)).cast("string"), NULL),
+    "number with time": (lambda: C.timestamp_to_text(C.int_to_timestamp(num(691231235959))), "2069-12-31 23:59:59"),
+    "number over a duration": (lambda: C.int_to_duration(num(8385960)).cast("string"), NULL),
+    "date and time as a duration": (lambda: T.format_time(C.int_to_duration(num(20200102030405))), "03:04:05"),
+    "json false": (lambda: C.json_to_int(text("false")), 0),
+    "json fraction": (lambda: C.json_to_int(text("4.5")), 5),
+    "json null": (lambda: C.json_to_real(text("null")), 0.0),
+    "null json": (lambda: C.json_to_int(text(NULL)), NULL),
+    "json string with escapes": (lambda: C.json_to_real(text('"1\\u0030"')), 10.0),
+    "enum beyond its names": (lambda: C.enum_to_text(C.enum(num(3), ["a"])), NULL),
+    "multiply unsigned": (lambda: X.multiply_uint(num(1), X.big(1 << 63)).cast("string"), str(1 << 63)),
+    "divide by a small decimal": (lambda: X.int_divide(num(1), F.lit("0.0000001").cast("decimal(10,7)")), 10000000),
+    "divide the greatest": (lambda: X.int_divide_uint(X.big((1 << 64) - 1), num(2)).cast("string"), str((1 << 63) - 1)),
+    "divide signed by unsigned": (lambda: X.int_divide_uint(num(-1), X.big((1 << 64) - 1)).cast("string"), "0"),
+    "or of the highest bit": (lambda: X.bit_or(X.big(1 << 63), num(1)).cast("string"), str((1 << 63) + 1)),
+    "and of a negative": (lambda: X.bit_and(num(-1), X.big((1 << 64) - 1)).cast("string"), str((1 << 64) - 1)),
     "year 2 digits": (lambda: C.int_to_year(num(70)), 1970),
     "year zero": (lambda: C.int_to_year(num(0)), 0),
     "duration to int": (lambda: C.duration_to_int(T.parse_time(text("-01:02:03"))), -10203),
@@ -157,3 +187,20 @@ def test_cases(spark):
 def test_errors(spark, make):
     with pytest.raises(Exception):
         spark.range(1).select(make()).collect()
+
+
+def test_variance_of_large_values(spark):
+    from basaltine.functions import aggregates as A
+
+    rows = spark.createDataFrame([(0, 1e9), (1, 1e9 + 1), (2, None)], "p int, x double").groupBy("p").agg(*A.variance_partial(F.col("x"), "v"))
+    got = rows.agg(A.variance_merge("v").alias("pop"), A.variance_merge("v", sample=True).alias("samp")).first()
+    assert (got["pop"], got["samp"]) == (0.25, 0.5)
+    assert rows.where("p = 2").agg(A.variance_merge("v").alias("pop")).first()["pop"] is None
+
+
+def test_average_of_decimals_stays_exact(spark):
+    from basaltine.functions import aggregates as A
+
+    rows = spark.createDataFrame([(0, "90071992547409.93"), (1, "0.01"), (1, "0.02")], "p int, x string").select("p", F.col("x").cast("decimal(20,2)").alias("x"))
+    got = rows.groupBy("p").agg(*A.avg_partial(F.col("x"), "decimal(20,2)", "a")).agg(A.avg_merge("a", "decimal(20,2)").cast("string").alias("m")).first()
+    assert got["m"] == "30023997515803.320000"
