@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -85,8 +86,9 @@ def base_spans(text: str) -> list[Span]:
 
 # ---------------------------------------------------------------- candidates
 
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s{0,2}(?:\(at\)|\[at\]|\{at\}|\bat\b|@)\s{0,2}[A-Za-z0-9-]{1,63}(?:\s{0,2}(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b|\.)\s{0,2}[A-Za-z0-9-]{1,24}){1,4}")
-_MARKS = re.compile(r"[(\[{](?:at|dot)[)\]}]| dot ")
+_SPELLED = re.compile(r"[a-z0-9._%+-]{1,64}\s{0,2}(?:\(at\)|\[at\]|\{at\}|\bat\b|@)\s{0,2}[a-z0-9-]{1,63}(?:\s{0,2}(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b|\.)\s{0,2}[a-z0-9-]{1,24}){1,4}", re.I | re.A)
+#: Where a written-out address is looked for: a marked `at` or `dot`, a bare `dot`, an `@` apart, an `at` before a domain.
+_MARKS = re.compile(r"[(\[{](?:at|dot)[)\]}]|\sdot\s|\s@\s|\bat\s{1,2}(?=[a-z0-9-]+\.[a-z])", re.I | re.A)
 GENERATORS: tuple[tuple[str, re.Pattern], ...] = (
     ("phone", re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+.-])00[0-9][0-9 ().-]{7,20}[0-9](?![0-9A-Za-z])")),
@@ -185,6 +187,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
     at, dot = (lambda: r.choice(("(at)", "[at]", " at ", " (at) ", " [at] "))), (lambda: r.choice(("(dot)", "[dot]", " dot ", " [dot] ")))
     true: list[Callable[[], tuple[str, str]]] = [
         lambda: (r.choice(("mail", "contact", "write to", "", "e-mail:")), f"{word()}{at()}{word()}{dot()}{r.choice(('com', 'org', 'net', 'de'))}"),
+        lambda: (r.choice(("mail", "contact", "write to", "e-mail:", "reach")), f"{word()}{r.choice((' at ', ' AT ', ' @ ', ' (AT) '))}{word()}.{r.choice(('com', 'org', 'net', 'de'))}"),
         lambda: (r.choice(("tel", "phone", "call", "mobile:", "", "fax")), r.choice((lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"{num(3)}.{num(3)}.{num(4)}", lambda: f"0{num(2)} {num(3)} {num(4)}"))()),
         lambda: (r.choice(("tel", "phone", "call")), num(10)),
         lambda: (r.choice(("tel", "phone", "call", "")), f"00{r.choice('134')}{num(1)} {num(3)} {num(3)} {num(3)}"),
@@ -204,6 +207,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int]]]]:
         lambda: (r.choice(("price", "sum", "section", "page", "")), f"{num(3)} {num(3)} {num(3)}"),
         lambda: (r.choice(("code", "serial", "hash", "")), f"{r.choice('ABCDEF')}{r.choice('GHKLM')}{num(2)}{''.join(r.choice('ABCDEFGH0123456789') for _ in range(r.randint(8, 20)))}"),
         lambda: (r.choice(("meet", "look", "stay", "")), f"{word()} at {word()} dot {word()}"),
+        lambda: (r.choice(("meet", "we", "shop", "")), f"{r.choice(('look', 'stay', 'more', word()))} at {word()}.{r.choice(('com', 'org', 'net', 'de'))}"),
         lambda: (r.choice(("order", "code", "sku")), f"{r.randint(100, 999)}-{num(2)}-{num(4)}"),
         lambda: ("", f"{num(10)}"),
     ]
@@ -251,24 +255,48 @@ def fit(precision: float = 0.95, seed: int = 7) -> Model:
     return Model(trees, tuple(max(c, 0.5) for c in cuts))
 
 
+class _Disjoint:
+    """Intervals without overlaps, in order; those given at first are joined where they overlap."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in spans:
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a), self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a), self.ends.insert(i, b)
+
+
 def spans_of(texts: list[str], model: Model) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, both ordered by start and kind."""
     base = [base_spans(t) for t in texts]
     proposed, rows = [], []
     for i, t in enumerate(texts):
-        for a, b, g in candidates(t):
-            if all(b <= s or a >= e for s, e, _ in base[i]):
-                proposed.append((i, a, b, g))
-                rows.append(describe(t, a, b, g))
+        if found := candidates(t):
+            taken = _Disjoint(sorted((a, b) for a, b, _ in base[i]))
+            for a, b, g in found:
+                if taken.free(a, b):
+                    proposed.append((i, a, b, g))
+                    rows.append(describe(t, a, b, g))
     extra: dict[int, list[Span]] = {}
+    held: dict[int, _Disjoint] = {}
     if rows:
         p = model.trees.probability(np.array(rows))
-        for x in np.argsort(-p, kind="stable"):
+        for x in np.argsort(-p, kind="stable"):  # of overlapping proposals the likeliest; of equals the first generator's
             i, a, b, g = proposed[x]
             kind = "email" if g < 0 else GENERATORS[g][0]
-            held = extra.setdefault(i, [])
-            if p[x] >= model.thresholds[KINDS.index(kind)] and all(b <= s or a >= e for s, e, _ in held):
-                held.append((a, b, kind))
+            if p[x] >= model.thresholds[KINDS.index(kind)] and held.setdefault(i, _Disjoint([])).free(a, b):
+                held[i].add(a, b)
+                extra.setdefault(i, []).append((a, b, kind))
     in_order = lambda x: sorted(x, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return [(in_order(own), in_order(own + extra.get(i, []))) for i, own in enumerate(base)]
 
@@ -281,7 +309,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row.
 
     Counts and hash are of the base spans; `spans` has all of them, as kind:start:end in code
-    points.  A null or empty text has none.
+    points.  A null or empty text has none.  Rows that repeat an id or a text are each reported.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit())
 

@@ -4,8 +4,9 @@ Base kinds (assign, access, hex) are always reported.  Further parts (identifier
 tokens, endpoints) are weak: each proves nothing alone.  An interval join links parts whose
 intervals, widened by `reach` characters, meet inside one scope (a stretch without a blank line):
 an identifier is reported if a secret is linked to it, a random-looking token if an identifier or
-an endpoint is.  The join sorts the parts of a document and looks up neighbours, so a document
-costs n log n in its parts, whatever their number.
+an endpoint is.  The join sorts the parts of a document by start and keeps a running maximum of
+their ends, so the nearest part on either side is found exactly, nested and overlapping ones
+included, and a document costs n log n in its parts, whatever their number.
 """
 
 from __future__ import annotations
@@ -76,6 +77,26 @@ def _random_looking(token: bytes) -> bool:
     return all(kinds) and _entropy(token) >= LEAST_ENTROPY
 
 
+class _Ends:
+    """Sorted spans with, for each, which of those up to it reaches farthest."""
+
+    def __init__(self, spans: list[Span]):
+        self.spans = spans
+        self.starts = np.array([s[0] for s in spans], np.int64)
+        ends = np.array([s[1] for s in spans], np.int64)
+        most = np.maximum.accumulate(ends) if spans else ends
+        self.farthest = np.maximum.accumulate(np.where(ends == most, np.arange(len(spans)), 0)) if spans else ends
+
+    def overlaps(self, s: Span) -> bool:
+        i = int(np.searchsorted(self.starts, s[1])) - 1
+        return i >= 0 and self.spans[self.farthest[i]][1] > s[0]
+
+    def beside(self, s: Span) -> list[Span]:
+        """Of the spans that start before `s` the one that ends last, and the first of the others."""
+        i = int(np.searchsorted(self.starts, s[0]))
+        return ([self.spans[self.farthest[i - 1]]] if i else []) + self.spans[i : i + 1]
+
+
 class Slice:
     """Byte spans of all texts of a slice, in code points of their own text on demand."""
 
@@ -158,31 +179,21 @@ class Slice:
 
     def linked(self, base: list[Span], weak: list[Span], reach: int = REACH) -> list[tuple[Span, Span]]:
         """For each weak identifier or secret that has a complement in its scope: itself and the nearest complement."""
-        covered = sorted((a, b) for a, b, _ in base)
-        starts = np.array([a for a, _ in covered] or [0])
-
-        def free(s: Span) -> bool:
-            i = int(np.searchsorted(starts, s[1])) - 1
-            return not covered or i < 0 or all(b <= s[0] for _, b in covered[max(0, i - 3) : i + 1])
-
-        weak = [s for s in weak if s[2] == "endpoint" or free(s)]
+        covered = _Ends(sorted(base))
+        weak = [s for s in weak if s[2] == "endpoint" or not covered.overlaps(s)]
         parts = {
-            "ident": sorted([s for s in weak if s[2] == "ident"] + [s for s in base if s[2] == "access"]),
-            "secret": sorted([s for s in weak if s[2] == "secret"] + [s for s in base if s[2] != "access"]),
-            "endpoint": sorted(s for s in weak if s[2] == "endpoint"),
+            "ident": _Ends(sorted([s for s in weak if s[2] == "ident"] + [s for s in base if s[2] == "access"])),
+            "secret": _Ends(sorted([s for s in weak if s[2] == "secret"] + [s for s in base if s[2] != "access"])),
+            "endpoint": _Ends(sorted(s for s in weak if s[2] == "endpoint")),
         }
-        begins = {k: np.array([s[0] for s in v]) for k, v in parts.items()}
         out = []
         for own in weak:
-            if own[2] == "endpoint":
-                continue
             near = None
-            for other in ("secret",) if own[2] == "ident" else ("ident", "endpoint"):
-                i = int(np.searchsorted(begins[other], own[0])) if parts[other] else 0
-                for s in parts[other][max(0, i - 2) : i + 2]:
+            for other in {"ident": ("secret",), "secret": ("ident", "endpoint"), "endpoint": ()}[own[2]]:
+                # of the parts on one side, the nearest has the fewest blank lines before it
+                for s in parts[other].beside(own):
                     gap = max(s[0] - own[1], own[0] - s[1], 0)
-                    lo, hi = min(own[1], s[1]), max(own[0], s[0])
-                    if s != own and gap <= reach and (near is None or gap < near[0]) and b"\n\n" not in self.data[lo:hi]:
+                    if gap <= reach and (near is None or gap < near[0]) and b"\n\n" not in self.data[min(own[1], s[1]) : max(own[0], s[0])]:
                         near = (gap, s)
             if near:
                 out.append((own, near[1]))
@@ -215,7 +226,8 @@ def find(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, links) of every row.
 
     Counts and hash are of the base spans; `spans` has all, `links` pairs each weak part with
-    the nearest part that it was reported for.  A null or empty text has none.
+    the nearest part that it was reported for.  A null or empty text has none.  Rows that repeat an
+    id or a text are each reported; of two parts equally near the earlier is the link.
     """
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
