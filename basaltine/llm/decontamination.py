@@ -7,7 +7,9 @@ by word (match 1, mismatch -0.5, gap -0.5), and the best local alignment over th
 the score: 1 for a copy, less for an edited one.  A window that holds too few of the item's words
 for any alignment to reach the threshold isn't aligned, which loses nothing.
 
-Test items are handled in blocks of bounded size; a block's seeds and words are what workers get.
+Test items of equal words are one for the search and are named again at the end.  Items are handled
+in blocks of bounded size; a block's seeds and words are what workers get, so a corpus is never
+shuffled, and is read once for each 8 MB of different items (a test set is mostly one block).
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ _BITS = 20
 
 @dataclass
 class Items:
-    ids: np.ndarray
+    ids: list[list[int]]  # of each item: who has these words
     words: np.ndarray  # hashes of all items' words
     offsets: np.ndarray
     seeds: np.ndarray  # sorted distinct seed hashes
@@ -61,7 +63,17 @@ def _runs(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 
 def items_of(ids: list[int], texts: list[str]) -> Items:
-    words = Words(pa.array(texts, pa.string()))
+    every = Words(pa.array(texts, pa.string()))
+    edge = np.searchsorted(every.doc, np.arange(len(texts) + 1))
+    held: dict[bytes, list[int]] = {}
+    first: list[str] = []
+    for i, (x, t) in enumerate(zip(ids, texts, strict=True)):
+        own = b" ".join(every.raw[s:e].tobytes() for s, e in zip(every.start[edge[i] : edge[i + 1]], every.end[edge[i] : edge[i + 1]], strict=True))
+        if own not in held:
+            first.append(t)
+        held.setdefault(own, []).append(x)
+    ids = [sorted(set(x)) for x in held.values()]
+    words = Words(pa.array(first, pa.string()))
     hashes, count = words.hashes(), words.counts()
     offsets = np.append(0, np.cumsum(count))
     found = []
@@ -74,7 +86,7 @@ def items_of(ids: list[int], texts: list[str]) -> Items:
     seeds = distinct(h)
     seed = np.searchsorted(seeds, h)
     order = np.argsort(seed, kind="stable")
-    return Items(np.array(ids), hashes, offsets, seeds, seed[order], item[order], place[order], tuple(sizes))
+    return Items(ids, hashes, offsets, seeds, seed[order], item[order], place[order], tuple(sizes))
 
 
 def align(items: Items, item: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,22 +206,25 @@ def _hits(items: Items, words: Words, threshold: float) -> pa.RecordBatch | None
     doc, item, score, last = (np.concatenate(x) for x in zip(*parts, strict=True))
     good = score >= threshold
     doc, item, score, last = doc[good], item[good], score[good], last[good]
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(items.ids[item]), pa.array(score), pa.array(last - edge[doc])], ["row", "item_id", "score", "last_word"])
+    named = np.repeat(np.arange(len(item)), [len(items.ids[i]) for i in item])
+    ids = pa.array([x for i in item for x in items.ids[i]], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(doc[named]), ids, pa.array(score[named]), pa.array((last - edge[doc])[named])], ["row", "item_id", "score", "last_word"])
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
     own = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
-    return [own if n == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+    return [own if n == 1 else own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, last_word) of the documents that hold an item with a score of `threshold` or more.
 
     One row for each document and item, of its best passage; last_word is the position of the
-    passage's last word.  Null or empty texts and items without words match nothing; a null doc_id
-    can match, as null.
+    passage's last word.  Null or empty texts, items without words and items without an id match
+    nothing; a null doc_id can match, as null.  Rows that repeat a doc_id are one document, rows that
+    repeat an item_id one item; of equal scores the passage that ends last counts.
     """
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)

@@ -152,6 +152,37 @@ def test_decontamination_finds_a_common_edited_copy(spark):
     assert {x["score"] for x in got if x["item_id"] == 0} == {(35 - 5 * 0.5) / 40}
 
 
+@pytest.mark.parametrize("vocabulary", [2000, 40])
+def test_decontamination_recall_against_exhaustive_alignment(spark, vocabulary):
+    """Edited items found, of those that aligning every item with every whole document finds; with rare and with common seeds."""
+    r = random.Random(vocabulary)
+    words = ["w%d" % i for i in range(vocabulary)]
+    phrases = [" ".join(r.choice(words) for _ in range(5)) for _ in range(6)]
+    items = [" ".join(r.choice(words) if r.random() < 0.8 else r.choice(phrases) for _ in range(30)) for _ in range(25)]
+    rows = []
+    for i in range(150):
+        rate = r.choice((0.1, 0.2, 0.25, 0.3, 0.35))
+        own = [r.choice(words) if r.random() < rate else w for w in r.choice(items).split()]
+        rows.append((i, " ".join([*(r.choice(words) for _ in range(20)), *own, *(r.choice(words) for _ in range(20))])))
+    own = decontamination.items_of(list(range(25)), items)
+    every = np.arange(25)
+    want = set()
+    for i, t in rows:
+        h = text.Words(pa.array([t])).hashes()
+        score, _ = decontamination.align(own, every, h, np.zeros(25, np.int64), np.full(25, len(h)))
+        want |= {(i, int(x)) for x in np.flatnonzero(score >= 0.5)}
+    got = {(x["doc_id"], x["item_id"]) for x in table(decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")))}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 80
+
+
+def test_equal_items_are_each_reported(spark):
+    r = random.Random(4)
+    item = " ".join("w%d" % r.randrange(900) for _ in range(12))
+    rows = [(1, "some words before " + item + " and after"), (2, "nothing of it"), (2, item)]
+    got = table(decontamination.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, item.upper() + "!"), (8, item), (9, "other words than those here")], "item_id long, text string")))
+    assert sorted((x["doc_id"], x["item_id"], x["score"]) for x in got) == [(1, 7, 1.0), (1, 8, 1.0), (2, 7, 1.0), (2, 8, 1.0)]
+
+
 def test_alignment_is_smith_waterman():
     r = random.Random(1)
     for _ in range(60):
@@ -452,11 +483,25 @@ def test_flat_files_are_stitched(spark, tmp_path, width):
         flat += [1] * tail
         (tmp_path / name).write_bytes(np.array(flat, f"<u{width}").tobytes() + b"\x01" * (name == "d"))  # and half a token
         want[name] = sizes + [tail] * bool(tail)
-    found = token_counts.stitched(token_counts.blocks(token_counts.read_flat(spark, str(tmp_path)), 7777, width, block_tokens=128))
-    got = defaultdict(dict)
-    for x in table(found):
-        got[x["file"][-1]][x["ordinal"]] = x["n_tokens"]
-    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    small = token_counts.read_flat(spark, str(tmp_path), range_bytes=320 * width)
+    assert small.count() > 8
+    for found in (token_counts.count_tokens(spark, str(tmp_path), 7777, width), token_counts.stitched(token_counts.blocks(small, 7777, width, block_tokens=128), segment_tokens=512)):
+        got = defaultdict(dict)
+        for x in table(found):
+            got[x["file"][-1]][x["ordinal"]] = x["n_tokens"]
+        assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_token_counts_on_odd_input(spark, odd, none, tmp_path):
+    got = table(token_counts.counts(odd))
+    assert ids(got) == EVERY
+    named = defaultdict(set)
+    for r in got:
+        named[r["doc_id"]].add(r["n_tokens"])
+    assert named[1] == named[2] == {0} and named[4] == {1} and named[5] == named[6]
+    assert token_counts.counts(none).count() == 0
+    long = spark.createDataFrame([(1, "word " * 600_000), (2, "a"), (2, "a")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in table(token_counts.counts(long))) == [(1, 600_001), (2, 1), (2, 1)]
 
 
 # ---------------------------------------------------------------- pieces
@@ -467,27 +512,25 @@ def test_pieces_round_trip_and_score():
     texts = ["".join(r.choice("ab thexyz \n中\U0001f600é.1\t") for _ in range(r.randint(0, 250))) for _ in range(150)] + ["", " ", "  a", "\n", "a" * 500 + "漢字" * 100, "x▁y"]
     codes, offsets = codec.encode(pa.array(texts))
     assert codec.decode(codes, offsets) == [t.replace("▁", " ") for t in texts]
+    byte_of = {x: i for i, x in enumerate(codec.byte_ids.tolist())}
+    pieces_ = {codec.piece_bytes[lo:hi].tobytes(): i for i, (lo, hi) in enumerate(zip(codec.piece_ends[:-1], codec.piece_ends[1:], strict=True)) if i not in byte_of}
+    longest = max(map(len, pieces_))
     for t, a, b in zip(texts[:40], offsets[:-1], offsets[1:], strict=False):  # no segmentation scores better
         if not t:
             continue
-        data = codec.escaped(pa.array([t]))[0].as_py()
-        best = [0.0] + [-math.inf] * len(data)
-        lookup = {}
-        for i, (lo, hi) in enumerate(zip(codec.piece_ends[:-1], codec.piece_ends[1:], strict=True)):
-            if i not in set(codec.byte_ids.tolist()):
-                lookup[codec.piece_bytes[lo:hi].tobytes().decode("utf-8", "replace")] = i
-        for i in range(len(data)):
-            for j in range(i + 1, min(len(data), i + 20) + 1):
-                s = codec.scores[lookup[data[i:j]]] if data[i:j] in lookup else codec.unknown_score if j == i + 1 else -math.inf
+        data = codec.escaped(pa.array([t]))[0].as_py().encode()
+        cuts = [i for i in range(len(data)) if data[i] & 0xC0 != 0x80] + [len(data)]
+        best = dict.fromkeys(cuts, -math.inf) | {0: 0.0}
+        for x, i in enumerate(cuts):
+            for y in range(x + 1, len(cuts)):
+                j = cuts[y]
+                if j - i > longest and y > x + 1:
+                    break
+                s = codec.scores[pieces_[data[i:j]]] if data[i:j] in pieces_ else codec.unknown_score if y == x + 1 else -math.inf
                 best[j] = max(best[j], best[i] + s)
-        own, bytes_ = 0.0, 0
-        for x in codes[a:b]:
-            if x in codec.byte_ids:
-                bytes_ += 1
-            else:
-                own += codec.scores[x]
-        lone = sum(1 for c in data if c not in lookup)
-        assert own + lone * codec.unknown_score == pytest.approx(best[-1]) or bytes_
+        # a character that falls back to bytes costs the unknown score once
+        own = sum(codec.unknown_score if byte_of[x] & 0xC0 != 0x80 else 0.0 for x in codes[a:b] if x in byte_of) + sum(codec.scores[x] for x in codes[a:b] if x not in byte_of)
+        assert own == pytest.approx(best[len(data)])
 
 
 def test_pieces_like_the_library():
