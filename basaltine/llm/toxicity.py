@@ -21,6 +21,8 @@ from .text import bounded_batches, buffer_of, char_counts, distinct, fold, held_
 
 BITS = 20
 ORDERS = (3, 4, 5)
+#: Entries (a text's chosen n-grams, 4 bytes each) that the regression sees at most.
+MOST_ENTRIES = 24_000_000
 
 
 def features(texts: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -79,11 +81,13 @@ def _counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(over_slices(count), "bucket int, pos long, n long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out_mod: int | None = 4, rows: int = SAMPLE_ROWS, most_features: int = 20_000, l2: float = 0.02, rounds: int = 150) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out_mod: int | None = 4, rows: int = SAMPLE_ROWS, most_features: int = 20_000, l2: float = 0.02, rounds: int = 150, most_entries: int = MOST_ENTRIES) -> Model:
     """Fit on a bounded sample of labelled rows.
 
-    `rows` and `most_features` bound the sample and the buckets that the regression sees.  With no
-    labelled rows, or one class only, the model gives a constant score.
+    `rows` and `most_features` bound the sample and the buckets that the regression sees, and
+    `most_entries` the entries that the driver holds: if the sample has more, the rows of least hashed
+    id that have no more make the regression's sample.  With no labelled rows, or one class only, the
+    model gives a constant score.
     """
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, target, held_out_mod, rows).persist()
@@ -108,12 +112,22 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", held_out_mod:
         def sparse(part: pa.RecordBatch) -> pa.RecordBatch:
             doc, bucket = features(texts_of(part), shared.value >= 0)
             ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            return pa.RecordBatch.from_arrays([part.column("y"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(shared.value[bucket]))], ["y", "cols"])
-
-        got = sample.mapInArrow(over_slices(sparse), "y int, cols array<int>").toArrow()
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(shared.value[bucket]))], ["doc_id", "y", "cols"])
+
+        entries = sample.mapInArrow(over_slices(sparse), "doc_id long, y int, cols array<int>").withColumn("h", F.xxhash64("doc_id")).persist()
+        if entries.agg(F.sum(F.size("cols"))).first()[0] > most_entries:
+            size = entries.select("h", F.size("cols").alias("n")).orderBy("h").toArrow()  # a row for each of at most `rows`
+            fits = np.cumsum(size["n"].to_numpy().astype(np.int64)) <= most_entries
+            entries_kept = entries.where(F.col("h") <= int(size["h"].to_numpy()[fits][-1])) if fits.any() else entries.limit(0)
+        else:
+            entries_kept = entries
+        got = entries_kept.select("y", "cols").toArrow()
+        entries.unpersist()
     finally:
         sample.unpersist()
     y = got["y"].to_numpy().astype(float)
+    if not 0 < y.sum() < len(y):
+        return Model(weight, float(np.log((pos + 0.5) / (neg + 0.5))))
     beta, bias = _logistic(got["cols"].chunks, scale, y, len(chosen), l2, rounds)
     weight[chosen] = (beta * scale).astype(np.float32)
     weight[np.abs(weight) < 1e-3] = 0
@@ -150,7 +164,10 @@ def _logistic(chunks: list[pa.ListArray], scale: np.ndarray, y: np.ndarray, m: i
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, score, predicted) for every row; a null or empty text gets the score of a text without features."""
+    """(doc_id, score, predicted) for every row; a null or empty text gets the score of a text without features.
+
+    Rows that repeat an id or a text are each scored; equal texts have equal scores.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -102,6 +102,16 @@ def test_quality_and_toxicity_hold_out(spark):
         assert sum(a == b for a, b in held) / len(held) > 0.9
 
 
+def test_toxicity_bounds_what_the_driver_holds(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(["w%d" % r.randrange(300) for _ in range(30)] + ["badword nasty"] * (i % 2))) for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, held_out_mod=None, most_entries=2_000)
+    got = {x["doc_id"]: x["predicted"] for x in table(toxicity.score(docs, model, 0.5))}
+    assert sum(got[i] == i % 2 for i in got) > 290
+    toxicity.fit(docs, labels, held_out_mod=None, most_entries=1)
+
+
 def test_classifiers_on_odd_input(docs, labels, no_labels, odd, none):
     for model, score, keep in (
         (quality.fit(docs, labels), quality.score, quality.keep_good),
