@@ -44,6 +44,23 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Fixed polynomials (reflected) of the checksums.
+_POLYNOMIALS = {64: 0xC96C5795D7870F42, 32: 0xEDB88320}
+
+
+def _crc_table(bits: int) -> str:
+    """SQL of one row with the 256 steps of a checksum, by its rule."""
+    step = f"xor(x >> 1, CASE WHEN x & 1 = 1 THEN {_POLYNOMIALS[bits]}::UBIGINT ELSE 0::UBIGINT END)"
+    return f"(SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT] || list_transform(range(8), lambda k: 0::UBIGINT), lambda x, y: {step})) AS steps)"
+
+
+def _crc_sql(text: str, bits: int) -> str:
+    """SQL of the checksum of an ASCII text beside a row of `_crc_table`, as a signed number."""
+    ones = (1 << bits) - 1
+    value = f"xor(list_reduce([{ones}::UBIGINT] || list_transform(range(length({text})), lambda i: ascii(substr({text}, (i + 1)::BIGINT, 1))::UBIGINT), lambda s, b: xor(s >> 8, steps[((xor(s, b) & 255) + 1)::BIGINT])), {ones}::UBIGINT)"
+    return value if bits < 64 else f"(CASE WHEN {value} >= 9223372036854775808 THEN ({value}::HUGEINT - 18446744073709551616) ELSE {value}::HUGEINT END)::BIGINT"
+
+
 def functions(name: str, table: str, keys: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> None:
     """Register a query of expressions over a whole table, one for each (column, SQL) pair."""
     by_name = dict(columns)
@@ -219,6 +236,41 @@ def join_anti(spark, sf_dir):
     return R.read(spark, sf_dir, "customer").join(big, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")
+def join_semi(spark, sf_dir):
+    big = R.read(spark, sf_dir, "orders").where("o_totalprice > 100000")
+    return R.read(spark, sf_dir, "customer").join(big, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey")
+def join_left_outer(spark, sf_dir):
+    done = R.read(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    return R.read(spark, sf_dir, "customer").join(done, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT a.k AS early, b.k AS late, coalesce(a.n, 0)::BIGINT AS n, coalesce(b.n, 0)::BIGINT AS m FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) b ON a.k = b.k")
+def join_full_outer(spark, sf_dir):
+    o = R.read(spark, sf_dir, "orders")
+    side = lambda m, k, n: o.where(F.col("o_orderkey") % m == 0).groupBy(F.col("o_custkey").alias(k)).agg(F.count("*").alias(n))
+    both = side(2, "early", "n").join(side(3, "late", "m"), F.col("early") == F.col("late"), "full")
+    return both.select("early", "late", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+
+
+_BANDS = "(SELECT r_regionkey AS band, r_regionkey * 10.0 AS low, r_regionkey * 10.0 + 10 AS high FROM region)"
+
+
+@query(f"SELECT band, count(*) AS n FROM lineitem JOIN {_BANDS} ON l_quantity >= low AND l_quantity < high GROUP BY band")
+def join_range(spark, sf_dir):
+    return R.range_join(R.read(spark, sf_dir, "lineitem").select("l_quantity"), R.read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("band"), (F.col("r_regionkey") * 10.0).alias("low"), (F.col("r_regionkey") * 10.0 + 10).alias("high")), "l_quantity", "low", "high", 10.0).groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderkey AS latest FROM (SELECT l_orderkey, l_linenumber, l_shipdate, l_suppkey FROM lineitem) l ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o ON l_suppkey = o_custkey AND l_shipdate >= o_orderdate")
+def join_as_of(spark, sf_dir):
+    lines = R.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey")
+    orders = R.read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderdate").agg(F.max("o_orderkey").alias("latest"))
+    return R.as_of_join(lines, orders, "l_suppkey", "o_custkey", "l_shipdate", "o_orderdate", ["latest"]).select("l_orderkey", "l_linenumber", "latest")
+
+
 @query("SELECT o_orderkey, rank() OVER w AS place, sum(o_totalprice::DECIMAL(15,2)) OVER w::DOUBLE AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def window_functions(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -230,6 +282,45 @@ def grouping_rollup(spark, sf_dir):
     return R.read(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag) * 2 + grouping(l_linestatus) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def grouping_cube(spark, sf_dir):
+    return R.read(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark, sf_dir):
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return R.read(spark, sf_dir, "lineitem").groupingSets([[flag], [status], []], flag, status).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_suppkey FROM supplier")
+def set_union(spark, sf_dir):
+    return R.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(R.read(spark, sf_dir, "supplier").select("s_suppkey")).distinct()
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def set_union_all(spark, sf_dir):
+    return R.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(R.read(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_except(spark, sf_dir):
+    return R.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(R.read(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@query("SELECT o_custkey AS key, unnest([o_orderstatus, o_orderpriority]) AS part FROM orders")
+def table_function(spark, sf_dir):
+    """One row for each part of a row's array."""
+    return R.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.explode(F.array("o_orderstatus", "o_orderpriority")).alias("part"))
+
+
+@query("SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus))[1] AS first_status, len(list(DISTINCT o_orderstatus)) AS statuses, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS newest_done FROM orders GROUP BY o_custkey")
+def array_and_map_functions(spark, sf_dir):
+    own = R.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("a"), F.max_by(F.col("o_orderkey"), F.col("o_orderkey")).alias("newest"), F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("done"))
+    by_name = F.create_map(F.lit("any"), F.col("newest"), F.lit("F"), F.col("done"))
+    return own.select("o_custkey", F.element_at("a", 1).alias("first_status"), F.size("a").cast("bigint").alias("statuses"), F.element_at(by_name, "F").alias("newest_done"))
+
+
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def set_operations(spark, sf_dir):
     return R.read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(R.read(spark, sf_dir, "supplier").select("s_nationkey"))
@@ -311,6 +402,93 @@ def garbage_versions(spark, sf_dir):
     return versions.garbage(order_versions(spark, sf_dir), 5000)
 
 
+_AT = f"(SELECT * FROM ({_LOG}) WHERE commit_ts <= 9000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) = 1)"
+
+
+@query(f"SELECT key, value FROM {_AT} WHERE op = 'put' AND key = 37")
+def read_point(spark, sf_dir):
+    return versions.point_get(order_versions(spark, sf_dir), 37, 9000)
+
+
+@query(f"SELECT key, value FROM {_AT} WHERE op = 'put' AND key IN (1, 4, 37, 82, 100, 999999)")
+def read_batch(spark, sf_dir):
+    return versions.batch_get(order_versions(spark, sf_dir), [1, 4, 37, 82, 100, 999999], 9000)
+
+
+@query(f"SELECT key, value FROM {_AT} WHERE op = 'put'")
+def exported_snapshot(spark, sf_dir):
+    """Written in key ranges and read back."""
+    path = folders.fresh(spark, "export")
+    versions.export(order_versions(spark, sf_dir), path, 9000, partitions=3)
+    return spark.read.parquet(path)
+
+
+_RAW = "SELECT o_orderkey AS key, o_orderstatus AS value, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_orderkey * 2 END AS expire_ts FROM orders"
+
+
+def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return R.read(spark, sf_dir, "orders").select(k.alias("key"), F.col("o_orderstatus").alias("value"), F.when(k % 5 == 0, 0).otherwise(k * 2).alias("expire_ts"))
+
+
+@query(f"SELECT * FROM ({_RAW}) WHERE expire_ts = 0 OR expire_ts > 3000")
+def raw_alive(spark, sf_dir):
+    return versions.alive(raw_table(spark, sf_dir), 3000)
+
+
+@query(f"SELECT key, CASE WHEN expire_ts <> 0 THEN expire_ts - 3000 END AS ttl FROM ({_RAW}) WHERE key IN (5, 33, 2000, 2001) AND (expire_ts = 0 OR expire_ts > 3000)")
+def raw_ttl(spark, sf_dir):
+    return versions.ttl(raw_table(spark, sf_dir), [5, 33, 2000, 2001], 3000)
+
+
+@query(f"SELECT key, CASE WHEN key = 33 AND value = 'O' THEN 'swapped' ELSE value END AS value FROM ({_RAW})")
+def raw_compare_and_swap(spark, sf_dir):
+    return versions.compare_and_swap(raw_table(spark, sf_dir).select("key", "value"), 33, "O", "swapped")
+
+
+@query(f"SELECT key, value FROM ({_RAW}) WHERE key >= 100 AND key < 200 UNION ALL SELECT key, value FROM ({_RAW}) WHERE key >= 1000 AND key < 1050")
+def raw_batch_scan(spark, sf_dir):
+    return versions.batch_scan(raw_table(spark, sf_dir).select("key", "value"), [(100, 200), (1000, 1050)])
+
+
+@query(f"SELECT key, value FROM ({_RAW}) WHERE key % 4 <> 0 UNION ALL SELECT key, 'put' FROM ({_RAW}) WHERE key % 8 = 0")
+def raw_atomic_batch(spark, sf_dir):
+    """Of puts and deletes of the same keys the last one counts."""
+    own = raw_table(spark, sf_dir).select("key", "value")
+    first = own.where("key % 4 = 0").select("key", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("value"), F.lit(1).alias("place"))
+    then = own.where("key % 8 = 0").select("key", F.lit("put").alias("op"), F.lit("put").alias("value"), F.lit(2).alias("place"))
+    return versions.write_batch(own, first.unionByName(then))
+
+
+@query("SELECT count(*) AS total_kvs, sum(strlen(key::VARCHAR) + strlen(value))::BIGINT AS total_bytes, bit_xor(crc)::BIGINT AS checksum FROM (SELECT key, value, " + _crc_sql("key::VARCHAR || value", 64) + f" AS crc FROM ({_RAW}) CROSS JOIN {_crc_table(64)})")
+def raw_checksum(spark, sf_dir):
+    return ST.checksum64(raw_table(spark, sf_dir), "key", "value").select(F.col("total_rows").alias("total_kvs"), "total_bytes", "checksum")
+
+
+@query("SELECT o_custkey AS key, o_orderkey * 10 AS start_ts FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey * 10 <= 30000")
+def scan_locks(spark, sf_dir):
+    """Transactions without an end at a time."""
+    return changes.open_locks(transaction_log(spark, sf_dir), 30000).select("key", "start_ts")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 10::BIGINT, 15::BIGINT, 'added'), (4, 40, 50, 'added'), (1, 10, 20, 'removed'), (2, 20, 30, 'removed')) t(region_id, start_key, end_key, change)")
+def topology_difference(spark, sf_dir):
+    """Region 1 is split, region 2 goes, region 4 comes."""
+    low = F.col("region_id") * 10
+    n = R.read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("region_id"))
+    shape = lambda ids, end: n.where(F.col("region_id").isin(ids)).select("region_id", low.alias("start_key"), (low + end).alias("end_key"))
+    return changes.topology_changes(shape([0, 1, 2], 10), shape([0, 4], 10).unionByName(shape([1], 5)))
+
+
+@query("SELECT o_custkey % 8 AS region_id, least(max(CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN o_orderkey * 10 + 5 ELSE o_orderkey * 10 END), min(CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey * 10 - 1 END)) AS resolved_ts FROM orders GROUP BY 1")
+def streamed_resolved_ts(spark, sf_dir):
+    """The same as resolved_timestamps, kept up by a stream."""
+    source, target = folders.fresh(spark, "log"), folders.fresh(spark, "replica")
+    transaction_log(spark, sf_dir).write.parquet(source)
+    changes.replicate(changes.read_log(spark, source), target, folders.fresh(spark, "progress")).awaitTermination()
+    return changes.resolved_so_far(spark, target)
+
+
 def transaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change log made from `orders`: each order is a transaction; every 11th stays open, every 13th rolls back."""
     o = R.read(spark, sf_dir, "orders")
@@ -373,7 +551,12 @@ def raw_delete_range(spark, sf_dir):
 
 # ---------------------------------------------------------------- statistics
 
-@query()
+def _sql_hash(value: str, salt: str) -> str:
+    """SQL of `statistics.portable_hash`."""
+    return f"('0x' || substr(md5({value}::VARCHAR || ':' || {salt}), 1, 15))::BIGINT"
+
+
+@query("SELECT bit_xor(crc)::BIGINT AS checksum, count(*) AS total_rows, sum(strlen(line))::BIGINT AS total_bytes FROM (SELECT line, " + _crc_sql("line", 64) + " AS crc FROM (SELECT c_custkey::VARCHAR || c_name AS line FROM customer) CROSS JOIN " + _crc_table(64) + ")")
 def table_checksum64(spark, sf_dir):
     return ST.checksum64(R.read(spark, sf_dir, "customer"), "c_custkey", "c_name")
 
@@ -402,27 +585,39 @@ def top_values(spark, sf_dir):
     return ST.top_values(R.read(spark, sf_dir, "lineitem"), "l_partkey", 20)
 
 
-@query()
+@query(f"SELECT r::INT AS row, {_sql_hash('l_partkey', 'r')} % 2048 AS slot, count(*) AS n FROM lineitem CROSS JOIN range(5) t(r) WHERE l_partkey IS NOT NULL GROUP BY 1, 2")
 def frequency_sketch(spark, sf_dir):
-    return ST.frequency_sketch(R.read(spark, sf_dir, "lineitem"), "l_partkey")
+    return ST.frequency_sketch(R.read(spark, sf_dir, "lineitem"), "l_partkey", hashed=ST.portable_hash)
 
 
-@query()
+@query(
+    f"WITH h AS (SELECT DISTINCT {_sql_hash('l_orderkey', '0')} AS h FROM lineitem), z AS (SELECT length(regexp_extract(lpad(bin(h), 64, '0'), '(0*)$', 1)) AS z FROM h), "
+    "l AS (SELECT z, sum(count(*)) OVER (ORDER BY z DESC) AS n FROM z GROUP BY z) SELECT min(z)::INT AS level, (max(n) * 2 ** min(z))::BIGINT AS \"distinct\" FROM l WHERE n <= 1024"
+)
 def distinct_sketch(spark, sf_dir):
-    return ST.distinct_sketch(R.read(spark, sf_dir, "lineitem"), "l_partkey")
+    return ST.distinct_sketch(R.read(spark, sf_dir, "lineitem"), "l_orderkey", hashed=ST.portable_hash)
 
 
-@query()
+@query(f"SELECT o_orderkey FROM orders ORDER BY {_sql_hash('o_orderkey', '0')}, o_orderkey LIMIT 100")
 def reservoir_sample(spark, sf_dir):
-    return ST.reservoir(R.read(spark, sf_dir, "orders").select("o_orderkey"), 100, "o_orderkey")
+    return ST.reservoir(R.read(spark, sf_dir, "orders").select("o_orderkey"), 100, "o_orderkey", hashed=ST.portable_hash)
 
 
-@query()
+@query(f"SELECT o_orderkey FROM orders WHERE {_sql_hash('o_orderkey', '0')} % 1073741824 < {int(0.1 * (1 << 30))}")
 def bernoulli_sample(spark, sf_dir):
-    return ST.bernoulli(R.read(spark, sf_dir, "orders").select("o_orderkey"), 0.1, "o_orderkey")
+    return ST.bernoulli(R.read(spark, sf_dir, "orders").select("o_orderkey"), 0.1, "o_orderkey", hashed=ST.portable_hash)
+
 
+@query(f"SELECT column_name, count(*) AS rows, count(*) FILTER (WHERE value IS NULL) AS nulls, list_sort(list(value) FILTER (WHERE place <= 5))[1] AS least FROM (SELECT unnest(['o_custkey', 'o_orderstatus']) AS column_name, unnest([o_custkey::VARCHAR, o_orderstatus]) AS value, row_number() OVER (ORDER BY {_sql_hash('o_orderkey', '0')}, o_orderkey) AS place FROM orders) GROUP BY column_name")
+def column_samples(spark, sf_dir):
+    own = ST.analyze(R.read(spark, sf_dir, "orders"), "sample", ["o_custkey", "o_orderstatus"], n=5, key="o_orderkey", hashed=ST.portable_hash)
+    return own.select("column_name", "rows", "nulls", F.element_at("samples", 1).alias("least"))
 
-@query()
+
+@query(
+    "SELECT bit_xor(crc)::BIGINT AS checksum, count(*) AS total_rows, sum(strlen(line))::BIGINT AS total_bytes FROM (SELECT line, " + _crc_sql("line", 32)
+    + " AS crc FROM (SELECT concat_ws(chr(1), c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR, c_mktsegment) AS line FROM customer) CROSS JOIN " + _crc_table(32) + ")"
+)
 def table_checksum(spark, sf_dir):
     return ST.checksum(R.read(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
 

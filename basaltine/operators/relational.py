@@ -162,3 +162,28 @@ def page(df: DataFrame, key: str, after: object | None, size: int) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def range_join(rows: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+    """Rows whose value is in a range (low <= value < high), each beside the columns of that range.
+
+    Both sides are cut in bins of `width`, a range lies in every bin that it touches, and only rows and
+    ranges of one bin are compared: an equi-join that Spark shuffles, splits if skewed, or broadcasts.
+    Null values and empty ranges match nothing.
+    """
+    bins = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
+    cut = ranges.where(F.col(low) < F.col(high)).withColumn("__bin", F.explode(bins))
+    return rows.withColumn("__bin", F.floor(F.col(value) / width)).join(cut, "__bin").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("__bin")
+
+
+def as_of_join(rows: DataFrame, events: DataFrame, key: str, event_key: str, at: str, event_at: str, columns: Sequence[str]) -> DataFrame:
+    """Each row beside `columns` of the latest event of its key that isn't after it (null if there is none).
+
+    Both sides go through one window over (key, time), so neither is joined with the other's rows.
+    """
+    kept = [F.struct(*columns).alias("__event")]
+    left = rows.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(1).alias("__side"), F.struct(*rows.columns).alias("__row"), F.lit(None).cast(events.select(*kept).schema[0].dataType).alias("__event"))
+    right = events.select(F.col(event_key).alias("__key"), F.col(event_at).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__row"].dataType).alias("__row"), *kept)
+    upto = Window.partitionBy("__key").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = left.unionByName(right).withColumn("__event", F.last("__event", ignorenulls=True).over(upto)).where("__side = 1")
+    return found.select("__row.*", "__event.*")

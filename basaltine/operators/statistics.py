@@ -5,15 +5,19 @@ Every statistic is an aggregate or a sort that Spark distributes; nothing collec
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import checkpointed
 
+#: A hash of a value and a salt.
+Hash = Callable[[Column, Column], Column]
+
 
 def histogram(df: DataFrame, column: str, buckets: int) -> DataFrame:
     """Equi-depth histogram: (bucket, lower, upper, rows, repeats, cumulative).
@@ -66,24 +70,52 @@ def approximate_distinct(df: DataFrame, column: str, error: float = 0.02) -> Dat
     return df.agg(F.lit(column).alias("column_name"), F.approx_count_distinct(column, error).alias("distinct"))
 
 
-def frequency_sketch(df: DataFrame, column: str, depth: int = 5, width: int = 2048) -> DataFrame:
-    """Count-min sketch as a table (row, slot, n): mergeable by adding; `estimate` reads it."""
-    rows = F.array(*(F.struct(F.lit(r).alias("row"), F.pmod(F.xxhash64(F.col(column), F.lit(r)), F.lit(width)).alias("slot")) for r in range(depth)))
-    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))  # combines before the explosion
-    return counted.select(F.explode(rows).alias("s"), "n").groupBy("s.row", "s.slot").agg(F.sum("n").alias("n"))
+def fast_hash(value: Column, salt: Column) -> Column:
+    """64 bits of a value and a salt."""
+    return F.xxhash64(value, salt)
+
+
+def portable_hash(value: Column, salt: Column) -> Column:
+    """60 bits of MD5 over the value's text, a colon and the salt: the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat(value.cast("string"), F.lit(":"), salt.cast("string")).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def estimate(sketch: DataFrame, value: Column, depth: int = 5, width: int = 2048) -> DataFrame:
+def frequency_sketch(df: DataFrame, column: str, depth: int = 5, width: int = 2048, hashed: Hash = fast_hash) -> DataFrame:
+    """Count-min sketch as a table (row, slot, n): mergeable by adding; `estimate` reads it.
+
+    Rows are counted by slot where they are, so a task holds and sends `depth` times `width` counts at most.
+    """
+    slots = F.array(*(F.struct(F.lit(r).alias("row"), F.pmod(hashed(F.col(column), F.lit(r)), F.lit(width)).alias("slot")) for r in range(depth)))
+    return df.where(F.col(column).isNotNull()).select(F.explode(slots).alias("s")).groupBy("s.row", "s.slot").agg(F.count("*").alias("n"))
+
+
+def estimate(sketch: DataFrame, value: Column, depth: int = 5, width: int = 2048, hashed: Hash = fast_hash) -> DataFrame:
     """The sketch's upper bound for how often `value` occurs."""
-    want = sketch.sparkSession.range(depth).select(F.col("id").cast("int").alias("row"), F.pmod(F.xxhash64(value, F.col("id").cast("int")), F.lit(width)).alias("slot"))
+    want = sketch.sparkSession.range(depth).select(F.col("id").cast("int").alias("row"), F.pmod(hashed(value, F.col("id").cast("int")), F.lit(width)).alias("slot"))
     return F.broadcast(want).join(sketch, ["row", "slot"], "left").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))  # `depth` rows
 
 
-def distinct_sketch(df: DataFrame, column: str, most: int = 1024) -> DataFrame:
-    """Distinct sampling: the finest level at which at most `most` hashes end in that many zero bits, and the estimate."""
-    h = df.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h")).distinct()
+def distinct_sketch(df: DataFrame, column: str, most: int = 1024, hashed: Hash = fast_hash) -> DataFrame:
+    """Distinct sampling: the finest level at which at most `most` hashes end in that many zero bits, and the estimate.
+
+    Each task keeps at most `most` hashes, of its own finest level; the levels of all are merged.
+    """
+    own = df.where(F.col(column).isNotNull()).select(hashed(F.col(column), F.lit(0)).alias("h"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, level = np.zeros(0, np.int64), 0
+        for batch in batches:
+            x = batch.column("h").to_numpy()
+            held = np.unique(np.concatenate([held, x[x & ((1 << level) - 1) == 0]]))
+            while len(held) > most:
+                level += 1
+                held = held[held & ((1 << level) - 1) == 0]
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), level, np.int32))], ["h", "level"])
+
+    kept = checkpointed(own.mapInArrow(keep, "h long, level int"))
     zeros = F.length(F.regexp_extract(F.lpad(F.bin("h"), 64, "0"), "(0*)$", 1))
-    levels = h.select(zeros.alias("z")).groupBy("z").agg(F.count("*").alias("n"))  # at most 65 rows
+    least = kept.agg(F.coalesce(F.max("level"), F.lit(0)).alias("least"))
+    levels = kept.select("h", zeros.alias("z")).crossJoin(F.broadcast(least)).where("z >= least").select("h", "z").distinct().groupBy("z").agg(F.count("*").alias("n"))  # at most 65 rows
     reach = levels.withColumn("n", F.sum("n").over(Window.orderBy(F.desc("z"))))
     level = reach.where(F.col("n") <= most).agg(F.min("z").alias("level"), F.max("n").alias("kept"))
     return level.select(F.coalesce("level", F.lit(0)).alias("level"), (F.coalesce("kept", F.lit(0)) * F.pow(F.lit(2.0), F.coalesce("level", F.lit(0)))).cast("long").alias("distinct"))
@@ -94,14 +126,36 @@ def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(column)).limit(n)
 
 
-def reservoir(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+def reservoir(df: DataFrame, n: int, key: str, seed: int = 0, hashed: Hash = fast_hash) -> DataFrame:
     """n rows, each set as likely as any: those of the least seeded hash of the key, so reruns agree."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(hashed(F.col(key), F.lit(seed)), key).limit(n)
 
 
-def bernoulli(df: DataFrame, rate: float, key: str, seed: int = 0) -> DataFrame:
+def bernoulli(df: DataFrame, rate: float, key: str, seed: int = 0, hashed: Hash = fast_hash) -> DataFrame:
     """Each row with probability `rate`, decided by a seeded hash of the key."""
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    return df.where(F.pmod(hashed(F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+
+
+def column_sample(df: DataFrame, columns: Sequence[str], n: int, key: str, hashed: Hash = fast_hash) -> DataFrame:
+    """(column_name, rows, nulls, samples) of each column: its counts and the texts of up to `n` values, those of rows of least hash."""
+    chosen = reservoir(df.select(key, *(c for c in columns if c != key)), n, key, 0, hashed)
+    pairs = lambda: F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns))).alias("p")
+    samples = chosen.select(pairs()).select("p.*").groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("samples"))  # of `n` rows
+    counts = df.select(pairs()).select("p.*").groupBy("column_name").agg(F.count("*").alias("rows"), F.count_if(F.col("value").isNull()).alias("nulls"))
+    return counts.join(F.broadcast(samples), "column_name", "left")
+
+
+def analyze(df: DataFrame, kind: str, columns: Sequence[str], **options) -> DataFrame:
+    """One call for each kind of statistics: `index` and `column` give equi-depth histograms, `common_handle`
+    and `full_sampling` counts of columns, `sample` a sample of columns, `mixed` counts of their groups,
+    `sketch` a frequency sketch."""
+    kinds = {
+        "index": lambda: histogram(df, columns[0], **options), "column": lambda: histogram(df, columns[0], **options), "common_handle": lambda: column_statistics(df, columns, **options),
+        "full_sampling": lambda: column_statistics(df, columns, **options), "sample": lambda: column_sample(df, columns, **options), "mixed": lambda: group_statistics(df, columns, **options), "sketch": lambda: frequency_sketch(df, columns[0], **options),
+    }
+    if kind not in kinds:
+        raise ValueError(f"unknown kind of statistics: {kind}; known are {', '.join(kinds)}")
+    return kinds[kind]()
 
 
 def _crc64_table() -> np.ndarray:

@@ -15,9 +15,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path under the session's checkpoint folder; a temporary one is set only where that is unset."""
+    """A new path under the session's checkpoint folder.
+
+    Where that is unset, a temporary one is set on a local master; on a cluster that is an error.
+    """
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return f"{own.get()}/{name}-{uuid.uuid4().hex}"

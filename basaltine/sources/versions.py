@@ -73,6 +73,28 @@ def alive(table: DataFrame, now: Column | int, expiry: str = "expire_ts") -> Dat
     return table.where(e.isNull() | (e == 0) | (e > (F.lit(now) if isinstance(now, int) else now)))
 
 
+def ttl(table: DataFrame, keys: Sequence[object], now: int, expiry: str = "expire_ts") -> DataFrame:
+    """(key, ttl) of the living ones among `keys`: what is left until they expire, null if they never do."""
+    own = alive(table.where(F.col("key").isin(list(keys))), now, expiry)
+    return own.select("key", (F.nullif(F.col(expiry), F.lit(0)) - now).alias("ttl"))
+
+
+def batch_scan(table: DataFrame, ranges: Sequence[tuple[object, object]], each: int | None = None) -> DataFrame:
+    """Rows of several ranges (low <= key < high), each of them in key order with at most `each` rows."""
+    out = None
+    for low, high in ranges:
+        own = table.where((F.col("key") >= F.lit(low)) & (F.col("key") < F.lit(high)))
+        own = own if each is None else own.orderBy("key").limit(each)
+        out = own if out is None else out.unionByName(own)
+    return table.limit(0) if out is None else out
+
+
+def write_batch(table: DataFrame, edits: DataFrame) -> DataFrame:
+    """The table after a batch of edits (key, op, value, place) that take effect as one; of a key's edits the last counts."""
+    last = edits.groupBy("key").agg(F.max_by(F.struct("op", "value"), "place").alias("e")).select("key", "e.op", "e.value")
+    return table.join(last.select("key"), "key", "left_anti").unionByName(last.where("op = 'put'").select("key", "value"))
+
+
 def put(table: DataFrame, rows: DataFrame, key: str = "key") -> DataFrame:
     """`rows` over `table`: keys of both keep the new row."""
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)

@@ -35,6 +35,13 @@ def resolved_ts(log: DataFrame) -> DataFrame:
     return by_region.select("region_id", F.least("seen", F.coalesce(F.col("oldest") - 1, "seen")).alias("resolved_ts"))
 
 
+def open_locks(log: DataFrame, upto: int | None = None) -> DataFrame:
+    """(region_id, key, start_ts, value) of prewrites that have neither a commit nor a rollback, begun at `upto` at the latest."""
+    own = log if upto is None else log.where(F.col("start_ts") <= upto)
+    ends = own.where("op <> 'PREWRITE'").select("key", "start_ts")
+    return own.where("op = 'PREWRITE'").select("region_id", "key", "start_ts", "value").dropDuplicates(["key", "start_ts"]).join(ends, ["key", "start_ts"], "left_anti")
+
+
 def frontier(resolved: DataFrame) -> DataFrame:
     """The least resolved ts of all regions."""
     return resolved.agg(F.min("resolved_ts").alias("resolved_ts"))
@@ -73,25 +80,76 @@ def read_log(spark: SparkSession, path: str, files: int | None = None) -> DataFr
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_STATE = LOG + ", sent boolean"
+_PROGRESS = "region_id long, seen long, resolved_ts long"
+
+
+def _transactions(every: DataFrame) -> DataFrame:
+    """One row for each (key, start_ts): its prewrite's image, its end, and whether that was sent before."""
+    ends = F.col("op") != "PREWRITE"
+    return every.groupBy("key", "start_ts").agg(
+        F.max("region_id").alias("region_id"), F.bool_or(~ends).alias("prewritten"), F.max(F.when(~ends, F.col("value"))).alias("image"),
+        F.max(F.when(ends, F.struct("op", "commit_ts", "value"))).alias("end"), F.bool_or(F.coalesce("sent", F.lit(False))).alias("sent"),
+    )
+
+
 def replicate(log: DataFrame, target: str, checkpoint: str, on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Append each micro-batch's committed changes under `target`, once: batches are directories by their number.
 
-    A batch that is run again after a failure replaces its own directory.  A commit finds the
-    image of its prewrite in its own batch, or else in those that came before (kept beside).
+    What a batch leaves unfinished goes on to the next as its state: prewrites without an end, and
+    ends whose prewrite hasn't come (it may be in a later batch; a commit without a value waits for
+    it).  A batch reads only the state of the one before it, so the work is that of the batch and of
+    what is open, and a batch that is run again after a failure replaces its own directories.
+    Beside it, `progress` has the resolved ts of each region, which never falls.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.where("op = 'PREWRITE'").write.mode("overwrite").parquet(f"{target}/images/batch={number}")
-        images = spark.read.parquet(f"{target}/images").drop("batch").select(*batch.columns)
-        every = batch.where("op <> 'PREWRITE'").unionByName(images)
-        commits(every).write.mode("overwrite").parquet(f"{target}/changes/batch={number}")
+
+        def before(name: str, schema: str) -> DataFrame:
+            path = f"{target}/{name}/batch={number - 1}"
+            return spark.read.schema(schema).parquet(path) if number and _exists(spark, path) else spark.createDataFrame([], schema)
+
+        own = _transactions(batch.withColumn("sent", F.lit(False)).unionByName(before("state", _STATE))).persist()
+        value = F.coalesce("end.value", "image")
+        ready = (F.col("end.op") == "COMMIT_DELETE") | (F.col("end.op") == "COMMIT_PUT") & (F.col("prewritten") | F.col("end.value").isNotNull())
+        due = ~F.col("sent") & F.coalesce(ready, F.lit(False))
+        sent = own.where(due).select("region_id", "key", F.when(F.col("end.op") == "COMMIT_PUT", "put").otherwise("delete").alias("op"), "start_ts", F.col("end.commit_ts").alias("commit_ts"), value.alias("value"))
+        sent.write.mode("overwrite").parquet(f"{target}/changes/batch={number}")
+        op = F.coalesce("end.op", F.lit("PREWRITE"))
+        rest = own.where("end is null or not prewritten").select("region_id", "key", op.alias("op"), "start_ts", F.col("end.commit_ts").alias("commit_ts"), value.alias("value"), (F.col("sent") | due).alias("sent"))
+        rest.write.mode("overwrite").parquet(f"{target}/state/batch={number}")
+        seen = batch.groupBy("region_id").agg(F.max(F.greatest("start_ts", F.coalesce("commit_ts", "start_ts"))).alias("seen"))
+        held = own.where("end is null").groupBy("region_id").agg(F.min("start_ts").alias("oldest"))
+        past = before("progress", _PROGRESS)
+        both = seen.select("region_id", "seen", F.lit(None).cast("long").alias("resolved_ts")).unionByName(past).groupBy("region_id").agg(F.max("seen").alias("seen"), F.max("resolved_ts").alias("past"))
+        now = both.join(held, "region_id", "left").select("region_id", "seen", F.greatest("past", F.least("seen", F.coalesce(F.col("oldest") - 1, "seen"))).alias("resolved_ts"))
+        now.write.mode("overwrite").parquet(f"{target}/progress/batch={number}")
+        own.unpersist()
+        for name in ("state", "progress"):  # the last two stay: the one before is read if this batch is run again
+            _delete(spark, f"{target}/{name}/batch={number - 2}")
         if on_batch:
             on_batch(batch, number)
 
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def resolved_so_far(spark: SparkSession, target: str) -> DataFrame:
+    """(region_id, resolved_ts) after the newest batch under a replication's target."""
+    own = spark.read.schema(_PROGRESS + ", batch long").parquet(f"{target}/progress")
+    return own.groupBy("region_id").agg(F.max_by("resolved_ts", "batch").alias("resolved_ts"))
+
+
 class Replication:
     """States of a replication task: idle, subscribing, paused, completed, activated."""
 

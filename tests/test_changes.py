@@ -106,3 +106,45 @@ def test_expression_trees(spark):
     for bad in (3, {"call": "no_such"}, {}):
         with pytest.raises(ValueError):
             build(bad)
+
+
+def test_stream_state_is_bounded_and_waits_for_late_prewrites(spark, tmp_path):
+    """Commits before their prewrites, rollbacks, over many batches; the resolved ts never falls."""
+    source, target = str(tmp_path / "log"), str(tmp_path / "replica")
+    batches = [
+        [(1, 10, "PREWRITE", 100, None, "a"), (1, 11, "COMMIT_PUT", 101, 105, None)],
+        [(1, 10, "COMMIT_PUT", 100, 110, None), (1, 12, "PREWRITE", 50, None, "late")],
+        [(1, 11, "PREWRITE", 101, None, "b"), (1, 12, "ROLLBACK", 50, None, None)],
+        [(1, 13, "COMMIT_PUT", 120, 125, "own"), (1, 10, "PREWRITE", 130, None, "c")],
+        [(1, 13, "PREWRITE", 120, None, "own"), (1, 10, "COMMIT_DELETE", 130, 140, None)],
+    ]
+    progress, open_ = [], []
+    for i, rows_ in enumerate(batches):
+        spark.createDataFrame(rows_, changes.LOG).coalesce(1).write.mode("append").parquet(source)
+        changes.replicate(changes.read_log(spark, source), target, str(tmp_path / "checkpoint")).awaitTermination()
+        progress.append(changes.resolved_so_far(spark, target).first()["resolved_ts"])
+        open_.append(spark.read.parquet(f"{target}/state/batch={i}").count())
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{target}/changes").select("key", "op", "commit_ts", "value").collect())
+    assert got == [(10, "delete", 140, "c"), (10, "put", 110, "a"), (11, "put", 105, "b"), (13, "put", 125, "own")]
+    assert progress == sorted(progress) and progress[0] == 99 and progress[-1] == 140
+    assert open_ == [2, 2, 0, 2, 0] and not (tmp_path / "replica" / "state" / "batch=2").exists()
+
+
+def test_joins_on_odd_input(spark):
+    a = spark.createDataFrame([(1, 5.0), (2, None), (3, 30.0), (4, 10.0)], "k long, v double")
+    b = spark.createDataFrame([("x", 0.0, 10.0), ("y", 5.0, 31.0), ("none", 7.0, 7.0), ("null", None, 9.0)], "name string, low double, high double")
+    got = sorted((r["k"], r["name"]) for r in R.range_join(a, b, "v", "low", "high", 10.0).collect())
+    assert got == [(1, "x"), (1, "y"), (3, "y"), (4, "y")]
+    assert R.range_join(a.limit(0), b, "v", "low", "high", 10.0).count() == 0
+    e = spark.createDataFrame([(1, 5.0, "first"), (1, 5.5, "later"), (3, None, "never")], "ek long, at double, what string")
+    found = R.as_of_join(a, e, "k", "ek", "v", "at", ["what"]).collect()
+    assert sorted((r["k"], r["what"]) for r in found) == [(1, "first"), (2, None), (3, "never"), (4, None)]
+
+
+def test_analyze_dispatches(spark):
+    df = spark.range(100).selectExpr("id", "id % 7 as v")
+    assert ST.analyze(df, "index", ["v"], buckets=3).agg(F.sum("rows")).first()[0] == 100
+    assert ST.analyze(df, "full_sampling", ["v"]).first()["distinct"] == 7
+    assert ST.analyze(df, "sample", ["v"], n=4, key="id").first()["rows"] == 100
+    with pytest.raises(ValueError):
+        ST.analyze(df, "what", ["v"])
