@@ -40,12 +40,11 @@ def _number(c: Column) -> Column:
 def _within(exact: Column, rough: Column, low: int, high: int) -> Column:
     """A number as decimal(38,0) between two bounds; `exact` is null where only `rough` can hold it."""
     held = F.when(rough > float(high), big(high)).when(rough < float(low), big(low)).otherwise(exact.cast("decimal(38,0)"))
-    return F.greatest(F.least(held, big(high)), F.when(held.isNotNull(), big(low)))
+    return _let(held, lambda h: F.when(h > big(high), big(high)).when(h < big(low), big(low)).otherwise(h))
 
 
 def _text_between(c: Column, low: int, high: int) -> Column:
-    n = _number(c)
-    return _within(F.round(n.try_cast("decimal(38,10)")), n.cast("double"), low, high)
+    return _let(_number(c), lambda n: _within(F.round(n.try_cast("decimal(38,10)")), n.cast("double"), low, high))
 
 
 def text_to_int(c: Column) -> Column:
@@ -174,38 +173,39 @@ def duration_to_json(d: Column) -> Column:
     return _quoted(_let(d, lambda x: F.concat(temporal.format_time(x), F.when(temporal.microsecond(x) == 0, ".000000").otherwise(""))))
 
 
-def _moment(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, micros: Column, two_digits: Column) -> Column:
-    n = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("0")).try_cast("int")
-    year = n(y) + F.when(two_digits, F.when(n(y) < 70, 2000).otherwise(1900)).otherwise(0)
-    whole = F.try_make_timestamp(year, n(mo), n(d), n(h), n(mi), F.when(n(s) < 60, n(s)).cast("decimal(16,6)"))
+def _micros_of(digits_text: Column, digits: int) -> Column:
+    """Microseconds of the digits after a point, rounded to `digits` digits."""
+    return F.coalesce((F.round(F.concat(F.lit("0."), F.substring(digits_text, 1, 12), F.lit("0")).cast("decimal(14,13)"), digits) * 1_000_000).cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def _plus_micros(whole: Column, micros: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(whole) + micros)
 
 
-def _fraction(digits_text: Column, digits: int) -> Column:
-    """Microseconds of the digits after a point, rounded to `digits` digits."""
-    return F.coalesce((F.round(F.concat(F.lit("0."), F.substring(digits_text, 1, 12), F.lit("0")).cast("decimal(14,13)"), digits) * 1_000_000).cast("bigint"), F.lit(0).cast("bigint"))
+def _parts_time(a: Column, digits: int) -> Column:
+    """A time from an array of digits: year, month, day, hour, minute, second, fraction, the later ones left out."""
+    n = lambda i: F.coalesce(F.nullif(F.get(a, F.lit(i)), F.lit("")), F.lit("0")).cast("int")
+    year = n(0) + F.when(F.length(F.get(a, F.lit(0))) > 2, 0).when(n(0) < 70, 2000).otherwise(1900)
+    return _plus_micros(F.try_make_timestamp(year, n(1), n(2), n(3), n(4), F.when(n(5) < 60, n(5)).cast("decimal(16,6)")), _micros_of(F.get(a, F.lit(6)), digits))
+
+
+#: Date, and time of day if there is one, apart by any punctuation; digits run together, maybe with a fraction.
+_APART = r"^\d{1,4}[^\w\s]\d{1,2}[^\w\s]\d{1,2}(?:(?:T|\s+)\d{1,2}(?:[^\w\s]\d{1,2}(?:[^\w\s]\d{1,2}(?:\.\d*)?)?)?)?$"
+_RUN = r"^\d{6,14}(?:\.\d*)?$"
 
 
 def text_to_timestamp(c: Column, digits: int = 6) -> Column:
     """Year, month and day, and hours, minutes and seconds if there are any, apart by any punctuation
     (date and time by blanks or T), or run together in 6, 8, 10, 12 or 14 digits; a fraction is rounded.
     Years of two digits are 1970 to 2069."""
-    return _let(F.trim(c), lambda t: _read_time(t, digits))
+    return _let(F.trim(c), lambda t: F.when(t.rlike(_APART), _let(F.split(t, r"\D+"), lambda a: _parts_time(a, digits))).when(t.rlike(_RUN), _let(F.split(t, r"\."), lambda a: _run_time(a, digits))))
 
 
-def _read_time(t: Column, digits: int) -> Column:
-    apart = r"^(\d{1,4})[^\w\s](\d{1,2})[^\w\s](\d{1,2})(?:(?:T|\s+)(\d{1,2})(?:[^\w\s](\d{1,2})(?:[^\w\s](\d{1,2})(?:\.(\d*))?)?)?)?$"
-    part = lambda i: F.regexp_extract(t, apart, i)
-    first = _moment(*(part(i) for i in range(1, 7)), _fraction(part(7), digits), F.length(part(1)) <= 2)
-    run = r"^(\d+)(?:\.(\d*))?$"
-    d, tail = F.regexp_extract(t, run, 1), _fraction(F.regexp_extract(t, run, 2), digits)
+def _run_time(a: Column, digits: int) -> Column:
+    d, tail = F.get(a, F.lit(0)), F.get(a, F.lit(1))
     size = F.length(d)
-    of = lambda lo, n: F.substring(d, lo, n)
-    none = F.lit("")
-    long = _moment(of(1, 4), of(5, 2), of(7, 2), of(9, 2), of(11, 2), of(13, 2), tail, F.lit(False))
-    short = _moment(of(1, 2), of(3, 2), of(5, 2), of(7, 2), of(9, 2), of(11, 2), tail, F.lit(True))
-    day = _moment(of(1, 4), of(5, 2), of(7, 2), none, none, none, F.lit(0), F.lit(False))
-    return F.when(t.rlike(apart), first).when(size == 14, long).when(size.isin(10, 12, 6), short).when(size == 8, day)
+    four = lambda first: F.array(F.substring(d, 1, first), *(F.substring(d, i, 2) for i in range(first + 1, first + 10, 2)), F.coalesce(tail, F.lit("")))
+    return F.when(size.isin(8, 14), _let(four(4), lambda x: _parts_time(x, digits))).when(size.isin(6, 10, 12), _let(four(2), lambda x: _parts_time(x, digits)))
 
 
 #: Fixed bounds of dates written as numbers: what is under a bound gets what follows (None: isn't a date).
@@ -215,6 +215,10 @@ _NUMBER_RULES = (
 )
 
 
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("bigint"))
+
+
 def int_to_timestamp(c: Column) -> Column:
     """A number as yymmdd, yyyymmdd, yymmddhhmmss or yyyymmddhhmmss, with leading zeros left out; null if it isn't one."""
 
@@ -222,9 +226,13 @@ def int_to_timestamp(c: Column) -> Column:
         out = F.when(n.isNull(), F.lit(None).cast("bigint"))
         for bound, more in _NUMBER_RULES:
             out = out.when(n < bound, F.lit(None).cast("bigint") if more is None else (n + more) * (1_000_000 if bound <= 99_991_232 else 1))
-        return out.otherwise(n)
+        return out.when(n <= 99_991_231_235_959, n)
 
-    return text_to_timestamp(F.lpad(_let(c.cast("bigint"), full).cast("string"), 14, "0"))
+    def moment(n: Column) -> Column:
+        two = lambda unit: (_div(n, unit) % 100).cast("int")
+        return F.try_make_timestamp(_div(n, 10**10).cast("int"), two(10**8), two(10**6), two(10**4), two(100), F.when(n % 100 < 60, n % 100).cast("decimal(16,6)"))
+
+    return _let(_let(c.cast("bigint"), full), moment)
 
 
 def decimal_to_timestamp(c: Column, digits: int = 6) -> Column:
@@ -233,33 +241,40 @@ def decimal_to_timestamp(c: Column, digits: int = 6) -> Column:
     def moment(wide: Column) -> Column:
         whole = F.floor(wide).cast("bigint")
         micros = (F.round(wide - whole, digits) * 1_000_000).cast("bigint")
-        return F.timestamp_micros(F.unix_micros(int_to_timestamp(whole)) + F.when(whole > 99_991_231, micros).otherwise(F.lit(0).cast("bigint")))
+        return _plus_micros(int_to_timestamp(whole), F.when(whole > 99_991_231, micros).otherwise(F.lit(0).cast("bigint")))
 
     return _let(c.cast("decimal(38,12)"), moment)
 
 
 def real_to_timestamp(c: Column, digits: int = 6) -> Column:
-    return decimal_to_timestamp(real_to_text(c).try_cast("decimal(38,12)"), digits)
+    return decimal_to_timestamp(c.try_cast("decimal(38,12)"), digits)
 
 
 def text_to_duration(c: Column, digits: int = 6) -> Column:
     return round_duration(_let(c, temporal.parse_time), digits)
 
 
+def decimal_to_duration(c: Column, digits: int = 6) -> Column:
+    """hhmmss.ffffff; null beyond 8385959.999999, or with over 59 minutes or seconds."""
+
+    def interval(x: Column) -> Column:
+        size = F.abs(x)
+        n = F.floor(size).cast("bigint")
+        seconds = (_div(n, 10_000) * 3600 + _div(n, 100) % 100 * 60 + n % 100).cast("decimal(18,6)") + F.round(size - n, digits).cast("decimal(18,6)")
+        good = (size < 8_385_960) & (_div(n, 100) % 100 < 60) & (n % 100 < 60)
+        return F.when(good, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.signum(x).cast("decimal(1,0)") * seconds).cast("decimal(18,6)")))
+
+    return temporal.clamp(_let(c.cast("decimal(38,12)"), interval))
+
+
 def int_to_duration(c: Column) -> Column:
     """hhmmss; 10 digits and more are a date and time, whose time of day it is; other values beyond 8385959 are null."""
     n = c.cast("bigint")
-    return F.when(F.abs(n) <= 8_385_959, _let(n.cast("string"), temporal.parse_time)).when(n >= 10_000_000_000, _let(int_to_timestamp(n), lambda t: timestamp_to_duration(t)))
-
-
-def decimal_to_duration(c: Column, digits: int = 6) -> Column:
-    """hhmmss.ffffff; null beyond 8385959.999999."""
-    t = F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(F.abs(c) < 8_385_960, text_to_duration(t, digits))
+    return F.when(n >= 10_000_000_000, _let(int_to_timestamp(n), lambda t: timestamp_to_duration(t))).otherwise(decimal_to_duration(n))
 
 
 def real_to_duration(c: Column, digits: int = 6) -> Column:
-    return decimal_to_duration(real_to_text(c).try_cast("decimal(38,12)"), digits)
+    return decimal_to_duration(c.try_cast("decimal(38,12)"), digits)
 
 
 # ---------------------------------------------------------------- JSON
@@ -357,10 +372,10 @@ def to_json(c: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", "$1")
 
 
-def encode(c: Column, charset: str = "utf-8") -> Column:
-    """Text to bytes; charsets that Spark lacks go through Python's codecs."""
+def encode(c: Column, charset: str = "utf-8", errors: str = "strict") -> Column:
+    """Text to bytes; charsets that Spark lacks go through Python's codecs, which `errors` tells what to do with other characters."""
     if charset.lower() in ("gbk", "gb18030"):
-        return F.pandas_udf(lambda s: s.map(lambda t: t.encode(charset), na_action="ignore"), "binary")(c)
+        return F.pandas_udf(lambda s: s.map(lambda t: t.encode(charset, errors), na_action="ignore"), "binary")(c)
     return F.encode(c, charset)
 
 

@@ -76,4 +76,4 @@ def random_bytes(n: Column) -> Column:
             raise ValueError("length value is out of range in random_bytes")
         return s.map(lambda k: None if pd.isna(k) else os.urandom(int(k)))
 
-    return F.udf(lambda k: None if k is None else draw(pd.Series([k]))[0], "binary").asNondeterministic()(n.cast("int"))
+    return F.pandas_udf(draw, "binary").asNondeterministic()(n.cast("int"))

@@ -16,7 +16,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "table_scan_ranges", "index_lookup", "selection", "filtered_count", "simple_aggregation", "group_by_few", "group_by_many", "group_by_expression", "group_by_two_columns",
     "stream_aggregation", "top_n", "top_n_three_columns", "partition_top_n", "merged_avg_and_variance", "request_pipeline", "read_as_of", "replica_table", "equi_depth_histogram",
-    "functions_math", "functions_strings", "functions_dates", "functions_vector",
+    "functions_math", "functions_strings", "functions_dates", "functions_vector", "functions_json", "frequency_sketch", "distinct_sketch", "join_star", "join_range", "join_as_of", "streamed_replica",
 ]
 
 

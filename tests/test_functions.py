@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basaltine.functions import casts as C
+from basaltine.functions import collations as K
 from basaltine.functions import hashing as H
 from basaltine.functions import jsons as J
 from basaltine.functions import maths as M
@@ -123,6 +124,10 @@ CASES = {
     "divide signed by unsigned": (lambda: X.int_divide_uint(num(-1), X.big((1 << 64) - 1)).cast("string"), "0"),
     "or of the highest bit": (lambda: X.bit_or(X.big(1 << 63), num(1)).cast("string"), str((1 << 63) + 1)),
     "and of a negative": (lambda: X.bit_and(num(-1), X.big((1 << 64) - 1)).cast("string"), str((1 << 64) - 1)),
+    "gbk order": (lambda: K.compare(text("啊"), text("阿"), "gbk_bin"), -1),
+    "gbk without case": (lambda: K.equal(text("Abc汉 "), text("aBC汉"), "gbk_chinese_ci"), 1),
+    "gb18030 with case": (lambda: K.equal(text("Abc"), text("aBC"), "gb18030_bin"), 0),
+    "random bytes": (lambda: F.octet_length(H.random_bytes(num(7))), 7),
     "year 2 digits": (lambda: C.int_to_year(num(70)), 1970),
     "year zero": (lambda: C.int_to_year(num(0)), 0),
     "duration to int": (lambda: C.duration_to_int(T.parse_time(text("-01:02:03"))), -10203),
