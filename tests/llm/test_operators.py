@@ -375,6 +375,18 @@ def test_fingerprints_on_odd_input(odd, none):
     assert ids(table(fingerprints.fingerprints(odd))) == EVERY
 
 
+def test_fingerprints_of_a_band_too_large_to_send(spark, odd, none):
+    def rows(df):
+        return sorted((tuple(r.values()) for r in table(df)), key=repr)
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for own in (docs, odd):
+        assert rows(fingerprints.edited(own, most_terms=0)) == rows(fingerprints.edited(own))
+        assert rows(fingerprints.fingerprints(own, most_terms=0)) == rows(fingerprints.fingerprints(own))
+    assert fingerprints.lexicon(fingerprints.band(text.id_and_text(docs)), 10) is None
+    assert fingerprints.edited(none, most_terms=-1).count() == 0
+
+
 # ---------------------------------------------------------------- language model
 
 def brute_base(rows):
