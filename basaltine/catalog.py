@@ -23,9 +23,9 @@ from .functions import temporal as T
 from .functions import vectors as V
 from .operators import relational as R
 from .operators import statistics as ST
-from .plans import request
+from .plans import encode, plugins, request
 from .sources import folders, versions
-from .streaming import changes
+from .streaming import changes, transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -531,6 +531,67 @@ def streamed_replica(spark, sf_dir):
     return task.activate()
 
 
+# ---------------------------------------------------------------- transactions, responses, plugins
+
+@query("SELECT o_custkey AS key, o_orderkey * 10 AS start_ts, o_custkey % 8 AS region_id, CASE WHEN o_orderkey % 11 = 0 THEN 'locked' WHEN o_orderkey % 13 = 0 THEN 'rolled_back' ELSE 'committed' END AS status, CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN o_orderkey * 10 + 5 END AS commit_ts FROM orders")
+def transaction_status(spark, sf_dir):
+    return transactions.status(transaction_log(spark, sf_dir))
+
+
+@query("SELECT o_custkey AS key, CASE WHEN o_orderkey % 11 = 0 THEN 'locked' ELSE 'newer' END AS reason, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey * 10 ELSE o_orderkey * 10 + 5 END AS other_ts FROM orders WHERE o_custkey < 500 AND (o_orderkey % 11 = 0 OR o_orderkey % 13 <> 0 AND o_orderkey * 10 + 5 > 20001)")
+def prewrite_conflicts(spark, sf_dir):
+    edits = R.read(spark, sf_dir, "customer").where("c_custkey < 500").select(F.col("c_custkey").alias("key"))
+    return transactions.conflicts(transaction_log(spark, sf_dir), edits, 20001)
+
+
+@query("SELECT o_custkey AS key, o_orderkey * 10 AS start_ts, 'ROLLBACK' AS op FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey * 10 <= 30000")
+def resolved_locks(spark, sf_dir):
+    return transactions.resolve(transaction_log(spark, sf_dir), 30000).select("key", "start_ts", "op")
+
+
+@query(f"SELECT key, value FROM (SELECT * FROM ({_DONE}) WHERE commit_ts <= 30000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) = 1) WHERE op = 'put'")
+def flashback_table(spark, sf_dir):
+    """What a replica holds after the table was brought back to 30000."""
+    log = transaction_log(spark, sf_dir)
+    latest = 1 << 40
+    return changes.replica(changes.commits(log.unionByName(transactions.flashback(log, 30000, latest, latest + 1))))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def response_chunks(spark, sf_dir):
+    """Rows by way of encoded chunks."""
+    own = R.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    return encode.unchunked(encode.chunks(own), own.schema)
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def response_lines(spark, sf_dir):
+    own = R.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return encode.unlined(encode.lines(own), own.schema)
+
+
+@plugins.function("twice")
+def _twice(c: Column) -> Column:
+    return c * 2
+
+
+@plugins.operator("above")
+def _above(table: DataFrame, column: str, least: float) -> DataFrame:
+    return table.where(F.col(column) > least)
+
+
+@query("SELECT o_orderkey, o_custkey * 2 AS twice FROM orders WHERE o_totalprice > 100000")
+def request_with_plugins(spark, sf_dir):
+    own = [{"type": "table_scan", "columns": ["o_orderkey", "o_custkey", "o_totalprice"]}, {"type": "plugin", "name": "above", "arguments": {"column": "o_totalprice", "least": 100000}}, {"type": "projection", "expressions": ["o_orderkey", {"call": "twice", "args": [{"column": "o_custkey"}], "as": "twice"}]}]
+    return request.run(spark, sf_dir, {"table": "orders", "executors": own})
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def defined_function(spark, sf_dir):
+    plugins.define(spark, "net_price", [("price", "double"), ("discount", "double")], "price * (1 - discount)")
+    return R.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr("net_price(l_extendedprice, l_discount)").alias("net"))
+
+
 @query("SELECT key, count(*)::BIGINT AS versions, max(commit_ts) AS newest FROM (" + _LOG + ") WHERE commit_ts > 5000 GROUP BY key")
 def incremental_scan(spark, sf_dir):
     own = changes.incremental(order_versions(spark, sf_dir), 5000)

@@ -14,6 +14,7 @@ from types import ModuleType
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import plugins
 from ..functions import aggregates, casts, collations, hashing, jsons, maths, network, numeric, strings, temporal, vectors
 
 #: Later modules win where names are the same; qualified names reach every function.
@@ -25,14 +26,14 @@ def _public(module: ModuleType) -> dict[str, Callable]:
 
 
 def library() -> dict[str, Callable]:
-    """Every function by its name and by module.name; JSON functions are json_name, aggregates agg.name."""
+    """Every function by its name and by module.name; JSON functions are json_name, aggregates agg.name, plugins come last."""
     out: dict[str, Callable] = {}
     for m in MODULES:
         own = _public(m)
         out |= own | {f"{m.__name__.rsplit('.', 1)[1]}.{n}": f for n, f in own.items()}
     out |= {f"json_{n}": f for n, f in _public(jsons).items() if n not in ("parse_path", "wild", "find", "dump", "type_of", "depth_of")}
     out |= {f"agg.{n}": f for n, f in _public(aggregates).items()}
-    return out
+    return out | plugins.FUNCTIONS
 
 
 def build(tree: object) -> Column:

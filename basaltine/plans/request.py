@@ -17,6 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import relational as R
+from . import plugins
 from .expressions import build
 
 SCANS = ("table_scan", "index_scan", "index_lookup")
@@ -60,6 +61,7 @@ _BUILD: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
     "stream_aggregation": lambda df, e: R.stream_aggregation(df, e["group_by"], _aggregates(e)) if e.get("group_by") else R.simple_aggregation(df, _aggregates(e)),
     "limit": lambda df, e: R.partition_limit(df, e["partition_by"], e["limit"]) if e.get("partition_by") else R.limit(df, e["limit"]),
     "top_n": lambda df, e: R.top_n(df, [tuple(o) for o in e["order_by"]], e["limit"]),
+    "plugin": lambda df, e: plugins.call(df, e["name"], e.get("arguments")),
     "partition_top_n": lambda df, e: R.partition_top_n(df, e["partition_by"], [tuple(o) for o in e["order_by"]], e["limit"]),
 }
 

@@ -74,10 +74,16 @@ def topology_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(old, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(old.join(new, keys, "left_anti").withColumn("change", F.lit("removed")))
 
 
-def read_log(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
-    """A stream of log files as they arrive under a path."""
+def read_log(spark: SparkSession, path: str, files: int | None = None, most_bytes: int | None = None) -> DataFrame:
+    """A stream of log files as they arrive under a path; a batch takes `files` files or about `most_bytes` bytes at most."""
+    if files and most_bytes:
+        raise ValueError("a batch is bounded by files or by bytes, not both")
     reader = spark.readStream.schema(LOG)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    if most_bytes:
+        reader = reader.option("maxBytesPerTrigger", most_bytes)
+    return reader.parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -151,9 +157,10 @@ def resolved_so_far(spark: SparkSession, target: str) -> DataFrame:
 
 
 class Replication:
-    """States of a replication task: idle, subscribing, paused, completed, activated."""
+    """States of a replication task: idle, subscribing, paused, cutting_over, completed, activated."""
 
-    MOVES = {"idle": {"start"}, "subscribing": {"pause", "complete"}, "paused": {"start"}, "completed": {"activate"}, "activated": set()}
+    MOVES = {"idle": {"start"}, "subscribing": {"pause", "complete"}, "paused": {"start"}, "cutting_over": {"complete"}, "completed": {"activate"}, "activated": set()}
+    ACTIONS = ("start", "pause", "complete", "activate", "status")
 
     def __init__(self, spark: SparkSession, source: str, target: str, checkpoint: str):
         self.spark, self.source, self.target, self.checkpoint = spark, source, target, checkpoint
@@ -164,21 +171,42 @@ class Replication:
             raise ValueError(f"can't {name} while {self.state}")
         self.state = to
 
+    def _take_in(self) -> None:
+        replicate(read_log(self.spark, self.source), self.target, self.checkpoint).awaitTermination()
+
     def start(self) -> None:
         """Take in all that is there, from the checkpoint on."""
         self._move("start", "subscribing")
-        replicate(read_log(self.spark, self.source), self.target, self.checkpoint).awaitTermination()
+        self._take_in()
 
     def pause(self) -> None:
         self._move("pause", "paused")
 
-    def complete(self) -> None:
-        self._move("complete", "completed")
+    def complete(self, upto: int | None = None) -> bool:
+        """Finish; with `upto`, take in what has come since and finish only if every region has resolved that far.
+
+        Otherwise the task stays cutting over, and this is called again once more of the log is there.
+        """
+        self._move("complete", "cutting_over")
+        if upto is not None:
+            self._take_in()
+            least = frontier(resolved_so_far(self.spark, self.target)).first()["resolved_ts"]
+            if least is None or least < upto:
+                return False
+        self.state = "completed"
+        return True
 
     def activate(self, upto: int | None = None) -> DataFrame:
         """The replica's table at the cut-over."""
         self._move("activate", "activated")
         return replica(self.spark.read.parquet(f"{self.target}/changes").drop("batch").dropDuplicates(["key", "commit_ts"]), upto)
 
+    def control(self, action: str, **arguments) -> dict:
+        """One call for each action of a control surface, answered by the status after it."""
+        if action not in self.ACTIONS:
+            raise ValueError(f"unknown action {action!r}; known are {', '.join(self.ACTIONS)}")
+        getattr(self, action)(**arguments)
+        return self.status()
+
     def status(self) -> dict:
         return {"state": self.state, "source": self.source, "target": self.target}
