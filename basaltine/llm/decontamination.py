@@ -36,7 +36,7 @@ _BITS = 20
 
 @dataclass
 class Items:
-    ids: list[list[int]]  # of each item: who has these words
+    ids: list[list[int | None]]  # of each item: who has these words
     words: np.ndarray  # hashes of all items' words
     offsets: np.ndarray
     seeds: np.ndarray  # sorted distinct seed hashes
@@ -62,17 +62,17 @@ def _runs(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return h ^ np.uint64(n), d, at
 
 
-def items_of(ids: list[int], texts: list[str]) -> Items:
+def items_of(ids: list[int | None], texts: list[str]) -> Items:
     every = Words(pa.array(texts, pa.string()))
     edge = np.searchsorted(every.doc, np.arange(len(texts) + 1))
-    held: dict[bytes, list[int]] = {}
+    held: dict[bytes, list[int | None]] = {}
     first: list[str] = []
     for i, (x, t) in enumerate(zip(ids, texts, strict=True)):
         own = b" ".join(every.raw[s:e].tobytes() for s, e in zip(every.start[edge[i] : edge[i + 1]], every.end[edge[i] : edge[i + 1]], strict=True))
         if own not in held:
             first.append(t)
         held.setdefault(own, []).append(x)
-    ids = [sorted(set(x)) for x in held.values()]
+    ids = [sorted(set(x), key=lambda i: (i is None, i)) for x in held.values()]
     words = Words(pa.array(first, pa.string()))
     hashes, count = words.hashes(), words.counts()
     offsets = np.append(0, np.cumsum(count))
@@ -212,7 +212,7 @@ def _hits(items: Items, words: Words, threshold: float) -> pa.RecordBatch | None
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
-    own = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null and text is not null")
+    own = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     total = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
     return [own if n == 1 else own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
@@ -222,8 +222,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     """(doc_id, item_id, score, last_word) of the documents that hold an item with a score of `threshold` or more.
 
     One row for each document and item, of its best passage; last_word is the position of the
-    passage's last word.  Null or empty texts, items without words and items without an id match
-    nothing; a null doc_id can match, as null.  Rows that repeat a doc_id are one document, rows that
+    passage's last word.  Null or empty texts and items without words match nothing; a null
+    item_id or doc_id can match, as null.  Rows that repeat a doc_id are one document, rows that
     repeat an item_id one item; of equal scores the passage that ends last counts.
     """
     spark = docs.sparkSession

@@ -212,6 +212,9 @@ def test_decontamination_on_odd_input(spark, odd, none, benchmark):
     assert decontamination.matches(odd, spark.createDataFrame([], "item_id long, text string")).count() == 0
     strange = spark.createDataFrame([(None, "a b"), (1, None), (2, ""), (3, "same text here with seven plain words")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in table(decontamination.matches(odd, strange))} == {(5, 3), (6, 3)}
+    unnamed = spark.createDataFrame([(None, "same text here with seven plain words"), (3, "Same text here with seven plain words")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in table(decontamination.matches(odd, unnamed))} == {(5, 3), (6, 3), (5, None), (6, None)}
+    assert not {5, 6} & {r["doc_id"] for r in table(decontamination.decontaminate(odd, unnamed.where("item_id is null")))}
     assert ids(table(decontamination.decontaminate(odd, strange))) == EVERY - Counter({5: 1, 6: 2})
 
 
