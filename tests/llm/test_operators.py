@@ -390,6 +390,26 @@ def test_fingerprints_of_a_band_too_large_to_send(spark, odd, none):
     assert fingerprints.edited(none, most_terms=-1).count() == 0
 
 
+def test_fingerprints_send_no_terms_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    words = [chr(97 + i % 26) * 2000 + f"{i * 7919 % 1000:03d}" for i in range(300)]
+    rows = [(i, " ".join(words[i * 5 : i * 5 + 5][::-1])) for i in range(60)]
+    sent = []
+
+    def spied(df, real=DataFrame.toArrow):
+        sent.append(real(df))
+        return sent[-1]
+
+    monkeypatch.setattr(DataFrame, "toArrow", spied)
+    terms = fingerprints.band(text.id_and_text(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    own = fingerprints.lexicon(terms)
+    assert len(own.hashes) == 300 and sum(t.nbytes for t in sent) <= 300 * 20
+    named = {r["hash"]: r["term"].encode() for r in terms.collect()}
+    by_rank = {int(r): named[int(h)] for h, r in zip(own.hashes.view(np.int64), own.rank, strict=True)}
+    assert [by_rank[i] for i in range(300)] == sorted(w.encode() for w in words)
+
+
 # ---------------------------------------------------------------- language model
 
 def brute_base(rows):
