@@ -390,6 +390,19 @@ def test_fingerprints_of_a_band_too_large_to_send(spark, odd, none):
     assert fingerprints.edited(none, most_terms=-1).count() == 0
 
 
+def test_fingerprints_of_large_bands_shuffle_no_terms(spark, monkeypatch):
+    rows = [(i % 37, " ".join(f"w{(i * 31 + j * 17) % 700}" for j in range(i * 3 % 90))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(fingerprints, "input_bytes", lambda _: 9 * fingerprints.RUN_BYTES)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = fingerprints.edited(docs, most_terms=0)
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(hash" in plan and "hashpartitioning(term" not in plan
+    assert sorted(map(repr, table(got))) == sorted(map(repr, table(fingerprints.edited(docs))))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_fingerprints_send_no_terms_to_the_driver(spark, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
