@@ -15,15 +15,11 @@ from pyspark.sql import functions as F
 
 from . import temporal
 from .numeric import INT_MAX, INT_MIN, UINT_MAX, as_int, as_uint, big
+from .temporal import _let
 
 _LEADING = r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
 
 
-def _let(c: Column, fn: Callable[[Column], Column]) -> Column:
-    """fn(c), with c evaluated once however often fn names it."""
-    return F.element_at(F.transform(F.array(c), fn), 1)
-
-
 def real_to_int(c: Column) -> Column:
     return as_int(F.round(c))
 
@@ -53,7 +49,7 @@ def text_to_int(c: Column) -> Column:
 
 def text_to_uint(c: Column) -> Column:
     """Text of a negative number wraps round."""
-    return to_unsigned(_text_between(c, INT_MIN, UINT_MAX))
+    return _let(_text_between(c, INT_MIN, UINT_MAX), to_unsigned)
 
 
 def to_unsigned(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 MOST_SECONDS = 838 * 3600 + 59 * 60 + 59
 
 
+def _let(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn(c), with c evaluated once however often fn names it."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
 def _n(c: Column) -> Column:
     return c.cast("bigint")
 
@@ -202,26 +209,31 @@ def time_to_sec(d: Column) -> Column:
 
 def parse_time(c: Column) -> Column:
     """Text as a duration: [-][d ]h:m[:s[.f]] or digits [h]hmmss[.f]; null if it is neither or its minutes or seconds are over 59."""
-    c = F.trim(c)
-    colon = r"^(-?)(?:(\d{1,2}) )?(\d{1,3}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6})\d*)?)?$"
-    plain = r"^(-?)(\d{1,3}?)??(\d{1,2}?)??(\d{1,2})(?:\.(\d{1,6})\d*)?$"
-    part = lambda p, i: F.coalesce(F.nullif(F.regexp_extract(c, p, i), F.lit("")), F.lit("0")).cast("bigint")
-    frac = lambda p, i: F.rpad(F.coalesce(F.regexp_extract(c, p, i), F.lit("")), 6, "0").cast("bigint")
-    sign = F.when(c.startswith("-"), -1).otherwise(1)
-    by_colon = ((part(colon, 2) * 24 + part(colon, 3)) * 3600 + part(colon, 4) * 60 + part(colon, 5)) * 1000000 + frac(colon, 6)
-    ok_colon = c.rlike(colon) & (part(colon, 4) <= 59) & (part(colon, 5) <= 59)
-    digits = F.regexp_extract(c, r"^-?(\d{1,7})(?:\.\d*)?$", 1)
-    number = digits.cast("bigint")
-    by_digits = (F.floor(number / 10000) * 3600 + F.floor(number / 100) % 100 * 60 + number % 100) * 1000000 + frac(plain, 5)
-    ok_digits = (digits != "") & (F.floor(number / 100) % 100 <= 59) & (number % 100 <= 59)
-    return clamp(_interval(F.when(ok_colon, sign * by_colon).when(ok_digits, sign * by_digits)))
+    colon = r"^-?(?:(\d{1,2}) )?(\d{1,3}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,6})\d*)?)?$"
+    plain = r"^-?(\d{1,7})(?:\.(\d{0,6})\d*)?$"
+    n = lambda a, i: F.concat(F.lit("0"), F.get(a, F.lit(i))).cast("bigint")
+    frac = lambda a, i: F.substring(F.concat(F.get(a, F.lit(i)), F.lit("000000")), 1, 6).cast("bigint")
+    parts = lambda t, p, groups: F.split(F.regexp_replace(t, p, groups), ",")
+
+    def by_colon(a: Column) -> Column:
+        return F.when((n(a, 2) <= 59) & (n(a, 3) <= 59), ((n(a, 0) * 24 + n(a, 1)) * 3600 + n(a, 2) * 60 + n(a, 3)) * 1000000 + frac(a, 4))
+
+    def by_digits(a: Column) -> Column:
+        two = lambda unit: F.floor(n(a, 0) / unit) % 100
+        return F.when((two(100) <= 59) & (two(1) <= 59), (F.floor(n(a, 0) / 10000) * 3600 + two(100) * 60 + two(1)) * 1000000 + frac(a, 1))
+
+    def micros(t: Column) -> Column:
+        size = F.when(t.rlike(colon), _let(parts(t, colon, "$1,$2,$3,$4,$5,"), by_colon)).when(t.rlike(plain), _let(parts(t, plain, "$1,$2,"), by_digits))
+        return F.when(t.startswith("-"), -1).otherwise(1) * size
+
+    return clamp(_interval(_let(F.trim(c), micros)))
 
 
 def clamp(d: Column, digits: int = 6) -> Column:
     """Durations beyond 838:59:59 become that bound; what is over `digits` digits of a second is rounded, halves away from zero."""
     bound = F.lit(MOST_SECONDS).cast("decimal(18,6)")
-    seconds = F.round(_seconds(d), digits).cast("decimal(18,6)")
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.when(d.isNotNull(), F.greatest(F.least(seconds, bound), -bound)))
+    held = _let(F.round(_seconds(d), digits).cast("decimal(18,6)"), lambda s: F.when(s.isNotNull(), F.greatest(F.least(s, bound), -bound)))
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), held)
 
 
 def make_time(h: Column, m: Column, s: Column) -> Column:

@@ -209,3 +209,19 @@ def test_average_of_decimals_stays_exact(spark):
     rows = spark.createDataFrame([(0, "90071992547409.93"), (1, "0.01"), (1, "0.02")], "p int, x string").select("p", F.col("x").cast("decimal(20,2)").alias("x"))
     got = rows.groupBy("p").agg(*A.avg_partial(F.col("x"), "decimal(20,2)", "a")).agg(A.avg_merge("a", "decimal(20,2)").cast("string").alias("m")).first()
     assert got["m"] == "30023997515803.320000"
+
+
+@pytest.mark.parametrize("cast", [lambda c: C.duration_to_int(C.json_to_duration(c)), lambda c: C.json_to_uint(c).cast("string")])
+def test_casts_read_a_text_once(spark, cast):
+    """Reading a text costs more than all else, so no step may repeat the ones before it."""
+    plan = spark.createDataFrame([("a",)], "t string").select(cast(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("rlike") + plan.lower().count("regexp_") <= 8
+
+
+def test_texts_as_durations(spark):
+    cases = {
+        "11:22:33": 112233, "1 1:2": 250200, "-1:2:3.456": -10203.456, "1:60": NULL, "0:0:60": NULL, "1:2:3.": NULL, "1:2:3.1234567": 10203.123456, "839:0": 8385959, "34 22:59:59": 8385959, "100 1:1": NULL, "1:2\n": 10200,
+        "5": 5, "-123": -123, "1234567.5": NULL, "12.": 12, "12.9999999": 12.999999, "1290": NULL, "99": NULL, "12345678": NULL, "": NULL, "-": NULL, "x": NULL, " 3 ": 3, "--1": NULL, "1:2:3:4": NULL, "10000000": NULL,
+    }
+    rows = spark.createDataFrame([(k,) for k in [*cases, NULL]], "t string").select("t", C.duration_to_decimal(T.parse_time(F.col("t"))).cast("double")).collect()
+    assert {k: v for k, v in rows} == cases | {NULL: NULL}
