@@ -211,7 +211,7 @@ def test_average_of_decimals_stays_exact(spark):
     assert got["m"] == "30023997515803.320000"
 
 
-@pytest.mark.parametrize("cast", [lambda c: C.duration_to_int(C.json_to_duration(c)), lambda c: C.json_to_uint(c).cast("string")])
+@pytest.mark.parametrize("cast", [lambda c: C.duration_to_int(C.json_to_duration(c)), lambda c: C.duration_to_int(C.enum_to_duration(F.struct(c.alias("name")))), lambda c: C.json_to_uint(c).cast("string")])
 def test_casts_read_a_text_once(spark, cast):
     """Reading a text costs more than all else, so no step may repeat the ones before it."""
     plan = spark.createDataFrame([("a",)], "t string").select(cast(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
